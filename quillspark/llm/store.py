@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 
@@ -48,3 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row.
+
+    Catalyst writes a projected expression into the lambdas that use it, where it would run once an
+    element; it can't do so through a generator, which here makes one row of one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
