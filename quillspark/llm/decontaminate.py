@@ -179,7 +179,8 @@ def _within(small: np.ndarray, large: np.ndarray) -> bool:
     return n == 0 or any((large[i : i + n] == small).all() for i in np.flatnonzero(large[: max(0, len(large) - n + 1)] == small[0]))
 
 
-def _search(docs: DataFrame, items: Items, weight: np.ndarray, q: np.ndarray, id_col: str, text_col: str, cosine: float, overlap: float, least: int) -> DataFrame:
+def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, overlap: float, least: int):
+    """A function of an Arrow column: for each row, {item: overlap}."""
     latent = _item_rows(items, weight) @ q
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.where(norm > 1e-6, latent / np.maximum(norm, 1e-9), 0).astype(np.float32)
@@ -190,70 +191,107 @@ def _search(docs: DataFrame, items: Items, weight: np.ndarray, q: np.ndarray, id
     plain_key = np.array(sorted(plain_first), np.uint64)
     side = BLOCK * WINDOW // 2
 
+    def search(column: pa.Array) -> list[dict]:
+        out: list[dict] = []
+        for lo, hi, data, offsets in at.slices(column):
+            n = hi - lo
+            row, _, _, h = _term_words(data, offsets)
+            count = np.bincount(row, minlength=n)
+            first = np.concatenate([[0], np.cumsum(count)])
+            blocks = -(-count // BLOCK) + WINDOW - 1
+            base = np.concatenate([[0], np.cumsum(blocks)])
+            found: list[dict] = [{} for _ in range(n)]
+            p, t = _find(items, h)
+            keep = weight[t] > 0
+            p, t = p[keep], t[keep]
+            if len(p):
+                b = base[row[p]] + WINDOW - 1 + (p - first[row[p]]) // BLOCK
+                start = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+                z = np.zeros((base[-1] + WINDOW, q.shape[1]), np.float32)
+                z[b[start]] = np.add.reduceat(project[t], start, axis=0)
+                z = sum(z[k : k + base[-1]] for k in range(WINDOW))
+                size = np.linalg.norm(z, axis=1)
+                live = np.flatnonzero(size > 1e-6)
+                for c in range(0, len(live), 4096):
+                    own = live[c : c + 4096]
+                    near = (z[own] @ latent.T) >= cosine * size[own, None]
+                    for k, i in zip(*np.nonzero(near), strict=True):
+                        r = int(np.searchsorted(base, own[k], "right")) - 1
+                        if found[r].get(i, 0.0) >= 0.999 or len(items.words[i]) < least:
+                            continue
+                        at_word = first[r] + (own[k] - base[r] - WINDOW + 1) * BLOCK
+                        a, e = max(first[r], at_word - side), min(first[r + 1], at_word + BLOCK * WINDOW + side)
+                        window = h[a:e]
+                        share = common_subsequence(items.words[i], window) / len(items.words[i])
+                        if share >= overlap and share > found[r].get(i, 0.0) and _within(items.answers[i], window):
+                            found[r][i] = share
+            if len(plain_key):
+                for x in np.flatnonzero(np.isin(h, plain_key)):
+                    for i in plain_first[int(h[x])]:
+                        w = items.words[i]
+                        if x + len(w) <= first[row[x] + 1] and (h[x : x + len(w)] == w).all():
+                            found[row[x]][i] = 1.0
+            out += found
+        return out
+
+    return search
+
+
+def _search(docs: DataFrame, search, id_col: str, text_col: str) -> DataFrame:
+    kind = pa.list_(pa.struct([("item", pa.int32()), ("overlap", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in at.slices(batch.column(1)):
-                n = hi - lo
-                row, _, _, h = _term_words(data, offsets)
-                count = np.bincount(row, minlength=n)
-                first = np.concatenate([[0], np.cumsum(count)])
-                blocks = -(-count // BLOCK) + WINDOW - 1
-                base = np.concatenate([[0], np.cumsum(blocks)])
-                found: list[dict] = [{} for _ in range(n)]
-                p, t = _find(items, h)
-                keep = weight[t] > 0
-                p, t = p[keep], t[keep]
-                if len(p):
-                    b = base[row[p]] + WINDOW - 1 + (p - first[row[p]]) // BLOCK
-                    start = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                    z = np.zeros((base[-1] + WINDOW, q.shape[1]), np.float32)
-                    z[b[start]] = np.add.reduceat(project[t], start, axis=0)
-                    z = sum(z[k : k + base[-1]] for k in range(WINDOW))
-                    size = np.linalg.norm(z, axis=1)
-                    live = np.flatnonzero(size > 1e-6)
-                    for c in range(0, len(live), 4096):
-                        own = live[c : c + 4096]
-                        near = (z[own] @ latent.T) >= cosine * size[own, None]
-                        for k, i in zip(*np.nonzero(near), strict=True):
-                            r = int(np.searchsorted(base, own[k], "right")) - 1
-                            if found[r].get(i, 0.0) >= 0.999 or len(items.words[i]) < least:
-                                continue
-                            at_word = first[r] + (own[k] - base[r] - WINDOW + 1) * BLOCK
-                            a, e = max(first[r], at_word - side), min(first[r + 1], at_word + BLOCK * WINDOW + side)
-                            window = h[a:e]
-                            share = common_subsequence(items.words[i], window) / len(items.words[i])
-                            if share >= overlap and share > found[r].get(i, 0.0) and _within(items.answers[i], window):
-                                found[r][i] = share
-                if len(plain_key):
-                    for x in np.flatnonzero(np.isin(h, plain_key)):
-                        for i in plain_first[int(h[x])]:
-                            w = items.words[i]
-                            if x + len(w) <= first[row[x] + 1] and (h[x : x + len(w)] == w).all():
-                                found[row[x]][i] = 1.0
-                kind = pa.list_(pa.struct([("item", pa.int32()), ("overlap", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([[{"item": int(i), "overlap": float(s)} for i, s in sorted(f.items())] for f in found], kind)], names=["id", "found"])
+            found = [[{"item": int(i), "overlap": float(s)} for i, s in sorted(f.items())] for f in search(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["id", "found"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("found", T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("overlap", T.DoubleType())])))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, answer_col: str | None) -> tuple[DataFrame, int]:
+    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    bench = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"), answer.alias("a"))
+    return bench, max(1, -(-bench.count() // ITEMS_A_BLOCK))
+
+
+def _block(bench: DataFrame, blocks: int, k: int) -> Items:
+    rows = bench.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
+    return prepare(sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1])))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None, cosine: float = COSINE, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
+    """docs without the rows that hold an item; no shuffle, all columns as they were."""
+    bench, blocks = _blocks(benchmark, item_id, item_text, answer_col)
+    place = docs.columns.index(text_col)
+    out = docs
+    for k in range(blocks):
+        items = _block(bench, blocks, k)
+        weight = idf(docs, items, text_col)
+        search = _searcher(items, weight, basis(docs, items, weight, text_col), cosine, overlap, least)
+
+        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not f for f in search(batch.column(place))], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None, cosine: float = COSINE, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
     """(id, contaminated, n_items, item_ids, best_overlap), a row for each row of docs.
 
     More than ITEMS_A_BLOCK items are taken in blocks, one search after the other over all documents;
     the blocks meet by the id, so rows that share an id get each other's items then.
     """
-    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    bench = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"), answer.alias("a"))
-    blocks = max(1, -(-bench.count() // ITEMS_A_BLOCK))
+    bench, blocks = _blocks(benchmark, item_id, item_text, answer_col)
     out = None
     for k in range(blocks):
-        rows = sorted(tuple(r) for r in bench.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect())
-        items = prepare(rows)
+        items = _block(bench, blocks, k)
         weight = idf(docs, items, text_col)
         q = basis(docs, items, weight, text_col)
         ids = F.array(*[F.lit(x) for x in items.ids]).cast(T.ArrayType(benchmark.schema[item_id].dataType)) if items.ids else F.array().cast(T.ArrayType(benchmark.schema[item_id].dataType))
-        got = _search(docs, items, weight, q, id_col, text_col, cosine, overlap, least)
+        got = _search(docs, _searcher(items, weight, q, cosine, overlap, least), id_col, text_col)
         got = got.select("id", F.transform("found", lambda x: F.get(ids, x["item"])).alias("item_ids"), F.coalesce(F.array_max(F.transform("found", lambda x: x["overlap"])), F.lit(0.0)).alias("best_overlap"))
         out = got if out is None else out.unionAll(got)
     if blocks > 1:

@@ -33,8 +33,7 @@ WEIGHTS = (5, 2, 1)
 
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in a text, 0 for null."""
-    blanks = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.array_remove(F.split(blanks, " "), "")).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long"), F.lit(0).cast("long"))
 
 
 def uniform(id_col: Column, seed: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, quality, tokens, toxicity
+from quillspark.llm import brown, decontaminate, lines, mixing, neardup, quality, rules, secrets, tokens, toxicity
 from quillspark.llm.labelled import remainder
 
 
@@ -40,5 +40,50 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     return tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_compression_quality, op3_pareto_mixing, op4_token_counts)}
+def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_brown_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = brown.score_all(read(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _is(kind: int):
+    return lambda s: s["kind"] == kind
+
+
+def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    n = {k: F.size(F.filter("spans", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)}
+    return found.select("doc_id", n["assign"], n["access"], n["hex"], F.sha2(secrets.joined(F.col("spans"), 2), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxic_segments,
+        op2_compression_quality,
+        op3_pareto_mixing,
+        op4_token_counts,
+        op5_divergence_rules,
+        op6_dart_minhash,
+        op7_line_windows,
+        op8_latent_decontamination,
+        op9_brown_model,
+        op10_markov_secrets,
+    )
+}
 ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL}

@@ -233,3 +233,20 @@ def passages(docs: DataFrame, m: ToxicModel, id_col: str = "doc_id", text_col: s
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("segment_score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
     schema = T.StructType([T.StructField(id_col, field.dataType), T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(span))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, m: ToxicModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score is `threshold` or more; no shuffle, all columns as they were."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for _, _, data, offsets in at.slices(batch.column(place)):
+                count, out = _scan(m, data, offsets)
+                x = np.array([_stats(m, int(n), s) for n, s in zip(count, out, strict=True)]).reshape(-1, 2)
+                z = np.clip(x @ m.weights[:2] + m.weights[2], -30, 30)
+                keep += (1 / (1 + np.exp(-z)) < threshold).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
