@@ -72,7 +72,8 @@ def is_paywalled(content: Column) -> Column:
 
 def effective_score(score: Column, flag_reason: Column, capped: Column) -> Column:
     """The score, at most SCORE_CAP for flagged or paywalled documents."""
-    return F.when(flag_reason.isNotNull() | capped, F.least(score, F.lit(SCORE_CAP))).otherwise(score)
+    limit = (flag_reason.isNotNull() | capped) & (score > SCORE_CAP)  # a null score stays null
+    return F.when(limit, F.lit(SCORE_CAP)).otherwise(score)
 
 
 def snippet(content: Column, title: Column, keyword: str, radius: int = SNIPPET_RADIUS) -> Column:

@@ -31,7 +31,7 @@ def child_rank(loc: Column, pattern: Column) -> Column:
 def within_budget(visits: DataFrame, most: int = MAX_URLS) -> DataFrame:
     """Visits (source, visit, n) begun before `most` addresses were collected."""
     w = Window.partitionBy("source").orderBy("visit").rowsBetween(Window.unboundedPreceding, -1)
-    return visits.filter(F.coalesce(F.sum("n").over(w), F.lit(0)) < most)
+    return visits.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("_before") < most).drop("_before")
 
 
 def newest_urls(df: DataFrame, most: int = MAX_URLS) -> DataFrame:

@@ -39,7 +39,7 @@ def registered(sql: str | None = None, *views: str):
 IMP = "imp AS (SELECT document_id, score, reporter, created_at FROM (SELECT i.*, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS r FROM v_importance i) x WHERE r = 1)"
 TP = "tp AS (SELECT document_id, topic_slug FROM (SELECT t.*, row_number() OVER (PARTITION BY document_id, topic_slug ORDER BY created_at DESC, id DESC) AS r FROM v_topics t) x WHERE r = 1 AND assigned)"
 TPS = "tps AS (SELECT document_id, string_agg(topic_slug, ',' ORDER BY topic_slug) AS topics FROM tp GROUP BY 1)"
-EFF = "CASE WHEN d.flag_reason IS NOT NULL OR regexp_matches(lower(d.content), 'subscribe to continue reading|subscribe to read|to continue reading this story|this article is for subscribers|subscriber-only content|members-only content') THEN least(imp.score, 0.3) ELSE imp.score END"
+EFF = "CASE WHEN d.flag_reason IS NOT NULL OR regexp_matches(lower(d.content), 'subscribe to continue reading|subscribe to read|to continue reading this story|this article is for subscribers|subscriber-only content|members-only content') THEN CASE WHEN imp.score > 0.3 THEN 0.3 ELSE imp.score END ELSE imp.score END"
 PERIOD = "d.published_at >= TIMESTAMP '2024-01-08 05:00:00' AND d.published_at < TIMESTAMP '2024-01-22 05:00:00'"
 ANY_TOPIC = "EXISTS (SELECT 1 FROM tp WHERE tp.document_id = d.id AND tp.topic_slug IN ('ai', 'jewelry', 'mexico', 'brazil', 'report', 'gen-z'))"
 DUCK_NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"

@@ -13,10 +13,14 @@ BLOCK_MARKERS = ("just a moment", "checking your browser", "attention required",
 _TAG = "(?is)"
 
 
+def _choose(*values: Column) -> Column:
+    """The first value that is neither null nor empty; each is computed once."""
+    return F.get(F.filter(F.array(*values), lambda v: v != ""), F.lit(0))
+
+
 def _first(html: Column, *patterns: str) -> Column:
-    """The first pattern's match that isn't empty, cleaned once at the end."""
-    found = F.coalesce(*[F.nullif(F.regexp_extract(html, _TAG + p, 1), F.lit("")) for p in patterns])
-    return F.nullif(fn.strip_html(found), F.lit(""))
+    """The first pattern's match that isn't empty, cleaned."""
+    return fn.strip_html(_choose(*[F.regexp_extract(html, _TAG + p, 1) for p in patterns]))
 
 
 def _meta(name: str) -> tuple[str, str]:
@@ -26,38 +30,42 @@ def _meta(name: str) -> tuple[str, str]:
 
 def json_ld(html: Column) -> Column:
     """The first JSON-LD block as a string; null without one."""
-    return F.nullif(F.regexp_extract(html, _TAG + r"""<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>""", 1), F.lit(""))
+    return _choose(F.regexp_extract(html, _TAG + r"""<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>""", 1))
 
 
 def _ld(html: Column, key: str) -> Column:
     block = json_ld(html)
     paths = [F.get_json_object(block, p) for p in (f"$.{key}", f"$[0].{key}", f"$.@graph[0].{key}")]
-    return F.nullif(F.coalesce(*paths), F.lit(""))
+    return _choose(*paths)
 
 
 def extract_title(html: Column) -> Column:
-    return F.coalesce(_first(html, *_meta("og:title"), *_meta("twitter:title")), _ld(html, "headline"), _first(html, r"<title[^>]*>(.*?)</title>", r"<h1[^>]*>(.*?)</h1>", *_meta("headline")))
+    return _choose(_first(html, *_meta("og:title"), *_meta("twitter:title")), _ld(html, "headline"), _first(html, r"<title[^>]*>(.*?)</title>", r"<h1[^>]*>(.*?)</h1>", *_meta("headline")))
 
 
 def extract_author(html: Column) -> Column:
     by_class = _first(html, r"""<a[^>]+class=["'][^"']*author[^"']*["'][^>]*>(.*?)</a>""")
     plain = F.when(~by_class.rlike("@|http") & by_class.rlike(r"\p{L}"), by_class)
-    return F.coalesce(_first(html, *_meta("author"), *_meta("article:author")), _ld(html, "author.name"), plain)
+    return _choose(_first(html, *_meta("author"), *_meta("article:author")), _ld(html, "author.name"), plain)
 
 
 def extract_published(html: Column, lastmod: Column, retrieved: Column) -> Column:
-    raw = F.coalesce(_first(html, *_meta("article:published_time")), _ld(html, "datePublished"), F.nullif(F.regexp_extract(html, _TAG + r"""<time[^>]+datetime=["']([^"']+)["']""", 1), F.lit("")))
+    raw = _choose(_first(html, *_meta("article:published_time")), _ld(html, "datePublished"), F.regexp_extract(html, _TAG + r"""<time[^>]+datetime=["']([^"']+)["']""", 1))
     return F.coalesce(F.try_to_timestamp(raw), lastmod, retrieved)
 
 
 def extract_body(html: Column) -> Column:
     """Text of the article region, scripts and styles left out; of the page where there is no article."""
-    region = F.coalesce(F.nullif(F.regexp_extract(html, _TAG + r"<article[^>]*>(.*?)</article>", 1), F.lit("")), html)
+    region = _choose(F.regexp_extract(html, _TAG + r"<article[^>]*>(.*?)</article>", 1), html)
     return fn.strip_html(F.regexp_replace(region, _TAG + r"<(script|style)[^>]*>.*?</\1>", " "))
 
 
-def declared_canonical(html: Column, base: Column) -> Column:
-    link = F.coalesce(F.nullif(F.regexp_extract(html, _TAG + r"""<link[^>]+rel=["']canonical["'][^>]*href=["']([^"']+)["']""", 1), F.lit("")), _first(html, *_meta("og:url")))
+def declared_link(html: Column) -> Column:
+    return _choose(F.regexp_extract(html, _TAG + r"""<link[^>]+rel=["']canonical["'][^>]*href=["']([^"']+)["']""", 1), _first(html, *_meta("og:url")))
+
+
+def declared_canonical(link: Column, base: Column) -> Column:
+    """A declared address made absolute; null if it is of another host."""
     full = fn.absolutize(link, base)
     return F.when(fn.host_of(full) == fn.host_of(base), full)
 
@@ -81,11 +89,11 @@ def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     lastmod = F.col("lastmod") if "lastmod" in landing.columns else F.lit(None).cast("timestamp")
     h = F.col("html")
     d = landing
-    for name, value in (("title", extract_title(h)), ("author", extract_author(h)), ("published_at", extract_published(h, lastmod, F.col("retrieved_at"))), ("content", extract_body(h)), ("declared", declared_canonical(h, F.col("url")))):
+    for name, value in (("title", extract_title(h)), ("author", extract_author(h)), ("published_at", extract_published(h, lastmod, F.col("retrieved_at"))), ("content", extract_body(h)), ("_link", declared_link(h)), ("declared", declared_canonical(F.col("_link"), F.col("url")))):
         d = fixed(d, name, value)
     cause = F.when(F.col("title").isNull() | (F.col("content") == ""), F.when(is_blocked(h), "challenge page").otherwise("no title or body")).when(id_reused(F.col("url"), F.col("declared")), "reused id")
     d = d.withColumn("cause", cause)
-    good = d.filter("cause is null").withColumn("canonical_url", fn.canonicalize_url(F.coalesce("declared", "url"))).withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))).drop("cause", "declared", "html")
+    good = d.filter("cause is null").withColumn("canonical_url", fn.canonicalize_url(F.coalesce("declared", "url"))).withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))).drop("cause", "declared", "_link", "html")
     return good, d.filter("cause is not null").select("url", "cause")
 
 
