@@ -73,29 +73,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(id, source, size, source_size, target, copies, taken) for each row of docs."""
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)), F.lit(1e-9)) if weight_col else F.lit(1.0)).alias("w"))
     rows = table(sized.withColumn("u", uniform(F.col("id"), seed)), "mix-sizes")
-    plan = table(targets(rows, most, weights), "mix-targets")
+    plan = targets(rows, most, weights)
+    if weight_col:
+        mean = rows.groupBy(F.col("source").alias("_m")).agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("mean"))
+        plan = plan.join(mean.hint("merge"), F.col("source").eqNullSafe(F.col("_m"))).drop("_m")
+    else:
+        plan = plan.withColumn("mean", F.lit(1.0))
+    plan = table(plan, "mix-targets")
     few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    f = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size") * F.col("w") / F.col("mean"), F.lit(float(most)))).otherwise(0.0)
     # fractions within a millionth of a whole number are whole
     whole = F.floor(f + 1e-6)
     p = F.when(f - whole < 1e-6, 0.0).otherwise(f - whole)
     r = _meet(rows, plan, few).withColumn("whole", whole.cast("long")).withColumn("p", p)
-    odds = F.least(p * F.col("w"), F.lit(0.999999)) if weight_col else F.col("p")
-    q = (F.col("u") / (1 - F.col("u"))) / (odds / (1 - odds))
-    r = r.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), q)).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * bins).cast("int"))
-    binned = r.filter("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    binned = binned.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    need = F.col("target") - F.col("whole") * F.col("source_size")
-    edge = _meet(binned, plan.withColumn("whole", whole), few).filter((F.col("before") < need) & (F.col("before") + F.col("words") >= need))
-    edge = table(edge.groupBy("source").agg(F.min("bin").alias("edge"), F.min("before").alias("edge_before")), "mix-edge")
-    r = _meet(r, edge, few)
-    need = F.col("target") - F.col("whole") * F.col("source_size")
+    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    r = r.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), q)).withColumn("bin", F.coalesce(F.floor(F.col("q") / (1 + F.col("q")) * bins).cast("int"), F.lit(-1)))
+    binned = r.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    open_words = F.when(F.col("bin") >= 0, F.col("words")).otherwise(0)
+    binned = binned.withColumn("before", F.coalesce(F.sum(open_words).over(by_bin), F.lit(0))).withColumn("certain", F.sum("certain").over(Window.partitionBy("source")))
+    need = F.col("target") - F.col("certain")
+    edge = _meet(binned, plan, few).withColumn("need", need).filter((F.col("bin") >= 0) & (F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")))
+    edge = table(edge.groupBy("source").agg(F.min("bin").alias("edge"), F.min("before").alias("edge_before"), F.min("need").alias("need")), "mix-edge")
+    # where the target lies beyond all words that the sample can give, it takes them all
+    short = table(_meet(binned, plan, few).groupBy("source").agg((F.max("target") > F.max("certain")).alias("wants")), "mix-wants")
+    r = _meet(_meet(r, edge, few), short, few)
+    need = F.col("need")
     at_edge = Window.partitionBy("source", "bin").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sorted_out = r.filter("bin = edge").withColumn("upto", F.col("edge_before") + F.sum("size").over(at_edge))
     # the document that passes the target stays if that comes nearer to it
     sorted_out = sorted_out.withColumn("extra", (F.col("upto") - need <= need - (F.col("upto") - F.col("size"))).cast("long")).drop("upto")
-    rest = r.filter("bin is null or edge is null or bin <> edge").withColumn("extra", F.when(F.col("bin").isNull(), 0).when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), 1).otherwise(0).cast("long"))
+    rest = r.filter("bin < 0 or edge is null or bin <> edge").withColumn("extra", F.when(F.col("bin") < 0, 0).when(F.col("edge").isNull(), F.col("wants").cast("int")).when(F.col("bin") < F.col("edge"), 1).otherwise(0).cast("long"))
     out = sorted_out.unionByName(rest)
     copies = F.col("whole") + F.col("extra")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
