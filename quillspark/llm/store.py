@@ -58,3 +58,15 @@ def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
     element; it can't do so through a generator, which here makes one row of one.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Rows of text that Spark hands to Python at once; texts may be long, and the default is 10,000 rows.
+TEXT_ROWS = 500
+
+
+def by_text(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold TEXT_ROWS rows at most; to be called before mapInArrow."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return df
