@@ -76,3 +76,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
     count = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.regexp_replace(text_col, r"\n|(?<=[.,;?]) ", "")) + 1).cast("long")
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias(names[0]), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(names[1]))
+
+
+#: The rows of the op7 query, for DuckDB.
+ORACLE_SQL = r"""
+WITH u AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.,;?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(range(len(l))) AS p, unnest(l) AS x FROM u),
+w AS (SELECT doc_id, p, x, trim(x, ' ') || chr(2) || lead(trim(x, ' ')) OVER o || chr(2) || lead(trim(x, ' '), 2) OVER o AS k,
+             length(x) + lead(length(x)) OVER o + lead(length(x), 2) OVER o AS n
+        FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+c AS (SELECT doc_id, p, k, min(doc_id) OVER (PARTITION BY k) AS d, row_number() OVER (PARTITION BY k, doc_id ORDER BY p) AS r FROM w WHERE k IS NOT NULL AND n >= 40),
+g AS (SELECT DISTINCT doc_id, p + s AS p FROM c, (VALUES (0), (1), (2)) AS t(s) WHERE doc_id > d OR r > 1)
+SELECT u.doc_id, CASE WHEN u.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(u.l), 0)::BIGINT AS n_lines, coalesce(z.n, 0)::BIGINT AS n_removed
+  FROM u
+  LEFT JOIN (SELECT e.doc_id, string_agg(e.x, '' ORDER BY e.p) AS text FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1) k ON k.doc_id = u.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) z ON z.doc_id = u.doc_id
+"""

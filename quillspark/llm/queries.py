@@ -86,4 +86,4 @@ QUERIES = {
         op10_markov_secrets,
     )
 }
-ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL, "op7_line_windows": lines.ORACLE_SQL}
