@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import arrowtext as at
+from quillspark.llm.store import by_text
 
 RANK = 64
 BLOCK = 16
@@ -94,7 +95,7 @@ def idf(docs: DataFrame, items: Items, text_col: str = "text", common: float = C
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(count[seen], n))], names=["term", "n"])
 
-    got = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    got = by_text(docs.select(text_col)).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     by = {r[0]: r[1] for r in got}  # as many rows as the benchmark has terms
     n = max(by.pop(-1, 0), 1)
     c = np.zeros(len(items.terms))
@@ -146,7 +147,7 @@ def basis(docs: DataFrame, items: Items, weight: np.ndarray, text_col: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), *(pa.array(values[:, j]) for j in range(rank))], names=["term", *(f"c{j}" for j in range(rank))])
 
     schema = "term long, " + ", ".join(f"c{j} double" for j in range(rank))
-    got = docs.select(text_col).mapInArrow(run, schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(rank))).collect()
+    got = by_text(docs.select(text_col)).mapInArrow(run, schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(rank))).collect()
     g, rows = np.zeros((v, rank)), 0.0
     for r in got:  # terms x rank numbers
         if r[0] == -1:
@@ -246,7 +247,7 @@ def _search(docs: DataFrame, search, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["id", "found"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("found", T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("overlap", T.DoubleType())])))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return by_text(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, answer_col: str | None) -> tuple[DataFrame, int]:
@@ -274,7 +275,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             for batch in batches:
                 yield batch.filter(pa.array([not f for f in search(batch.column(place))], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = by_text(out).mapInArrow(run, docs.schema)
     return out
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.labelled import logistic, sample
+from quillspark.llm.store import by_text
 
 #: Labelled rows that are fitted on at most, about; those of each class that the dictionaries see.
 MAX_TRAIN_ROWS = 20_000
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, max_rows
             x = [measure.features(t.encode()) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    part = rows.filter("_part >= 6").select("_text", "_label").mapInArrow(run, "y int, x array<double>").toPandas()
+    part = by_text(rows.filter("_part >= 6").select("_text", "_label")).mapInArrow(run, "y int, x array<double>").toPandas()
     if part.empty:
         return m
     m.weights = logistic(np.array(part["x"].tolist()), part["y"].to_numpy(float), ridge=1e-6)
@@ -119,4 +120,4 @@ def score(docs: DataFrame, m: QualityModel, id_col: str = "doc_id", text_col: st
 
     d = T.DoubleType()
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", d), T.StructField("size_difference", d), T.StructField("compressed_share", d)])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return by_text(docs.select(id_col, text_col)).mapInArrow(run, schema)

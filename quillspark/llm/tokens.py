@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.store import by_text
+
 MARK = "▁"
 #: Chunks that a task remembers at most.
 REMEMBERED = 1_000_000
@@ -119,4 +121,4 @@ def count_tokens(docs: DataFrame, v: Vocabulary, limit: int = 4096, id_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.count(texts), pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return by_text(docs.select(id_col, text_col)).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quillspark.llm import arrowtext as at
 from quillspark.llm.labelled import logistic, sample
-from quillspark.llm.store import table
+from quillspark.llm.store import by_text, table
 
 #: Labelled rows that are fitted on at most, about.
 MAX_TRAIN_ROWS = 30_000
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 4, held: int = 2, max_rows
     Without labels of both kinds there is no lexicon, and every text gets the same low score.
     """
     rows = sample(docs, labels, label, by, held, max_rows, id_col, text_col)
-    counts = rows.filter("_part < 7").select("_text", "_label").mapInArrow(_count, "term long, toxic long, clean long")
+    counts = by_text(rows.filter("_part < 7").select("_text", "_label")).mapInArrow(_count, "term long, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # the more texts, the more terms are tried, and the stricter the test
     tried = rows.filter("_part < 7").count()
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 4, held: int = 2, max_rows
                 count, out = _scan(m, data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array([y[lo + i] for i in range(len(out))], pa.int32()), pa.array(count.astype(np.int64)), pa.array([[s for s, _, _ in x] for x in out], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
-    part = rows.filter("_part >= 7").select("_text", "_label").mapInArrow(calibration, "y int, n long, s array<double>").toPandas()
+    part = by_text(rows.filter("_part >= 7").select("_text", "_label")).mapInArrow(calibration, "y int, n long, s array<double>").toPandas()
     if part.empty or part["y"].nunique() < 2:
         return m
     clean = part[part["y"] == 0]
@@ -232,7 +232,7 @@ def passages(docs: DataFrame, m: ToxicModel, id_col: str = "doc_id", text_col: s
     field = docs.schema[id_col]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("segment_score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
     schema = T.StructType([T.StructField(id_col, field.dataType), T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(span))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return by_text(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, m: ToxicModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -249,4 +249,4 @@ def drop_toxic(docs: DataFrame, m: ToxicModel, threshold: float = 0.3, text_col:
                 keep += (1 / (1 + np.exp(-z)) < threshold).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_text(docs).mapInArrow(run, docs.schema)
