@@ -286,32 +286,67 @@ def thin_documents(t: Tables) -> DataFrame:
     return t.documents.filter(fn.is_thin(F.col("content"))).select("id", F.length(fn.normalize_text(F.col("content"))).cast("long").alias("n"))
 
 
-@registered()
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def _duck_text(html: str) -> str:
+    out = f"regexp_replace({html}, '<[^>]*>', ' ', 'gs')"
+    for name, char in _ENTITIES:
+        out = f"replace({out}, '{name}', '{char}')"
+    return DUCK_NORM.format(out)
+
+
+_PAGES = f"""WITH r AS (SELECT page_id, url, html, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS t, regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 'is') AS a FROM pages),
+c AS (SELECT page_id, url, {_duck_text("t")} AS title, {_duck_text("regexp_replace(CASE WHEN a = '' THEN html ELSE a END, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis')")} AS content FROM r)
+SELECT page_id, url, title, NULL::VARCHAR AS author, content, sha256(title || chr(10) || content) AS content_hash, NULL::VARCHAR AS cause FROM c"""
+_HUB = """WITH m AS (SELECT url, regexp_extract_all(html, '<a[^>]+href=["'']([^"''#]+)', 1, 'i') AS l FROM pages),
+e AS (SELECT url, unnest(l) AS raw, unnest(range(len(l))) AS pos FROM m),
+f AS (SELECT url, CASE WHEN raw LIKE 'http%' THEN raw ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || raw END AS link, pos FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY url, regexp_replace(link, '[?#].*$', '') ORDER BY pos) AS k FROM f WHERE regexp_extract(link, '^[A-Za-z]+://[^/?#]*') = regexp_extract(url, '^[A-Za-z]+://[^/?#]*'))
+SELECT url, link, pos::INT AS pos FROM g WHERE k = 1"""
+
+
+@registered(_PAGES)
 def pages_extract(t: Tables) -> DataFrame:
     landing = t.raw("pages").select("page_id", "url", "html").withColumn("retrieved_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     good, bad = pages.extract_articles(landing)
     return good.select("page_id", "url", "title", "author", "content", "content_hash", F.lit(None).cast("string").alias("cause")).unionByName(bad.select("url", "cause"), allowMissingColumns=True)
 
 
-@registered()
+@registered(_HUB)
 def hub_links(t: Tables) -> DataFrame:
     return pages.hub_links(t.raw("pages"))
 
 
-@registered()
+def _p(k: int) -> str:
+    """A probability of a document, by arithmetic that both engines share."""
+    return f"CAST((id * 7919 + {k} * 104729) * 31 % 1000 AS DOUBLE) / 1000"
+
+
+def _duck_tags(axis: int, slugs: dict[str, int]) -> str:
+    """The likely slugs of a confident axis, slugs in registry order with the number of their probability."""
+    return ", ".join(f"CASE WHEN {_p(100 + axis)} >= 0.5 AND {_p(k)} >= 0.2 THEN '{s}' END" for s, k in slugs.items())
+
+
+@registered(
+    f"""SELECT id AS document_id, concat_ws(',', {_duck_tags(0, {"luxury": 2, "jewelry": 1, "ai": 0})}, {_duck_tags(1, {"brazil": 11, "mexico": 10})}, CASE WHEN {_p(2)} < 0.9 THEN 'news' END) AS topics,
+       CASE WHEN {_p(103)} >= 0.5 THEN least(greatest(4 * ({_p(203)}) - 0.5, 0), 3) / 3 END AS score,
+       CASE WHEN {_p(2)} >= 0.9 THEN 'unknown content type: unheard-of' END AS cause FROM v_documents""",
+    "documents",
+)
 def judgment_readoff(t: Tables) -> DataFrame:
-    """Judgments derived from the labels and documents, read off under the gates."""
+    """Judgments derived from the documents' ids, read off under the gates."""
     from quillspark.operators.judgments import read_off
 
-    d = t.documents.select(F.col("id").alias("document_id"))
-    p = lambda k: (F.pmod(F.xxhash64("document_id", F.lit(k)), F.lit(1000)) / 1000.0).cast("double")
+    d = t.documents.select("id")
     axes = [("pillar", ["ai", "jewelry", "luxury"]), ("region", ["mexico", "brazil"]), ("content-type", ["news", "report"]), ("digest", ["yes"])]
     rows = None
     for k, (axis, slugs) in enumerate(axes):
-        one = d.select("document_id", F.lit(axis).alias("axis"), F.map_from_arrays(F.array(*[F.lit(s) for s in slugs]), F.array(*[p(10 * k + j) for j in range(len(slugs))])).alias("probabilities"), F.when(p(k) < 0.9, slugs[0]).otherwise("unheard-of").alias("choice"), p(100 + k).alias("confidence"), (4 * p(200 + k) - 0.5).alias("score"))
+        chances = F.map_from_arrays(F.array(*[F.lit(s) for s in slugs]), F.array(*[F.expr(_p(10 * k + j)) for j in range(len(slugs))]))
+        choice = F.when(F.expr(_p(k)) < 0.9, slugs[0]).otherwise("unheard-of")
+        one = d.select(F.col("id").alias("document_id"), F.lit(axis).alias("axis"), chances.alias("probabilities"), choice.alias("choice"), F.expr(_p(100 + k)).alias("confidence"), (4 * F.expr(_p(200 + k)) - 0.5).alias("score"))
         rows = one if rows is None else rows.unionAll(one)
-    out = read_off(rows)
-    return out.withColumn("topics", F.array_join("topics", ","))
+    return read_off(rows).select("document_id", F.array_join("topics", ",").alias("topics"), "score", "cause")
 
 
 @registered("""WITH f AS (SELECT document_id, frame_index, image_text, row_number() OVER (PARTITION BY document_id, image_text ORDER BY frame_index) = 1 AS first_seen,
