@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
+from quillspark.functions.markers import FEED_CHALLENGE, which
 
 _ITEM = "title string, link string, author string, creator string, pubDate string, published string, updated string, description string, summary string, content string, encoded string, guid string"
 _RSS = f"channel struct<item: array<struct<{_ITEM.replace(' string', ': string')}>>>, _bad string"
 _SITEMAP = "url array<struct<loc: string, lastmod: string, news: struct<publication_date: string>>>, sitemap array<struct<loc: string, lastmod: string>>, _bad string"
 _POST = "shortCode string, url string, caption string, ownerUsername string, timestamp string, displayUrl string, childPosts array<struct<displayUrl: string>>"
 #: Fixed values.
-CHALLENGE = ("just a moment", "captcha", "access denied", "attention required", "checking your browser")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
@@ -48,10 +48,7 @@ def parse_feeds(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
 def diagnose_feeds(landing: DataFrame) -> DataFrame:
     """(source, url, diagnosis): ok, blocked, dead or unparseable."""
     d = _read(landing, _RSS)
-    head = F.lower(F.substring("body", 1, 65536))
-    blocked = F.lit(False)
-    for m in CHALLENGE:
-        blocked = blocked | F.contains(head, F.lit(m))
+    blocked = which(F.col("body"), FEED_CHALLENGE, 65536).isNotNull()
     n = F.coalesce(F.size("_x.channel.item"), F.lit(0))
     return d.select("source", "url", F.when(n > 0, "ok").when(blocked, "blocked").when(F.col("_x._bad").isNotNull(), "unparseable").otherwise("dead").alias("diagnosis"))
 

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
+from quillspark.functions.markers import reject_cause
 from quillspark.functions.rows import fixed
 
-#: Fixed values.
-BLOCK_MARKERS = ("just a moment", "checking your browser", "attention required", "enable javascript and cookies", "access denied", "captcha")
 _TAG = "(?is)"
 
 
@@ -76,14 +75,6 @@ def id_reused(fetched: Column, declared: Column) -> Column:
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), F.lit(False))
 
 
-def is_blocked(payload: Column) -> Column:
-    head = F.lower(F.substring(payload, 1, 4096))
-    out = F.lit(False)
-    for m in BLOCK_MARKERS:
-        out = out | F.contains(head, F.lit(m))
-    return out
-
-
 def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(articles, rejects) of (url, html, retrieved_at[, lastmod])."""
     lastmod = F.col("lastmod") if "lastmod" in landing.columns else F.lit(None).cast("timestamp")
@@ -91,7 +82,7 @@ def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = landing
     for name, value in (("title", extract_title(h)), ("author", extract_author(h)), ("published_at", extract_published(h, lastmod, F.col("retrieved_at"))), ("content", extract_body(h)), ("_link", declared_link(h)), ("declared", declared_canonical(F.col("_link"), F.col("url")))):
         d = fixed(d, name, value)
-    cause = F.when(F.col("title").isNull() | (F.col("content") == ""), F.when(is_blocked(h), "challenge page").otherwise("no title or body")).when(id_reused(F.col("url"), F.col("declared")), "reused id")
+    cause = F.when(F.col("title").isNull() | (F.col("content") == ""), reject_cause(h, F.lit("no title or body"))).when(id_reused(F.col("url"), F.col("declared")), "reused id")
     d = d.withColumn("cause", cause)
     good = d.filter("cause is null").withColumn("canonical_url", fn.canonicalize_url(F.coalesce("declared", "url"))).withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))).drop("cause", "declared", "_link", "html")
     return good, d.filter("cause is not null").select("url", "cause")

@@ -1,7 +1,11 @@
+import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from quillspark.functions import markers
 from quillspark.operators.frontier import frontier
-from quillspark.sources import feeds, pages
+from quillspark.sources import catalog, feeds, pages
 
 NOW = datetime(2024, 1, 1)
 
@@ -12,7 +16,7 @@ def test_articles_and_links(spark):
     good, bad = pages.extract_articles(spark.createDataFrame(rows, "url string, html string, retrieved_at timestamp"))
     a = good.collect()
     assert [(r.title, r.author, r.content, r.canonical_url, r.published_at) for r in a] == [("A & B", "Ann", "Body text", "https://h.com/x/2024", NOW)]
-    assert sorted((r.url, r.cause) for r in bad.collect()) == [("https://h.com/a/12345", "reused id"), ("https://h.com/b", "challenge page")]
+    assert sorted((r.url, r.cause) for r in bad.collect()) == [("https://h.com/a/12345", "reused id"), ("https://h.com/b", "challenge: block page (marker just a moment)")]
     links = pages.hub_links(spark.createDataFrame(rows[:1], "url string, html string, retrieved_at timestamp"), "/x/")
     assert sorted(r.link for r in links.collect()) == ["https://h.com/x/1"]
 
@@ -46,3 +50,23 @@ def test_posts_and_frames(spark):
     assert [(r.frame_index, r.url) for r in f.collect()] == [(0, "u0"), (1, "u1")]
     p = feeds.plan_frames(spark.createDataFrame([(1, i, d) for i, d in enumerate("abacd")], "document_id int, frame_index int, digest string"), 2)
     assert [(r.first_seen, r.over_cap, r.first_index) for r in p.orderBy("frame_index").collect()] == [(True, False, 0), (True, False, 1), (False, False, 0), (True, True, 3), (True, True, 4)]
+
+
+def test_catalog(spark, tmp_path):
+    entries = [{"name": "A", "language": "pt-BR", "cadence": " Daily ", "enrichment": {"threshold": 0, "mode": "force_on"}, "retrieval": {"type": "sitemap+hub", "sitemaps": [" u ", ""], "sitemap_exclude": "/x/", "max_urls": 7, "image_text": "extract", "id_guard": True}}, {"language": "en"}, {"name": "B", "retrieval": {"type": "odd", "extractor": "json-ld-first", "sitemap_exclude": ["^/a$", "/b/"]}}]
+    (tmp_path / "r.json").write_text(json.dumps(entries))
+    c = catalog.source_catalog(spark, str(tmp_path / "r.json"))
+    assert [(r.name, r.language, r.cadence) for r in c.orderBy("ordinal").collect()] == [("A", "pt", "Daily"), ("B", "en", None)]
+    assert sorted(map(tuple, catalog.enrichment_policy(c).collect())) == [("A", 500, "force_on"), ("B", 500, "auto")]
+    got = {r.name: r for r in catalog.retrieval_config(c).collect()}
+    assert (got["A"].type, got["A"].sitemaps, got["A"].sitemap_exclude, got["A"].max_urls, got["A"].image_text, got["A"].id_guard) == ("sitemap+hub", ["u"], ["/x/"], 7, "ignore", True)
+    assert (got["B"].type, got["B"].extractor, got["B"].sitemap_exclude, got["B"].max_urls) == ("rss", "json-ld-first", ["^/a$", "/b/"], 50)
+
+
+def test_causes(spark):
+    land = spark.createDataFrame([("s", "u1", "<?xml?><urlset>challenge</urlset>"), ("s", "u2", "Title: captcha"), ("s", "u3", "plain words")], "source string, url string, body string")
+    assert sorted((r.url, r.cause) for r in catalog.sitemap_challenges(land).collect()) == [("u2", "challenge: block page (marker captcha)"), ("u3", "challenge: not XML")]
+    hubs = land.select("source", "url", F.col("body").alias("html"))
+    assert {r.url: r.cause for r in catalog.diagnose_hubs(hubs, spark.createDataFrame([("u1",)], "url string")).collect()} == {"u2": "challenge: block page (marker captcha)", "u3": "challenge: not HTML"}
+    md = spark.createDataFrame([("Lede [a](http://x) ![i](y)\n\nmore\n\n## Related articles\n\ngone",)], "md string")
+    assert md.select(markers.clean_family_markdown(F.col("md"))).first()[0] == "Lede a\n\nmore"
