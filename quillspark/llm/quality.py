@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, max_rows
             x = [measure.features(t.encode()) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    part = by_text(rows.filter("_part >= 6").select("_text", "_label")).mapInArrow(run, "y int, x array<double>").toPandas()
+    part = by_text(rows.filter("_part >= 6").select("_text", "_label")).mapInArrow(run, "y int, x array<double>").toArrow().to_pandas()
     if part.empty:
         return m
     m.weights = logistic(np.array(part["x"].tolist()), part["y"].to_numpy(float), ridge=1e-6)

@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 4, held: int = 2, max_rows
     # the more texts, the more terms are tried, and the stricter the test
     tried = rows.filter("_part < 7").count()
     lexicon, _, _ = log_odds(table(counts, "toxic-terms"), z=max(3.0, 0.5 * math.log(max(tried, 1)) + 0.3))
-    got = lexicon.toPandas()
+    got = lexicon.toArrow().to_pandas()
     terms = got["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(terms)
     p1, p0 = got["share_toxic"].sum() / 3, got["share_clean"].sum() / 3
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 4, held: int = 2, max_rows
                 count, out = _scan(m, data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array([y[lo + i] for i in range(len(out))], pa.int32()), pa.array(count.astype(np.int64)), pa.array([[s for s, _, _ in x] for x in out], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
-    part = by_text(rows.filter("_part >= 7").select("_text", "_label")).mapInArrow(calibration, "y int, n long, s array<double>").toPandas()
+    part = by_text(rows.filter("_part >= 7").select("_text", "_label")).mapInArrow(calibration, "y int, n long, s array<double>").toArrow().to_pandas()
     if part.empty or part["y"].nunique() < 2:
         return m
     clean = part[part["y"] == 0]
