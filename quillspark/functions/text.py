@@ -12,6 +12,7 @@ SCORE_CAP = 0.3
 THIN = 500
 SNIPPET_RADIUS = 120
 SOURCE_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+SOURCE_KEY_PREFIX = "trend-intelligence-brain:source:"
 NO_TEXT = "NO_TEXT"
 _URI = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
 
@@ -57,7 +58,7 @@ def content_hash(title: Column, content: Column) -> Column:
 
 def source_uuid(name: Column) -> Column:
     """UUID version 5 of a source in the address namespace."""
-    h = F.sha1(F.concat(F.unhex(F.lit(SOURCE_NAMESPACE.replace("-", ""))), F.encode(F.concat(F.lit("trend-intelligence-brain:source:"), name), "UTF-8")))
+    h = F.sha1(F.concat(F.unhex(F.lit(SOURCE_NAMESPACE.replace("-", ""))), F.encode(F.concat(F.lit(SOURCE_KEY_PREFIX), name), "UTF-8")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 

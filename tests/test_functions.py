@@ -33,7 +33,7 @@ def test_text(spark):
     assert one(spark, fn.normalize_text(F.col("u")), u="  a \n b ") == "a b"
     assert one(spark, fn.strip_html(F.col("u")), u="<p>a &amp; b</p>c") == html.unescape("a &amp; b c")
     assert one(spark, fn.content_hash(F.col("a"), F.col("b")), a=" t ", b="x\n y") == hashlib.sha256(b"t\nx y").hexdigest()
-    assert one(spark, fn.source_uuid(F.col("u")), u="Some Source") == str(uuid.uuid5(uuid.NAMESPACE_DNS, "trend-intelligence-brain:source:Some Source"))
+    assert one(spark, fn.source_uuid(F.col("u")), u="Some Source") == str(uuid.uuid5(uuid.NAMESPACE_DNS, fn.SOURCE_KEY_PREFIX + "Some Source"))
     assert one(spark, fn.is_paywalled(F.col("u")), u="... Subscribe to READ ...") is True
     assert one(spark, fn.normalize_language(F.col("u")), u="pt-BR") == "pt"
     assert one(spark, fn.normalize_language(F.col("u")), u="klingon") == "en"
