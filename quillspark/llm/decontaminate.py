@@ -7,10 +7,12 @@ can add to a cosine with a benchmark item. Three passes read every document whol
 2. a randomised SVD: with M the TF-IDF rows of all 64-word passages and of the items (both halves
    weighing the same), M'(M W) is summed over the cluster for a random W; an orthonormal basis of it
    spans the leading right singular vectors;
-3. windows of four 16-word blocks, one at each block, meet the items in the latent space; a cosine of
-   `cosine` or more makes a candidate, which is checked at once: the longest common subsequence of the
-   item's words and the window's, with half a window to each side, must hold `overlap` of the item's
-   words, and the item's answer, where the benchmark has an answer column, must stand there too.
+3. windows of four 16-word blocks, one at each block, meet the items in the latent space, an item longer
+   than a window as a whole and by its window-sized pieces; a cosine of `cosine` or more makes a candidate,
+   which is checked at once: the longest common subsequence of the item's words and those of the span
+   where the whole item would lie, with half a window or half the item to each side, must hold `overlap`
+   of the item's words, and the item's answer, where the benchmark has an answer column, must stand there
+   or next to it. An item whose first `least` words stand in a document is a candidate in any case.
 
 The items are sent to every task, in blocks of at most ITEMS_A_BLOCK; nothing else is. Null and empty
 documents have no item, null and empty items are in no document. Items of fewer than `least` words are
@@ -39,7 +41,9 @@ OVERLAP = 0.65
 COMMON = 0.003
 LEAST = 8
 #: Items sent to the tasks at once: 2,000 items of 50 words are under 10 MB with their latent vectors.
+#: A longer item counts as one for each ITEM_CHARACTERS.
 ITEMS_A_BLOCK = 2_000
+ITEM_CHARACTERS = 512
 
 
 @dataclass
@@ -104,12 +108,22 @@ def idf(docs: DataFrame, items: Items, text_col: str = "text", common: float = C
     return np.where(c > common * n, 0.0, np.log1p(per / np.maximum(np.minimum(c, per), 1.0))).astype(np.float32)
 
 
-def _item_rows(items: Items, weight: np.ndarray) -> np.ndarray:
-    m = np.zeros((len(items.words), len(weight)), np.float32)
+def _pieces(items: Items) -> list[tuple[int, int, int]]:
+    """(item, start, end) of what meets the windows: each item, and the pieces of one longer than a window."""
+    size, out = BLOCK * WINDOW, []
     for i, w in enumerate(items.words):
-        p, t = _find(items, w)
-        np.add.at(m[i], t, weight[t])
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+        out.append((i, 0, len(w)))
+        if len(w) > size:
+            out += [(i, min(k, len(w) - size), min(k, len(w) - size) + size) for k in range(0, len(w), size)]
+    return out
+
+
+def _piece_rows(items: Items, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, TF-IDF of length 1) of each piece."""
+    for i, a, e in _pieces(items):
+        t, n = np.unique(_find(items, items.words[i][a:e])[1], return_counts=True)
+        x = n * weight[t]
+        yield t, (x / max(float(np.linalg.norm(x)), 1e-9)).astype(np.float32)
 
 
 def basis(docs: DataFrame, items: Items, weight: np.ndarray, text_col: str = "text", rank: int = RANK, seed: int = 5) -> np.ndarray:
@@ -154,9 +168,9 @@ def basis(docs: DataFrame, items: Items, weight: np.ndarray, text_col: str = "te
             rows = r[1]
         else:
             g[r[0]] = r[1:]
-    m = _item_rows(items, weight)
-    share = max(rows, 1.0) / max(len(m), 1)
-    g += share * (m.T @ (m @ omega))
+    share = max(rows, 1.0) / max(len(_pieces(items)), 1)
+    for t, x in _piece_rows(items, weight):
+        g[t] += share * np.outer(x, x @ omega[t])
     return np.linalg.qr(g)[0].astype(np.float32)
 
 
@@ -175,6 +189,14 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def _mixed(t: np.ndarray) -> np.ndarray:
+    """A hash of each row of term numbers."""
+    acc = np.zeros(len(t), np.uint64)
+    for j in range(t.shape[1]):
+        acc = at.mix(acc * np.uint64(0xD6E8FEB86659FD93) + t[:, j].astype(np.uint64))
+    return acc
+
+
 def _within(small: np.ndarray, large: np.ndarray) -> bool:
     n = len(small)
     return n == 0 or any((large[i : i + n] == small).all() for i in np.flatnonzero(large[: max(0, len(large) - n + 1)] == small[0]))
@@ -182,15 +204,43 @@ def _within(small: np.ndarray, large: np.ndarray) -> bool:
 
 def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, overlap: float, least: int):
     """A function of an Arrow column: for each row, {item: overlap}."""
-    latent = _item_rows(items, weight) @ q
+    pieces = _pieces(items)
+    latent = np.zeros((len(pieces), q.shape[1]), np.float32)
+    for j, (t, x) in enumerate(_piece_rows(items, weight)):
+        latent[j] = x @ q[t]
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.where(norm > 1e-6, latent / np.maximum(norm, 1e-9), 0).astype(np.float32)
+    whole = {i: j for j, (i, _, _) in reversed(list(enumerate(pieces)))}
     project = (weight[:, None] * q).astype(np.float32)
     #: items without a latent vector, or too short for one, are looked up by their first word
-    plain = [i for i, w in enumerate(items.words) if len(w) and (len(w) < least or norm[i, 0] <= 1e-6)]
+    plain = [i for i, w in enumerate(items.words) if len(w) and (len(w) < least or norm[whole[i], 0] <= 1e-6)]
     plain_first = {int(items.words[i][0]): [j for j in plain if items.words[j][0] == items.words[i][0]] for i in plain}
     plain_key = np.array(sorted(plain_first), np.uint64)
     side = BLOCK * WINDOW // 2
+    #: all others by their first words, as numbers of terms
+    begin = [(i, _find(items, w[:least])[1]) for i, w in enumerate(items.words) if len(w) >= max(least, 1)]
+    is_first = np.zeros(len(items.terms), bool)
+    by_begin: dict[int, list[int]] = {}
+    for i, t in begin:
+        is_first[t[0]] = True
+        by_begin.setdefault(int(_mixed(t[None, :])[0]), []).append(i)
+    begin_key = np.array(sorted(by_begin), np.uint64)
+    chunk = max(1, 4096 * ITEMS_A_BLOCK // max(len(pieces), ITEMS_A_BLOCK))
+
+    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def check(found: list[dict], h: np.ndarray, first: np.ndarray, r: int, i: int, a: int, e: int) -> None:
+        """Hold item i against the words a to e of row r, unless they lie in words it was held against."""
+        a, e = max(int(first[r]), int(a)), min(int(first[r + 1]), int(e))
+        spans = seen.setdefault((int(r), i), [])
+        if any(x <= a and e <= y for x, y in spans):
+            return
+        spans.append((a, e))
+        w, answer = items.words[i], items.answers[i]
+        share = common_subsequence(w, h[a:e]) / len(w)
+        if share >= overlap and share > found[r].get(i, 0.0):
+            if _within(answer, h[max(first[r], a - len(answer)) : min(first[r + 1], e + len(answer))]):
+                found[r][i] = share
 
     def search(column: pa.Array) -> list[dict]:
         out: list[dict] = []
@@ -202,7 +252,19 @@ def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, ov
             blocks = -(-count // BLOCK) + WINDOW - 1
             base = np.concatenate([[0], np.cumsum(blocks)])
             found: list[dict] = [{} for _ in range(n)]
+            seen.clear()
             p, t = _find(items, h)
+            if len(begin_key) and len(p) >= least:
+                x = np.flatnonzero(is_first[t[: len(t) - least + 1]])
+                x = x[(p[x + least - 1] == p[x] + least - 1) & (row[p[x + least - 1]] == row[p[x]])]
+                key = _mixed(t[x[:, None] + np.arange(least)])
+                for k in np.flatnonzero(np.isin(key, begin_key)):
+                    at_word = int(p[x[k]])
+                    r = row[at_word]
+                    for i in by_begin[int(key[k])]:
+                        w, slack = items.words[i], max(side, len(items.words[i]) // 2)
+                        if found[r].get(i, 0.0) < 0.999:
+                            check(found, h, first, r, i, at_word - slack, at_word + max(len(w), BLOCK * WINDOW) + slack)
             keep = weight[t] > 0
             p, t = p[keep], t[keep]
             if len(p):
@@ -213,19 +275,21 @@ def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, ov
                 z = sum(z[k : k + base[-1]] for k in range(WINDOW))
                 size = np.linalg.norm(z, axis=1)
                 live = np.flatnonzero(size > 1e-6)
-                for c in range(0, len(live), 4096):
-                    own = live[c : c + 4096]
+                for c in range(0, len(live), chunk):
+                    own = live[c : c + chunk]
                     near = (z[own] @ latent.T) >= cosine * size[own, None]
-                    for k, i in zip(*np.nonzero(near), strict=True):
+                    for k, j in zip(*np.nonzero(near), strict=True):
                         r = int(np.searchsorted(base, own[k], "right")) - 1
-                        if found[r].get(i, 0.0) >= 0.999 or len(items.words[i]) < least:
+                        i, o, end = pieces[j]
+                        length = len(items.words[i])
+                        if found[r].get(i, 0.0) >= 0.999 or length < least:
                             continue
                         at_word = first[r] + (own[k] - base[r] - WINDOW + 1) * BLOCK
-                        a, e = max(first[r], at_word - side), min(first[r + 1], at_word + BLOCK * WINDOW + side)
-                        window = h[a:e]
-                        share = common_subsequence(items.words[i], window) / len(items.words[i])
-                        if share >= overlap and share > found[r].get(i, 0.0) and _within(items.answers[i], window):
-                            found[r][i] = share
+                        slack = max(side, length // 2)
+                        # a window may be any part of a long item that is like it as a whole
+                        before = length if end - o > BLOCK * WINDOW else o
+                        after = length if end - o > BLOCK * WINDOW else max(length - o - BLOCK * WINDOW, 0)
+                        check(found, h, first, r, i, at_word - before - slack, at_word + BLOCK * WINDOW + after + slack)
             if len(plain_key):
                 for x in np.flatnonzero(np.isin(h, plain_key)):
                     for i in plain_first[int(h[x])]:
@@ -253,7 +317,8 @@ def _search(docs: DataFrame, search, id_col: str, text_col: str) -> DataFrame:
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, answer_col: str | None) -> tuple[DataFrame, int]:
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     bench = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"), answer.alias("a"))
-    return bench, max(1, -(-bench.count() // ITEMS_A_BLOCK))
+    n = bench.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.length("t") / ITEM_CHARACTERS)))).first()[0] or 0
+    return bench, max(1, -(-int(n) // ITEMS_A_BLOCK))
 
 
 def _block(bench: DataFrame, blocks: int, k: int) -> Items:
