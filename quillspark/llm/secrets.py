@@ -2,14 +2,13 @@
 
 Base kinds, each leftmost and non-overlapping, over whole texts: `assign` (a keyword, = or :, a value
 of 6 or more), `access` (AKIA..., 20 or more) and `hex` (24 or more). The method adds `markov`: runs of
-20 to 256 characters of [A-Za-z0-9+/_=-] (longer ones count by their first 256, the span being whole)
-that hold a digit and overlap no base span, and that a first-order Markov chain of random strings
-explains better than one of ordinary identifiers.
+20 characters or more of [A-Za-z0-9+/_=-] that hold a digit and overlap no base span, and that, taken
+whole, a first-order Markov chain of random strings explains better than one of ordinary identifiers.
 
-Transitions between single characters are counted over the whole corpus from samples that the base
-kinds label: values they matched, of 16 characters or more with a digit and a letter, are random
-strings; words of 8 characters or more of the same texts that hold no match are identifiers. The two
-tables are some thousand numbers each.
+Transitions between single characters are counted over the whole corpus: values that the base kinds
+matched, of 16 characters or more with a digit and a letter, are random strings; words of 8 characters
+or more of all texts, but those that look like an access key or hex, are identifiers. The two tables
+are some thousand numbers each.
 
 DataFrame functions only. Null texts count as empty and give no span; very long texts are scanned
 whole; repeated rows are scanned alike; other columns aren't touched. Spans are in code points, end
@@ -31,7 +30,6 @@ ACCESS = "AKIA[A-Z0-9]+"
 ACCESS_LONG = "AKIA[A-Z0-9]{16,}"
 HEX_LONG = "[0-9a-f]{24,}"
 RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-MOST = 256
 #: States of the chains; what is none of these is the state of the start.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 THRESHOLD = 0.0
@@ -70,8 +68,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         d = fixed(d, name, found)
     d = fixed(d, "_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     runs = F.filter("_run", lambda r: r["value"].rlike("[0-9]") & ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    # the text goes along only where the samples are taken from
-    return fixed(d, "_runs", runs).select("_id", F.when(F.size("_base") > 0, F.col("_text")).alias("_text"), "_base", "_runs")
+    return fixed(d, "_runs", runs).select("_id", "_base", "_runs")
 
 
 def _place(c: Column) -> Column:
@@ -80,17 +77,24 @@ def _place(c: Column) -> Column:
 
 def _pairs(rows: DataFrame) -> DataFrame:
     """(a, b, n) of the column v: how often character b follows a, as places in ALPHABET (0: the start)."""
-    pair = F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.struct(F.when(i == 1, 0).otherwise(_place(F.substring(F.col("v"), i - 1, F.lit(1)))).alias("a"), _place(F.substring(F.col("v"), i, F.lit(1))).alias("b")))
-    return rows.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    # each different string once
+    d = fixed(rows.groupBy("v").agg(F.count("*").alias("_times")), "_places", F.transform(F.split("v", ""), _place))
+    before = F.concat(F.array(F.lit(0)), F.slice("_places", 1, F.size("_places") - 1))
+    d = d.select("_times", F.explode(F.arrays_zip(before.alias("a"), F.col("_places").alias("b"))).alias("p"))
+    return d.groupBy("p.a", "p.b").agg(F.sum("_times").alias("n"))
 
 
-def models(spans: DataFrame) -> list[float]:
+def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(v): the words of all texts that the chain of identifiers learns from."""
+    found = F.regexp_extract_all(text_col, F.lit("(?<![A-Za-z0-9_-])[A-Za-z_-][A-Za-z0-9_-]{7,}+"), F.lit(0))
+    return docs.select(F.explode(found).alias("v")).filter(~F.col("v").rlike("^AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
+
+
+def models(spans: DataFrame, words: DataFrame) -> list[float]:
     """Log-likelihood ratios random to identifier, by (a, b) in row order; empty without both samples."""
-    cut = F.substring("v", 1, MOST).alias("v")
     values = spans.select(F.explode("_base").alias("s")).select(F.col("s.value").alias("v")).filter(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]") & (F.length("v") >= 16))
-    words = spans.filter(F.size("_base") > 0).select(F.explode(F.regexp_extract_all("_text", F.lit("(?<![A-Za-z0-9_-])[A-Za-z_-][A-Za-z0-9_-]{7,}+"), F.lit(0))).alias("v")).filter(~F.col("v").rlike("^AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
     k = len(ALPHABET) + 1
-    both = _pairs(values.select(cut)).withColumn("m", F.lit(0)).unionAll(_pairs(words.select(cut)).withColumn("m", F.lit(1)))
+    both = _pairs(values).withColumn("m", F.lit(0)).unionAll(_pairs(words).withColumn("m", F.lit(1)))
     n = [[[0.5] * k for _ in range(k)] for _ in range(2)]
     total = [0, 0]
     for a, b, c, m in both.collect():  # at most two times the alphabet squared
@@ -102,10 +106,10 @@ def models(spans: DataFrame) -> list[float]:
 
 
 def ratio_of(value: Column, ratios: list[float]) -> Column:
-    """Log-likelihood ratio of a run of ALPHABET's characters, over its first MOST."""
+    """Log-likelihood ratio of a whole run of ALPHABET's characters."""
     k = len(ALPHABET) + 1
     table_ = F.split(F.lit(",".join(f"{x:.9f}" for x in ratios)), ",").cast("array<double>")
-    chars = F.split(F.substring(value, 1, MOST), "")
+    chars = F.split(value, "")
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last"))
     return F.aggregate(chars, start, lambda s, c: F.struct((s["sum"] + F.get(table_, s["last"] * k + _place(c))).alias("sum"), _place(c).alias("last")), lambda s: s["sum"])
 
@@ -113,7 +117,7 @@ def ratio_of(value: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, spans): array<struct<start, kind, end, value, ratio>> by start, then kind; ratio for markov only."""
     d = table(scanned(docs, id_col, text_col), "secret-spans")
-    ratios = models(d)
+    ratios = models(d, identifiers(docs, text_col))
     none = F.lit(None).cast("double")
 
     def with_ratio(s, ratio):
