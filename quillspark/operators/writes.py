@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import markers
 from quillspark.functions import text as fn
 from quillspark.functions.vocabulary import canonicalize_topics
 from quillspark.operators.effective import assigned_topics, capped, resolve
@@ -137,13 +138,22 @@ def flag_unrecoverable(enriched: DataFrame) -> DataFrame:
 def choose_leg(docs: DataFrame, legs: DataFrame, threshold: int = fn.THIN) -> DataFrame:
     """docs (url, content, mode) with the body of the first leg that serves (url, primary, reader, scrape), and the cause where none does.
 
-    A body that isn't thin stays unless forced. The primary leg's text is taken even if thin, a later
-    leg's only if it isn't; a document that no leg serves keeps its body.
+    A body that isn't thin stays unless forced. The primary leg's text is taken even if thin, but not an
+    application shell; a later leg's only if it isn't thin. legs may have the failures as primary_error,
+    reader_error and scrape_error: after a failure of the primary that another way of fetching can't
+    mend, the later legs don't count. A document that no leg serves keeps its body.
     """
     d = docs.join(legs, "url", "left")
     skip = (F.col("mode") != "force_on") & (~fn.is_thin(F.col("content"), threshold) | (F.col("mode") == "force_off"))
-    primary = F.nullif(fn.normalize_text(F.coalesce("primary", F.lit(""))), F.lit(""))
-    later = [F.when(~fn.is_thin(F.col(c), threshold), F.col(c)) for c in ("reader", "scrape")]
-    body = F.coalesce(F.when(primary.isNotNull(), F.col("primary")), *later)
-    cause = F.when(~skip & body.isNull(), F.substring(F.lit("primary: empty; reader: thin; scrape: thin"), 1, 1024))
+    names = ("primary", "reader", "scrape")
+    error = {c: F.nullif(F.trim(F.coalesce(F.col(f"{c}_error"), F.lit(""))), F.lit("")) if f"{c}_error" in legs.columns else F.lit(None).cast("string") for c in names}
+    empty = {c: fn.normalize_text(F.coalesce(c, F.lit(""))) == "" for c in names}
+    shell = F.coalesce(markers.is_js_shell(F.col("primary"), threshold), F.lit(False))
+    final = empty["primary"] & error["primary"].isNotNull() & ~markers.is_primary_miss(error["primary"])
+    later = [F.when(~final & ~fn.is_thin(F.col(c), threshold), F.col(c)) for c in names[1:]]
+    body = F.coalesce(F.when(~empty["primary"] & ~shell, F.col("primary")), *later)
+    own = {c: F.when(empty[c], F.coalesce(error[c], F.lit("empty"))).otherwise(F.lit("thin")) for c in names[1:]}
+    first = F.when(empty["primary"], F.coalesce(error["primary"], F.lit("empty"))).otherwise(F.lit("JS shell"))
+    causes = [F.concat(F.lit("primary: "), first), *(F.concat(F.lit(f"{c}: "), F.when(final, F.lit("not tried")).otherwise(own[c])) for c in names[1:])]
+    cause = F.when(~skip & body.isNull(), F.substring(F.concat_ws("; ", *causes), 1, 1024))
     return d.select(*[c for c in docs.columns if c != "content"], F.when(skip, F.col("content")).otherwise(F.coalesce(body, "content")).alias("content"), cause.alias("cause"))
