@@ -93,10 +93,14 @@ def hash_words(texts: list[str], separators: np.ndarray = BLANK, lower: bool = F
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingles(row: np.ndarray, h: np.ndarray, rows: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every run of n words of a row; a row of 1 to n-1 words has one of all its words."""
+def shingles(row: np.ndarray, h: np.ndarray, rows: int, n: int = 5, size: np.ndarray | None = None):
+    """(row, hash) of every run of n words of a row; a row of 1 to n-1 words has one of all its words.
+
+    With the size of each word, (row, hash, size): the words of a run summed.
+    """
     count = np.bincount(row, minlength=rows)
     m = len(h)
+    sums = None if size is None else np.concatenate([[0], np.cumsum(size)])
     parts = []
     if m >= n:
         same = row[: m - n + 1] == row[n - 1 :]
@@ -104,7 +108,7 @@ def shingles(row: np.ndarray, h: np.ndarray, rows: int, n: int = 5) -> tuple[np.
         acc = np.zeros(len(at), np.uint64)
         for k in range(n):
             acc = acc * np.uint64(0xD6E8FEB86659FD93) + h[at + k]
-        parts.append((row[at], mix(acc)))
+        parts.append((row[at], mix(acc), None if sums is None else sums[at + n] - sums[at]))
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
         first = np.concatenate([[0], np.cumsum(count)])[short]
@@ -112,7 +116,8 @@ def shingles(row: np.ndarray, h: np.ndarray, rows: int, n: int = 5) -> tuple[np.
         for k in range(n - 1):
             has = count[short] > k
             acc[has] = acc[has] * np.uint64(0xD6E8FEB86659FD93) + h[first[has] + k]
-        parts.append((short, mix(acc + count[short].astype(np.uint64))))
+        parts.append((short, mix(acc + count[short].astype(np.uint64)), None if sums is None else sums[first + count[short]] - sums[first]))
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), None if sums is None else np.zeros(0, np.int64))]
+    out = tuple(np.concatenate([p[k] for p in parts]) for k in range(2 if sums is None else 3))
+    return out

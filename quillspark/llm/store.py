@@ -5,11 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
+#: Where each table that was written lies.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Tasks over which the rows of one key are dealt at least.
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +45,38 @@ def table(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder; set here only where the cluster names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def discard(*tables: DataFrame) -> None:
+    """Free the files of tables that nothing reads any more; only for what a later table has replaced."""
+    for df in tables:
+        if df in _PATHS:
+            _remove(df.sparkSession, _PATHS.pop(df))
+
+
+def spread_join(rows: DataFrame, one: DataFrame, on: list[str], by: Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of `one`, which has one row a key, however many rows share a key.
+
+    `by` deals the rows of a key over SALTS tasks. The keys and salts that occur are found by a distinct
+    (tasks keep one row each of a hot key), get the columns of `one`, and then meet the rows.
+    """
+    d = rows.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int"))
+    per = d.select(*on, "_salt").distinct().join(one.hint("merge"), on, "inner")
+    return d.join(per.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many leading underscores as make it none of the columns (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:

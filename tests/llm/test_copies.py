@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import arrowtext, decontaminate, lines, neardup
 from quillspark.llm.components import components
+from quillspark.llm.store import spread_join
 from tests.llm.cases import no_docs, odd_docs, text
 
 
@@ -108,6 +109,64 @@ def test_near_duplicates(spark):
     assert kept.columns == ["doc_id", "text", "class_id"]
 
 
+def family(base, share, seed, n, start):
+    """n texts around one base, in each of which some words were changed, and n that share its first half only."""
+    r, rows = random.Random(seed), []
+    for k in range(n):
+        rows.append((start + k, varied(base, seed * 1000 + k, r.randrange(0, share))))
+    half = " ".join(base.split()[: len(base.split()) // 2])
+    return rows + [(start + n + k, half + " " + text(seed * 77 + k, len(base.split()) // 2)) for k in range(n)]
+
+
+def test_near_duplicates_of_a_skewed_table_lose_no_link(spark):
+    """Against brute force: a large group around one text, and as many texts that share half of it."""
+    rows = family(text(1, 300), 14, 1, 150, 0) + [(1000 + i, text(5000 + i, 120)) for i in range(60)]
+    random.Random(3).shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    s = {i: sets_of(t) for i, t in rows}
+    parent = {i: i for i in s}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(s, 2):
+        if jaccard(s[a], s[b]) >= 0.8:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in s}
+
+
+def test_prefix_pairs_hold_all_similar_pairs(spark):
+    """The exact step alone, without any links before it."""
+    rows = family(text(2, 60), 5, 2, 25, 0) + [(100 + k, text(2, 60 + k)) for k in range(20)]
+    s = {i: sets_of(t) for i, t in rows}
+    sets = neardup.table(neardup.shingle_sets(spark.createDataFrame(rows, "node long, _text string")), "test-sets")
+    none = spark.createDataFrame([], "node long, root long")
+    got = {(r.a, r.b) for r in neardup.rest_pairs(*neardup._meetings(neardup.prefixes(sets, 0.8), none, 0.8), 0.8).collect()}
+    want = {(max(p), min(p)) for p in itertools.combinations(s, 2) if jaccard(s[p[0]], s[p[1]]) >= 0.8}
+    assert want and want <= got
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, text(1, 50), 7), (2, text(1, 50), 8), (3, text(2, 50), 9), (3, text(2, 50), 9), (None, text(3, 40), 1), (None, text(3, 40), 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, v int")
+    d = d.select("*", *(F.col("v").alias(c) for c in ("_turn", "_keep", "_h1", "_h2", "_row", "_least", "node", "_id", "class_id", "copy_of")))
+    out = neardup.keep_one(d)
+    assert out.columns == d.columns
+    assert sorted((r[0] or 0, *r[2:]) for r in out.collect()) == [(i, *[v] * 11) for i, v in ((0, 1), (1, 7), (3, 9))]
+    assert neardup.keep_one(d.limit(0)).count() == 0
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 5), (3, 6)], "k int, i int")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    got = spread_join(rows, one, ["k"], F.xxhash64("i")).collect()
+    assert sorted((r.k, r.i, r.v) for r in got) == sorted([(1, i, "a") for i in range(300)] + [(2, 5, "b")])
+    assert spread_join(rows, one, ["k"], F.xxhash64("i"), "left").filter("v is null").count() == 1
+
+
 def test_near_duplicates_odd(spark):
     got = neardup.near_duplicates(odd_docs(spark)).collect()
     assert len(got) == 8
