@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm import arrowtext as at
-from quillspark.llm.store import by_text
+from quillspark.llm.store import by_text, discard, table
 
 RANK = 64
 BLOCK = 16
@@ -302,16 +303,23 @@ def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, ov
     return search
 
 
-def _search(docs: DataFrame, search, id_col: str, text_col: str) -> DataFrame:
-    kind = pa.list_(pa.struct([("item", pa.int32()), ("overlap", pa.float64())]))
+def _search(rows: DataFrame, search, ids: list, item_type: T.DataType, keep_text: bool) -> DataFrame:
+    """rows (id, text, found) with the items that `search` finds added to found; row by row, whatever the ids."""
+    kind = to_arrow_type(_found(item_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"item": int(i), "overlap": float(s)} for i, s in sorted(f.items())] for f in search(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["id", "found"])
+            before = batch.column(2).to_pylist()
+            new = [[{"item": ids[i], "overlap": float(s)} for i, s in sorted(f.items())] for f in search(batch.column(1))]
+            found = pa.array([b + f for b, f in zip(before, new, strict=True)], kind)
+            text = batch.column(1) if keep_text else pa.nulls(batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, found], names=["id", "text", "found"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("found", T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("overlap", T.DoubleType())])))])
-    return by_text(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return by_text(rows).mapInArrow(run, rows.schema)
+
+
+def _found(item_type: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("item", item_type), T.StructField("overlap", T.DoubleType())]))
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, answer_col: str | None) -> tuple[DataFrame, int]:
@@ -345,21 +353,23 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None, cosine: float = COSINE, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(id, contaminated, n_items, item_ids, best_overlap), a row for each row of docs.
+    """(id, contaminated, n_items, item_ids, best_overlap), a row for each row of docs, repeated and null ids included.
 
-    More than ITEMS_A_BLOCK items are taken in blocks, one search after the other over all documents;
-    the blocks meet by the id, so rows that share an id get each other's items then.
+    More than `ITEMS_A_BLOCK` items are taken in blocks; each row takes what was found along from block
+    to block, written to the shared folder in between.
     """
     bench, blocks = _blocks(benchmark, item_id, item_text, answer_col)
-    out = None
+    kind = benchmark.schema[item_id].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(_found(kind)).alias("found"))
     for k in range(blocks):
         items = _block(bench, blocks, k)
-        weight = idf(docs, items, text_col)
-        q = basis(docs, items, weight, text_col)
-        ids = F.array(*[F.lit(x) for x in items.ids]).cast(T.ArrayType(benchmark.schema[item_id].dataType)) if items.ids else F.array().cast(T.ArrayType(benchmark.schema[item_id].dataType))
-        got = _search(docs, _searcher(items, weight, q, cosine, overlap, least), id_col, text_col)
-        got = got.select("id", F.transform("found", lambda x: F.get(ids, x["item"])).alias("item_ids"), F.coalesce(F.array_max(F.transform("found", lambda x: x["overlap"])), F.lit(0.0)).alias("best_overlap"))
-        out = got if out is None else out.unionAll(got)
-    if blocks > 1:
-        out = out.groupBy("id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.max("best_overlap").alias("best_overlap"))
-    return out.select(F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.sort_array("item_ids").alias("item_ids"), "best_overlap")
+        weight = idf(rows, items)
+        search = _searcher(items, weight, basis(rows, items, weight), cosine, overlap, least)
+        last, before = k + 1 == blocks, rows
+        rows = _search(rows, search, items.ids, kind, not last)
+        if not last:
+            rows = table(rows, "benchmark-found")
+            discard(before)
+    ids = F.transform("found", lambda x: x["item"])
+    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["overlap"])), F.lit(0.0))
+    return rows.select(F.col("id").alias(id_col), (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), F.sort_array(ids).alias("item_ids"), best.alias("best_overlap"))

@@ -1,7 +1,8 @@
 """Line dedup by overlapping three-line windows, on DataFrame functions only.
 
-A line ends at a line feed; a long line is cut further behind a clause end ([.,;?] and a blank), so a
-passage that was set into another line is met too. Every three consecutive lines make a window, told
+What counts as a line is what `cut` leaves: by default a line ends at a line feed and, within it, behind
+each clause end ([.,;?] and a blank), so a passage that was set into another line is met too; with
+cut=LINE_FEEDS only line feeds end lines. Every three consecutive lines make a window, told
 by a hash of the lines without outer blanks; windows of fewer than `min_chars` characters don't count.
 A window that occurred before, in a document of a smaller id or above in the same one, covers its
 three lines; the lines covered by any such window go, all others stay as they were, joined in order.
@@ -10,31 +11,28 @@ The first occurrence of a text therefore always stays.
 Null texts stay null; empty texts and texts of fewer than three lines never change. Documents of null
 id come last and don't count as earlier than each other; rows that share an id don't count as
 earlier than each other either. Very long texts are handled whole. Every row and every other column
-stays as it was, repeated rows included; clashing names can't occur, as working columns are named
-with a prefix that is checked.
+stays as it was, repeated rows included, whatever the columns' names. Texts of one id are told apart by
+64 bits of hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.store import fixed, table
+from quillspark.llm.store import fixed, fresh, table
 
 MIN_CHARS = 40
+LINE_FEEDS = r"(?<=\n)"
 CUT = r"(?<=\n)|(?<=[.,;?] )"
-#: Documents with covered lines, and covered lines, up to which they are broadcast; beyond, a shuffled join.
-BROADCAST_DOCUMENTS = 300_000
-BROADCAST_LINES = 3_000_000
+#: Documents with covered lines, and covered lines, up to which they are broadcast, some 30 MB; beyond, a shuffled join.
+BROADCAST_DOCUMENTS = 200_000
+BROADCAST_LINES = 2_000_000
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, CUT)
-
-
-def window_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def window_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int, cut: str = CUT) -> DataFrame:
     """(_h, _id, _k, _pos, _again): each window; _again where the same text had it above."""
-    d = docs.select(F.col(id_col).alias("_id"), F.hash(text_col).alias("_k"), _lines(F.col(text_col)).alias("_lines")).filter(F.size("_lines") >= 3)
+    d = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_k"), F.split(text_col, cut).alias("_lines")).filter(F.size("_lines") >= 3)
     d = fixed(d, "_own", F.transform("_lines", lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), F.length(x).alias("n")))).drop("_lines")
 
     def window(i):
@@ -48,9 +46,9 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return d.select(F.col("_x.h").alias("_h"), "_id", "_k", F.col("_x.pos").alias("_pos"), ((F.col("_j") > 0) & (F.get("_w", F.col("_j") - 1)["h"] == F.col("_x.h"))).alias("_again"))
 
 
-def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, cut: str = CUT) -> DataFrame:
     """(_id, _k, _gone): for each text with lines to remove, their positions."""
-    w = table(window_rows(docs, id_col, text_col, min_chars), "line-windows")
+    w = table(window_rows(docs, id_col, text_col, min_chars, cut), "line-windows")
     seen = w.filter(~F.col("_again")).groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.max(F.col("_id").isNull()).alias("_null"))
     seen = seen.filter((F.col("_first") < F.col("_last")) | (F.col("_null") & F.col("_first").isNotNull())).select("_h", "_first")
     seen = table(seen, "line-repeats")
@@ -60,22 +58,19 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return gone.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.array(p, p + 1, p + 2)))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the text deduplicated, and the columns n_lines and n_removed (renamed by a leading underscore where docs has such names)."""
-    taken = [c for c in docs.columns if c in ("_gone", "_gid", "_gk")]
-    if taken:
-        raise ValueError(f"columns {taken} are reserved")
-    gone = table(covered(docs, id_col, text_col, min_chars), "lines-gone").select(F.col("_id").alias("_gid"), F.col("_k").alias("_gk"), "_gone")
-    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, cut: str = CUT) -> DataFrame:
+    """docs with the text deduplicated, and the columns n_lines and n_removed (with leading underscores where docs has such names)."""
+    gone, gid, key, n_lines, n_removed = fresh(docs.columns, "_gone", "_gid", "_gk", "n_lines", "n_removed")
+    found = table(covered(docs, id_col, text_col, min_chars, cut), "lines-gone").select(F.col("_id").alias(gid), F.col("_k").alias(key), F.col("_gone").alias(gone))
+    size = found.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
     small = size[0] <= BROADCAST_DOCUMENTS and size[1] <= BROADCAST_LINES
-    on = F.col(id_col).eqNullSafe(F.col("_gid")) & (F.hash(F.col(text_col)) == F.col("_gk"))
-    out = docs.join(F.broadcast(gone) if small else gone.hint("merge"), on, "left")
-    lines = _lines(F.col(text_col))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "")
-    names = ["_" + c if c in docs.columns else c for c in ("n_lines", "n_removed")]
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.regexp_replace(text_col, r"\n|(?<=[.,;?]) ", "")) + 1).cast("long")
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias(names[0]), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(names[1]))
+    on = F.col(id_col).eqNullSafe(F.col(gid)) & (F.xxhash64(F.col(text_col)) == F.col(key))
+    out = docs.join(F.broadcast(found) if small else found.hint("merge"), on, "left")
+    lines = F.split(text_col, cut)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
+    count = F.coalesce(F.size(lines), F.lit(0)) if cut != CUT else F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.regexp_replace(text_col, r"\n|(?<=[.,;?]) ", "")) + 1)
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], count.cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed))
 
 
 #: The rows of the op7 query, for DuckDB.

@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.labelled import logistic, sample
-from quillspark.llm.store import by_text
+from quillspark.llm.store import by_text, table
 
 #: Labelled rows that are fitted on at most, about; those of each class that the dictionaries see.
 MAX_TRAIN_ROWS = 20_000
 MAX_DICTIONARY_ROWS = 1_500
+#: Bytes of them that the driver gets for each class, about.
+MAX_DICTIONARY_TEXT = 32 << 20
 DICTIONARY_BYTES = 112_640
 BLOCK = 1024
 LEVEL = 3
@@ -79,14 +81,15 @@ class Measure:
 def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, max_rows: int = MAX_TRAIN_ROWS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit on labelled rows whose crc32(id) modulo `by` isn't `held`; about max_rows at most.
 
-    The dictionaries are trained on the driver from at most MAX_DICTIONARY_ROWS whole texts of each
-    class. Without labels of both kinds every text gets the share of good labels, or 0.5.
+    The dictionaries are trained on the driver from at most about MAX_DICTIONARY_ROWS whole texts of each
+    class, of MAX_DICTIONARY_TEXT bytes together. Without labels of both kinds every text gets the share of good labels, or 0.5.
     """
-    rows = sample(docs, labels, label, by, held, max_rows, id_col, text_col)
-    counts = {r[0]: r[1] for r in rows.filter("_part < 6").groupBy("_label").count().collect()}
+    rows = table(sample(docs, labels, label, by, held, max_rows, id_col, text_col), "quality-sample")
+    got = rows.filter("_part < 6").groupBy("_label").agg(F.count("*"), F.sum(F.octet_length("_text"))).collect()
+    counts, sizes = {r[0]: r[1] for r in got}, {r[0]: r[2] for r in got}
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     for y, n in counts.items():
-        share = min(1.0, MAX_DICTIONARY_ROWS / n)
+        share = min(1.0, MAX_DICTIONARY_ROWS / n, MAX_DICTIONARY_TEXT / max(sizes[y], 1))
         picked = rows.filter((F.col("_part") < 6) & (F.col("_label") == y) & (F.pmod(F.xxhash64("_text", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)))
         texts[y] = [r[0].encode() for r in picked.select("_text").collect()]
     if not texts[0] or not texts[1]:

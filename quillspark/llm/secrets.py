@@ -2,13 +2,16 @@
 
 Base kinds, each leftmost and non-overlapping, over whole texts: `assign` (a keyword, = or :, a value
 of 6 or more), `access` (AKIA..., 20 or more) and `hex` (24 or more). The method adds `markov`: runs of
-20 characters or more of [A-Za-z0-9+/_=-] that hold a digit and overlap no base span, and that, taken
-whole, a first-order Markov chain of random strings explains better than one of ordinary identifiers.
+LEAST characters or more of [A-Za-z0-9+/_=-] that overlap no base span and that, taken whole, a
+first-order Markov chain of random strings explains better than one of ordinary identifiers.
 
 Transitions between single characters are counted over the whole corpus: values that the base kinds
-matched, of 16 characters or more with a digit and a letter, are random strings; words of 8 characters
-or more of all texts, but those that look like an access key or hex, are identifiers. The two tables
-are some thousand numbers each.
+matched, of 16 characters or more with a digit and a letter, are random strings; all runs of the texts
+that hold no such value are ordinary: words, names, paths, numbers; those that a first count of both
+calls random are left out of the second. A fifth of the different strings of both, by a hash, is held out; the threshold of
+the ratio is the logarithm of how many ordinary strings there are for a random one, or what FALSE_ALARMS
+of the held-out ordinary strings pass at most, if that is more, but so that no more than MISSED of the
+held-out random ones are lost.
 
 DataFrame functions only. Null texts count as empty and give no span; very long texts are scanned
 whole; repeated rows are scanned alike; other columns aren't touched. Spans are in code points, end
@@ -18,6 +21,8 @@ exclusive. Where either sample is empty, the method adds nothing.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,104 +34,158 @@ ACCESS = "AKIA[A-Z0-9]+"
 #: Runs of hex digits are maximal, so a shorter run can't hold a match; nor can a shorter access key.
 ACCESS_LONG = "AKIA[A-Z0-9]{16,}"
 HEX_LONG = "[0-9a-f]{24,}"
-RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: States of the chains; what is none of these is the state of the start.
+#: What the chains judge: maximal runs of LEAST characters or more.
+LEAST = 8
+RUN = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
+#: States of the chains, besides the start.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-THRESHOLD = 0.0
+#: Least length of a base value that the chain of random strings learns from.
+RANDOM_LENGTH = 16
+#: Share of the held-out ordinary strings that may pass the threshold, of the held-out random ones that may fail it, and the steps in which it is set.
+FALSE_ALARMS, MISSED, GRID, MOST_BINS = 1e-3, 0.01, 0.25, 20_000
+#: Matches of a text whose lengths are summed together.
+BLOCK = 128
+SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 KINDS = ("assign", "access", "hex", "markov")
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int | None, least: int) -> Column:
-    """array<struct<start, kind, end, value>> of the matches whose group has at least `least` characters.
+def _with_spans(d: DataFrame, name: str, pattern: str, kind: int, group: int = 0, least: int = 0, where: Column | None = None) -> DataFrame:
+    """d with array<struct<start, kind, end, value>> of the matches in _text whose group has at least `least` characters.
 
     Matches and what lies between them, taken in turn, make up the text: lengths summed give places.
+    They are summed by blocks, and within a block, so the work follows the number of matches.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), whole.alias("whole"), value.alias("value"))
-    # start of each match by one pass over gaps and matches; few texts have more than a few
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["whole"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    found = F.aggregate(parts, zero, step, lambda a: a["out"])
+    t = F.col("_text")
+    hit = t.rlike(pattern) if where is None else where
+    found = lambda g: F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(g)))
+    own = d.columns
+    d = fixed(fixed(d, "_whole", found(0)), "_value", found(group) if group else F.lit(None).cast("array<string>"))
+    d = fixed(d, "_gap", F.when(hit, F.transform(F.split(t, pattern, -1), F.length)))
+    d = fixed(d, "_len", F.zip_with("_gap", "_whole", lambda g, w: g + F.coalesce(F.length(w), F.lit(0))))
+    upto = lambda block, n: F.aggregate(F.slice("_len", block * BLOCK + 1, n), F.lit(0), lambda x, y: x + y)
+    d = fixed(d, "_block", F.transform(F.sequence(F.lit(0), F.floor((F.size("_len") - 1) / BLOCK).cast("int")), lambda b: upto(b, F.lit(BLOCK))))
+    zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+    d = fixed(d, "_start", F.aggregate("_block", zero, step, lambda acc: acc["out"]))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    start = lambda i: F.get("_start", block(i)) + upto(block(i), i % BLOCK) + F.get("_gap", i)
+    d = fixed(d, "_places", F.transform("_whole", lambda w, i: start(i)))
+
+    def span(w, i):
+        at = F.get("_places", i)
+        return F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(w)).alias("end"), (F.get("_value", i) if group else w).alias("value"))
+
+    spans = F.transform("_whole", span)
     if least:
-        found = F.filter(found, lambda x: F.length(x["value"]) >= least)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+        spans = F.filter(spans, lambda x: F.length(x["value"]) >= least)
+    return fixed(d, name, F.coalesce(spans, F.array().cast(SPANS))).select(*own, name)
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _base, _runs): base spans in order, and the runs the method judges, each with its place."""
+    """(_id, _text, _base, _runs): base spans in order, and the strings of the runs that hold no base value."""
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    t = F.col("_text")
-    for name, found in (("_assign", _spans(t, ASSIGN, 0, 2, 6)), ("_access", _spans(t, ACCESS_LONG, 1, None, 0)), ("_hex", _spans(t, HEX_LONG, 2, None, 0)), ("_run", _spans(t, RUN, 3, None, 0))):
-        d = fixed(d, name, found)
+    for name, args in (("_assign", (ASSIGN, 0, 2, 6)), ("_access", (ACCESS_LONG, 1)), ("_hex", (HEX_LONG, 2))):
+        d = _with_spans(d, name, *args)
     d = fixed(d, "_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    runs = F.filter("_run", lambda r: r["value"].rlike("[0-9]") & ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return fixed(d, "_runs", runs).select("_id", "_base", "_runs")
+    runs = F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
+    runs = F.when(F.size("_base") == 0, runs).otherwise(F.filter(runs, lambda r: ~F.exists("_base", lambda b: F.contains(r, b["value"]))))
+    return d.select("_id", "_text", "_base", runs.alias("_runs"))
+
+
+def _codes(value: Column) -> Column:
+    return F.transform(F.split(value, ""), F.ascii)
+
 
+def _pairs(strings: DataFrame) -> DataFrame:
+    """(a, b, n) of (v, times): how often character b follows a, as ASCII codes (a = 0: the start)."""
+    d = fixed(strings, "_codes", _codes(F.col("v")))
+    before = F.concat(F.array(F.lit(0)), F.slice("_codes", 1, F.size("_codes") - 1))
+    d = d.select("times", F.explode(F.arrays_zip(before.alias("a"), F.col("_codes").alias("b"))).alias("p"))
+    return d.groupBy("p.a", "p.b").agg(F.sum("times").alias("n"))
 
-def _place(c: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), c)
 
+def samples(scan_of: DataFrame) -> DataFrame:
+    """(v, m, times, held): the different strings that the chains learn from; m: 0 random, 1 ordinary; a fifth is held out."""
+    values = scan_of.select(F.explode("_base").alias("s")).select(F.col("s.value").alias("v")).filter(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]") & (F.length("v") >= RANDOM_LENGTH))
+    values = values.select(F.translate("v", ".", "").alias("v"), F.lit(0).alias("m"))
+    both = values.unionAll(scan_of.select(F.explode("_runs").alias("v"), F.lit(1).alias("m")))
+    return both.groupBy("v", "m").agg(F.count("*").alias("times")).withColumn("held", F.pmod(F.xxhash64("v"), F.lit(5)) == 0)
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, n) of the column v: how often character b follows a, as places in ALPHABET (0: the start)."""
-    # each different string once
-    d = fixed(rows.groupBy("v").agg(F.count("*").alias("_times")), "_places", F.transform(F.split("v", ""), _place))
-    before = F.concat(F.array(F.lit(0)), F.slice("_places", 1, F.size("_places") - 1))
-    d = d.select("_times", F.explode(F.arrays_zip(before.alias("a"), F.col("_places").alias("b"))).alias("p"))
-    return d.groupBy("p.a", "p.b").agg(F.sum("_times").alias("n"))
 
+@dataclass
+class Chains:
+    ratios: list[float]  # log-likelihood ratio random to ordinary, by the codes of a character and its next
+    threshold: float
 
-def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(v): the words of all texts that the chain of identifiers learns from."""
-    found = F.regexp_extract_all(text_col, F.lit("(?<![A-Za-z0-9_-])[A-Za-z_-][A-Za-z0-9_-]{7,}+"), F.lit(0))
-    return docs.select(F.explode(found).alias("v")).filter(~F.col("v").rlike("^AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
 
+def _ratios(learn: DataFrame) -> list[float]:
+    """Log-likelihood ratios random to ordinary by (a, b); the driver gets at most two tables of the alphabet squared."""
+    k = len(ALPHABET)
+    both = _pairs(learn.filter("m = 0")).withColumn("m", F.lit(0)).unionAll(_pairs(learn.filter("m = 1")).withColumn("m", F.lit(1)))
+    n = [defaultdict(float), defaultdict(float)]
+    total = [defaultdict(float), defaultdict(float)]
+    for a, b, c, m in both.collect():
+        n[m][a, b] += c
+        total[m][a] += c
+    log = lambda m, a, b: math.log((n[m][a, b] + 0.5) / (total[m][a] + 0.5 * k))
+    codes = {ord(c) for c in ALPHABET}
+    return [log(0, a, b) - log(1, a, b) if b in codes and (a in codes or a == 0) else 0.0 for a in range(128) for b in range(128)]
 
-def models(spans: DataFrame, words: DataFrame) -> list[float]:
-    """Log-likelihood ratios random to identifier, by (a, b) in row order; empty without both samples."""
-    values = spans.select(F.explode("_base").alias("s")).select(F.col("s.value").alias("v")).filter(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]") & (F.length("v") >= 16))
-    k = len(ALPHABET) + 1
-    both = _pairs(values).withColumn("m", F.lit(0)).unionAll(_pairs(words).withColumn("m", F.lit(1)))
-    n = [[[0.5] * k for _ in range(k)] for _ in range(2)]
-    total = [0, 0]
-    for a, b, c, m in both.collect():  # at most two times the alphabet squared
-        n[m][a][b] += c
-        total[m] += c
-    if not all(total):
-        return []
-    return [math.log(n[0][a][b] / sum(n[0][a])) - math.log(n[1][a][b] / sum(n[1][a])) for a in range(k) for b in range(k)]
+
+def models(strings: DataFrame) -> Chains | None:
+    """Chains counted over the samples, and the threshold from those held out; None without both samples.
+
+    Ordinary strings that the first count calls random at the prior odds are left out of the second one,
+    so that random strings without a label don't teach the chain of ordinary ones.
+    """
+    every = {r[0]: r[1] for r in strings.groupBy("m").agg(F.sum("times")).collect()}
+    if not every.get(0) or not every.get(1):
+        return None
+    prior = max(0.0, math.log(every[1] / every[0]))
+    first = _ratios(strings.filter("not held"))
+    strings = strings.filter((F.col("m") == 0) | (ratio_of(F.col("v"), first) <= prior))
+    ratios = _ratios(strings.filter("not held"))
+    bins = F.greatest(F.lit(-1), F.least(F.floor(ratio_of(F.col("v"), ratios) / GRID), F.lit(MOST_BINS)))
+    held = strings.filter("held").select("m", bins.alias("bin"), "times").groupBy("m", "bin").agg(F.sum("times")).collect()
+    return Chains(ratios, threshold_of(*({b: n for m, b, n in held if m == k} for k in (0, 1)), prior))
+
+
+def threshold_of(random: dict[int, int], ordinary: dict[int, int], prior: float) -> float:
+    """The least point of the grid that reaches the prior log-odds and that at most FALSE_ALARMS of the ordinary strings pass.
+
+    No more than MISSED of the random ones may fail it. Keys are steps of the grid, values how many strings lie there.
+    """
+    alarms = FALSE_ALARMS * sum(ordinary.values())
+    prior = math.ceil(max(prior, 0.0) / GRID)
+    point = max([b + 1 for b in ordinary if sum(n for c, n in ordinary.items() if c >= b) > alarms], default=0)
+    misses = MISSED * sum(random.values())
+    most = max([b for b in random if sum(n for c, n in random.items() if c < b) <= misses], default=max(point, prior))
+    return max(0, min(max(point, prior), most)) * GRID
 
 
 def ratio_of(value: Column, ratios: list[float]) -> Column:
-    """Log-likelihood ratio of a whole run of ALPHABET's characters."""
-    k = len(ALPHABET) + 1
+    """Log-likelihood ratio of a whole run of ALPHABET's characters, a step for each character."""
     table_ = F.split(F.lit(",".join(f"{x:.9f}" for x in ratios)), ",").cast("array<double>")
-    chars = F.split(value, "")
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last"))
-    return F.aggregate(chars, start, lambda s, c: F.struct((s["sum"] + F.get(table_, s["last"] * k + _place(c))).alias("sum"), _place(c).alias("last")), lambda s: s["sum"])
+    return F.aggregate(_codes(value), start, lambda s, c: F.struct((s["sum"] + F.get(table_, s["last"] * 128 + c)).alias("sum"), c.alias("last")), lambda s: s["sum"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): array<struct<start, kind, end, value, ratio>> by start, then kind; ratio for markov only."""
     d = table(scanned(docs, id_col, text_col), "secret-spans")
-    ratios = models(d, identifiers(docs, text_col))
+    m = models(table(samples(d), "secret-samples"))
     none = F.lit(None).cast("double")
 
     def with_ratio(s, ratio):
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), ratio.alias("ratio"))
 
     spans = F.transform("_base", lambda s: with_ratio(s, none))
-    if ratios:
-        judged = F.transform("_runs", lambda r: with_ratio(r, ratio_of(r["value"], ratios)))
-        spans = F.concat(spans, F.filter(judged, lambda s: s["ratio"] > threshold))
+    if m is not None:
+        # places are worked out for the texts that have a run to report
+        d = _with_spans(d, "_run", RUN, 3, where=F.exists("_runs", lambda r: ratio_of(r, m.ratios) > m.threshold))
+        apart = F.filter("_run", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+        judged = F.transform(apart, lambda r: with_ratio(r, ratio_of(r["value"], m.ratios)))
+        spans = F.concat(spans, F.filter(judged, lambda s: s["ratio"] > m.threshold))
     return d.select(F.col("_id").alias(id_col), F.array_sort(spans).alias("spans"))
 
 

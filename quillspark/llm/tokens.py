@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from quillspark.llm.store import by_text
 
 MARK = "▁"
-#: Chunks that a task remembers at most.
-REMEMBERED = 1_000_000
+#: Chunks that a task remembers at most, and the longest that it remembers: some 100 MB together.
+REMEMBERED = 500_000
+LONGEST = 64
 _CHUNK = re.compile("▁*[^▁\n]+|▁+|\n[^▁\n]*")
 
 
@@ -83,12 +84,14 @@ class Counter:
         found = _CHUNK.findall(marked) if self.v.feed else re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)
         return [c[1:].replace(MARK, " ") if c[0] == MARK else c for c in found]
 
+    def _sizes(self, new: list[str]) -> list[int]:
+        # what begins with a feed has the dummy mark as a token of its own
+        return [len(ids) - (self.v.feed and c[0] == "\n") for c, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True)]
+
     def _learn(self, new: list[str]) -> None:
         if len(self.known) > REMEMBERED:
             self._forget()
-        for c, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            # what begins with a feed has the dummy mark as a token of its own
-            self.known[c] = len(ids) - (self.v.feed and c[0] == "\n")
+        self.known.update(zip(new, self._sizes(new), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.v.splits:
@@ -101,11 +104,16 @@ class Counter:
             chunks = self.chunks(text)
             known = self.known
             new = {c for c in chunks if c not in known}
-            if new:
-                self._learn(list(new))
+            far = {c for c in new if len(c) > LONGEST}
+            if new and len(new) > len(far):
+                self._learn(list(new - far))
                 if known is not self.known:
-                    self._learn([c for c in set(chunks) if c not in self.known])
-            out.append(sum(map(self.known.__getitem__, chunks)))
+                    self._learn([c for c in set(chunks) - far if c not in self.known])
+            if far:
+                size = dict(zip(far, self._sizes(list(far)), strict=True))
+                out.append(sum(size[c] if c in far else self.known[c] for c in chunks))
+            else:
+                out.append(sum(map(self.known.__getitem__, chunks)))
         return out
 
 

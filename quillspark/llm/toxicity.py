@@ -110,24 +110,29 @@ def log_odds(counts: DataFrame, prior_share: float = 0.05, z: float = 3.0, most:
 
 
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, first, last) of a sequence, in one pass."""
-    found: list[list] = []  # score before it, score with it, first, last
+    """All maximal-scoring segments (score, first, last) of a sequence, in time linear in its length.
+
+    Each candidate keeps the place of its nearest earlier one of a lesser sum before it, so a search
+    never passes the same candidates twice.
+    """
+    found: list[list] = []  # sum before it, sum with it, first, last, nearest earlier of a lesser sum before it
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
         item = [before, total, i, i]
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= item[0]:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= item[1]:
-                found.append(item)
+                found.append([*item, j])
                 break
-            item = [found[j][0], item[1], found[j][2], item[3]]
+            item, earlier = [found[j][0], item[1], found[j][2], item[3]], found[j][4]
             del found[j:]
-    return [(r - l, a, b) for l, r, a, b in found]
+            j = earlier
+    return [(r - l, a, b) for l, r, a, b, _ in found]
 
 
 def _hits(m: ToxicModel, data: np.ndarray, offsets: np.ndarray):
@@ -173,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 4, held: int = 2, max_rows
 
     Without labels of both kinds there is no lexicon, and every text gets the same low score.
     """
-    rows = sample(docs, labels, label, by, held, max_rows, id_col, text_col)
+    rows = table(sample(docs, labels, label, by, held, max_rows, id_col, text_col), "toxic-sample")
     counts = by_text(rows.filter("_part < 7").select("_text", "_label")).mapInArrow(_count, "term long, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # the more texts, the more terms are tried, and the stricter the test
