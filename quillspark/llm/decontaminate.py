@@ -5,8 +5,8 @@ can add to a cosine with a benchmark item. Three passes read every document whol
 
 1. collection counts of the terms give their IDF; terms of more than `common` of all words are left out;
 2. a randomised SVD: with M the TF-IDF rows of all 64-word passages and of the items (both halves
-   weighing the same), M'(M W) is summed over the cluster for a random W; an orthonormal basis of it
-   spans the leading right singular vectors;
+   weighing the same), M'(M W) is summed over the cluster for a random W, and the leading right singular
+   vectors are worked out from that one sum (Nystrom's way for a product M'M);
 3. windows of four 16-word blocks, one at each block, meet the items in the latent space, an item longer
    than a window as a whole and by its window-sized pieces; a cosine of `cosine` or more makes a candidate,
    which is checked at once: the longest common subsequence of the item's words and those of the span
@@ -128,7 +128,7 @@ def _piece_rows(items: Items, weight: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def basis(docs: DataFrame, items: Items, weight: np.ndarray, text_col: str = "text", rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """terms x rank: an orthonormal basis of the leading right singular vectors, near enough."""
+    """terms x rank at most: the leading right singular vectors, near enough."""
     v = len(weight)
     rank = min(rank, max(v, 1))
     omega = np.random.default_rng(seed).standard_normal((v, rank)).astype(np.float32)
@@ -172,7 +172,25 @@ def basis(docs: DataFrame, items: Items, weight: np.ndarray, text_col: str = "te
     share = max(rows, 1.0) / max(len(_pieces(items)), 1)
     for t, x in _piece_rows(items, weight):
         g[t] += share * np.outer(x, x @ omega[t])
-    return np.linalg.qr(g)[0].astype(np.float32)
+    return singular_vectors(g, omega)[0].astype(np.float32)
+
+
+def singular_vectors(g: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of M and its singular values, from g = M'(M omega) of one pass.
+
+    M'M is near g (omega'g)^-1 g'; a shift that is taken off again keeps the middle factor definite.
+    """
+    if not g.any():
+        return np.zeros((len(g), 1)), np.zeros(1)
+    shift = 1e-7 * np.linalg.norm(g)
+    g = g + shift * omega
+    middle = omega.T.astype(float) @ g
+    values, vectors = np.linalg.eigh((middle + middle.T) / 2)
+    keep = values > 1e-12 * values.max()
+    u, s, _ = np.linalg.svd(g @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+    s = np.sqrt(np.maximum(s * s - shift, 0.0))
+    keep = s > 1e-6 * s[0]
+    return u[:, keep], s[keep]
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quillspark.llm import decontaminate
 from tests.llm.cases import text
 
@@ -41,3 +43,14 @@ def test_short_copies_in_other_words_of_the_benchmark(spark):
     rows = [(i, f"{' '.join(r.choice(pool) for _ in range(25 + i % 9))} {t} {' '.join(r.choice(pool) for _ in range(40))}") for i, t in items]
     got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), cosine=0.5)
     assert all(x.doc_id in x.item_ids for x in got.collect())
+
+
+def test_singular_vectors():
+    """Of a matrix of falling singular values, against the plain decomposition."""
+    rng = np.random.default_rng(2)
+    a = np.linalg.qr(rng.standard_normal((300, 40)))[0] * (2.0 ** -np.arange(40)) @ np.linalg.qr(rng.standard_normal((120, 40)))[0].T
+    omega = rng.standard_normal((120, 24))
+    u, s = decontaminate.singular_vectors(a.T @ (a @ omega), omega)
+    _, want, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(s[:8], want[:8], rtol=2e-2)  # of a sketch of 24 columns
+    assert np.allclose(np.abs((vt[:8] * u[:, :8].T).sum(axis=1)), 1, atol=1e-3)
