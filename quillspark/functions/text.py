@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +22,8 @@ _URI = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
 
 
 def canonicalize_url(url: Column) -> Column:
-    """Without query and fragment; scheme and authority in lower case, the path as it is."""
-    scheme, host, path = (F.regexp_extract(url, _URI, k) for k in (1, 2, 3))
+    """Without outer blanks, query and fragment; scheme and authority in lower case, the path as it is."""
+    scheme, host, path = (F.regexp_extract(F.trim(url), _URI, k) for k in (1, 2, 3))
     return F.concat(F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), F.lower(host))).otherwise(""), path)
 
 
@@ -44,12 +48,32 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@cache
+def _named() -> str:
+    """All named entities that end in a semicolon, as JSON."""
+    return json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
+
+
+def _entity(name: Column) -> Column:
+    """The character of what stands between & and ;, by number or by name; null for none."""
+    hexa, digits = F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,6})$", 1), F.regexp_extract(name, r"^#(\d{1,7})$", 1)
+    code = F.coalesce(F.conv(F.nullif(hexa, F.lit("")), 16, 10).cast("int"), F.nullif(digits, F.lit("")).cast("int"))
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    number = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+    return F.coalesce(number, F.element_at(F.from_json(F.lit(_named()), "map<string,string>"), name))
+
+
+def unescape(c: Column) -> Column:
+    """Entities as the characters they stand for; what isn't one stays."""
+    pattern = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    gaps, names = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    parts = F.zip_with(gaps, names, lambda g, n: F.concat(g, F.when(n.isNull(), "").otherwise(F.coalesce(_entity(n), F.concat(F.lit("&"), n, F.lit(";"))))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
 def strip_html(c: Column) -> Column:
-    """Tags as blanks and the common entities decoded."""
-    plain = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    return normalize_text(plain)
+    """Tags as blanks, entities as characters."""
+    return normalize_text(unescape(F.regexp_replace(c, r"(?s)<[^>]*>", " ")))
 
 
 def content_hash(title: Column, content: Column) -> Column:
@@ -77,6 +101,18 @@ def effective_score(score: Column, flag_reason: Column, capped: Column) -> Colum
     return F.when(limit, F.lit(SCORE_CAP)).otherwise(score)
 
 
+def parse_time(raw: Column) -> Column:
+    """ISO 8601 or RFC 822; null for anything else."""
+    plain = F.trim(F.regexp_replace(raw, r"^[A-Za-z]{3},?\s+", ""))
+    return F.coalesce(F.try_to_timestamp(raw), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss z")))
+
+
+def as_utc(c: Column) -> Column:
+    """A time as ISO 8601 in UTC, microseconds only where there are any; sessions run in UTC, so a time without zone is UTC's."""
+    fraction = F.date_format(c, ".SSSSSS")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != ".000000", fraction).otherwise(""), F.lit("+00:00"))
+
+
 def snippet(content: Column, title: Column, keyword: str, radius: int = SNIPPET_RADIUS) -> Column:
     """The first place of a keyword with its surroundings; the beginning where it isn't found."""
     body = F.when(F.coalesce(content, F.lit("")) != "", content).otherwise(F.coalesce(title, F.lit("")))

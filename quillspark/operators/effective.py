@@ -40,9 +40,8 @@ def readers(reads: DataFrame) -> DataFrame:
 
 def read_cache(reads: DataFrame) -> DataFrame:
     """(document_id, read_at, read_by): newest mark; of equal times the least reader."""
-    newest = reads.groupBy("document_id").agg(F.max("read_at").alias("read_at"))
-    at = reads.groupBy("document_id", "read_at").agg(F.min("reader").alias("read_by"))
-    return newest.join(at, ["document_id", "read_at"])
+    newest = F.min_by(F.struct("read_at", "reader"), F.struct(-F.unix_micros(F.col("read_at").cast("timestamp")), F.col("reader")))
+    return reads.groupBy("document_id").agg(newest.alias("r")).select("document_id", "r.read_at", F.col("r.reader").alias("read_by"))
 
 
 def image_flags(frames: DataFrame) -> DataFrame:
@@ -56,7 +55,9 @@ def frames_per_doc(frames: DataFrame) -> DataFrame:
 
 def with_importance(docs: DataFrame, log: DataFrame) -> DataFrame:
     """docs with the capped score of the newest importance row, and who gave it."""
-    new = latest_importance(log).select(F.col("document_id").alias("_d"), F.col("score").alias("_score"), F.col("reporter").alias("importance_reporter"), F.col("created_at").alias("importance_updated_at"))
+    new = latest_importance(log)
+    rationale = F.col("rationale") if "rationale" in log.columns else F.lit(None).cast("string")
+    new = new.select(F.col("document_id").alias("_d"), F.col("score").alias("_score"), rationale.alias("importance_rationale"), F.col("reporter").alias("importance_reporter"), F.col("created_at").alias("importance_updated_at"))
     out = docs.join(new, docs["id"] == F.col("_d"), "left")
     return out.withColumn("importance_score", fn.effective_score(F.col("_score"), F.col("flag_reason"), F.col("is_capped"))).drop("_d", "_score")
 
@@ -66,21 +67,36 @@ def capped(docs: DataFrame) -> DataFrame:
     return docs if "is_capped" in docs.columns else docs.withColumn("is_capped", fn.is_paywalled(F.col("content")))
 
 
-def with_state(docs: DataFrame, t) -> DataFrame:
-    """docs with importance, topics, readers, the read cache and the image flag, each by one left join."""
-    d = with_importance(capped(docs), t.importance)
-    for part in (effective_topics(t.topics), readers(t.reads), read_cache(t.reads), image_flags(t.frames).withColumn("has_image_text", F.lit(True))):
+def reads_per_doc(reads: DataFrame) -> DataFrame:
+    """(document_id, readers, read_at, read_by): the array and the cache of one grouping."""
+    newest = F.min_by(F.struct("read_at", "reader"), F.struct(-F.unix_micros(F.col("read_at").cast("timestamp")), F.col("reader")))
+    d = reads.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("reader", "read_at"))).alias("readers"), newest.alias("_r"))
+    return d.select("document_id", "readers", F.col("_r.read_at").alias("read_at"), F.col("_r.reader").alias("read_by"))
+
+
+def with_state(docs: DataFrame, t, few: bool = False) -> DataFrame:
+    """docs with importance, topics, readers, the read cache and the image flag, each by one left join.
+
+    few: docs are a bounded number of rows, as after a limit; the logs are cut to their ids before they are grouped.
+    """
+    own = F.broadcast(docs.select(F.col("id").alias("document_id"))) if few else None
+    cut = (lambda log: log.join(own, "document_id", "left_semi")) if few else (lambda log: log)
+    d = with_importance(capped(docs), cut(t.importance))
+    for part in (effective_topics(cut(t.topics)), reads_per_doc(cut(t.reads)), image_flags(cut(t.frames)).withColumn("has_image_text", F.lit(True))):
         part = part.withColumnRenamed("document_id", "_d")
         d = d.join(part, F.col("id") == F.col("_d"), "left").drop("_d")
     return d.withColumn("has_image_text", F.coalesce("has_image_text", F.lit(False)))
 
 
 def resolve(requests: DataFrame, docs: DataFrame, key: str = "key") -> DataFrame:
-    """requests with document_id: the document of that address, else the one of that canonical address.
+    """requests with document_id: the document of that address without outer blanks, else the one of that canonical address.
 
     Two equality joins; an OR of them would compare every request to every document.
     """
     exact = docs.select(F.col("id").alias("_exact"), F.col("url").alias("_url"))
-    canon = docs.groupBy(F.col("canonical_url").alias("_canon")).agg(F.min("id").alias("_by_canon"))
-    r = requests.join(exact, F.col(key) == F.col("_url"), "left").join(canon, fn.canonicalize_url(F.col(key)) == F.col("_canon"), "left")
+    canon_rows = docs.select("id", F.col("canonical_url").alias("_canon"))
+    # only documents that some request may mean are grouped; a table from explode gets a join hint
+    wanted = requests.select(fn.canonicalize_url(F.col(key)).alias("_canon")).distinct()
+    canon = canon_rows.join(wanted.hint("merge"), "_canon", "left_semi").groupBy("_canon").agg(F.min("id").alias("_by_canon"))
+    r = requests.join(exact.hint("merge"), F.trim(key) == F.col("_url"), "left").join(canon.hint("merge"), fn.canonicalize_url(F.col(key)) == F.col("_canon"), "left")
     return r.withColumn("document_id", F.coalesce("_exact", "_by_canon")).drop("_exact", "_url", "_canon", "_by_canon")

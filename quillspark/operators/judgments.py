@@ -21,7 +21,7 @@ def choice_tags(judgments: DataFrame, axis: str, tag_gate: float = TAG_GATE, wri
     """(document_id, tags): live slugs of the axis that are likely enough, in registry order; only of confident answers."""
     live = F.broadcast(vocabulary(judgments.sparkSession).filter((F.col("kind") == axis) & F.col("retired_alias_of").isNull()).select("slug", "ordinal"))
     p = judgments.filter((F.col("axis") == axis) & (F.col("confidence") >= write_gate)).select("document_id", F.explode("probabilities").alias("slug", "p"))
-    p = p.filter(F.col("p") >= tag_gate).join(live, "slug")
+    p = p.filter(F.col("p") >= tag_gate).join(live, "slug")  # live is broadcast: some forty rows
     tags = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "slug"))), lambda x: x["slug"])
     return p.groupBy("document_id").agg(tags.alias("tags"))
 

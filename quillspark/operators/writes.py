@@ -42,8 +42,10 @@ def apply_topics(reqs: DataFrame, docs: DataFrame, log: DataFrame) -> tuple[Data
     r = resolve(reqs, docs)
     tags = canonicalize_topics(r.select("document_id", *_ORDER, F.explode("tags").alias("tag")), "tag")
     per = tags.groupBy("document_id", *_ORDER).agg(F.sort_array(F.collect_set("slug")).alias("wanted"), F.max(F.col("slug").isNull()).alias("_unknown"))
-    r = r.join(per, ["document_id", *_ORDER], "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<string>")))
-    r = r.withColumn("reject_reason", _reject((F.col("document_id").isNull(), "unknown document"), (F.coalesce("_unknown", F.lit(False)), "unknown topic")))
+    r = r.join(per.hint("merge"), ["document_id", *_ORDER], "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<string>")))
+    blank = F.exists("tags", lambda x: F.trim(F.coalesce(x, F.lit(""))) == "")
+    long = F.length(F.trim(F.coalesce("reporter", F.lit("")))) > 100
+    r = r.withColumn("reject_reason", _reject((F.col("document_id").isNull(), "unknown document"), (F.col("tags").isNull() | blank, "blank topic"), (F.coalesce("_unknown", F.lit(False)), "unknown topic"), (long, "reporter too long")))
     ok, bad = _split(r)
     now = assigned_topics(log).groupBy("document_id").agg(F.collect_list("topic_slug").alias("_now"))
     ok = ok.join(now, "document_id", "left")

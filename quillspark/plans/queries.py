@@ -67,9 +67,13 @@ def order(floor: float | None) -> list[Column]:
 
 def search(t: Tables, kw: str, limit: int = 20, exclude_read: bool = False, min_importance: float | None = None, topics=None) -> DataFrame:
     docs = t.documents.filter(keyword(kw))
-    d = with_source(eff.with_state(docs, t), t.sources)
-    d = annotation_filters(d, exclude_read, min_importance, topics)
-    d = d.orderBy(*order(min_importance)).limit(limited(limit))
+    if min_importance is None and not topics and not exclude_read:  # the order needs documents only
+        top = docs.orderBy(*order(None)).limit(limited(limit))
+        d = with_source(eff.with_state(top, t, few=True), t.sources).orderBy(*order(None))
+    else:
+        d = with_source(eff.with_state(docs, t), t.sources)
+        d = annotation_filters(d, exclude_read, min_importance, topics)
+        d = d.orderBy(*order(min_importance)).limit(limited(limit))
     return d.withColumn("snippet", fn.snippet(F.col("content"), F.col("title"), kw)).withColumn("read", F.col("read_at").isNotNull())
 
 
@@ -84,7 +88,7 @@ def period_bundle(t: Tables, start, end, sources: list[str] | None = None, limit
     lo, hi = period_bounds(start, end)
     docs = t.documents.filter((F.col("published_at") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("published_at") < F.lit(hi).cast("timestamp_ntz")))
     d = with_source(docs, t.sources, "inner")
-    if sources is not None:
+    if (sources := known_sources(t, sources)) is not None:
         d = d.filter(F.col("source").isin(sources))
     d = annotation_filters(eff.with_state(d, t), exclude_read, floor, wanted)
     turn = Window.partitionBy("source").orderBy(*order(floor))
@@ -117,14 +121,32 @@ def source_inventory(t: Tables) -> DataFrame:
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("finished_at", "inserted", "skipped", "error"), F.struct("finished_at", "id")).alias("r")
+    newest = F.max_by(F.struct("started_at", "finished_at", "inserted", "skipped", "parse_skipped", "error"), F.struct("finished_at", "id")).alias("r")
     return runs.groupBy("source_name").agg(newest).select("source_name", "r.*")
 
 
+def known_sources(t: Tables, names: list[str] | None) -> list[str] | None:
+    """The names, trimmed; None for all. A name that isn't a source's raises."""
+    if names is None:
+        return None
+    names = [n.strip() if isinstance(n, str) else n for n in names]
+    have = {x[0] for x in t.sources.filter(F.col("name").isin(names)).select("name").collect()}  # at most as many as asked for
+    for n in names:
+        if n not in have:
+            raise ValueError(f"unknown source: {n!r}")
+    return names
+
+
+def source_position(flat: DataFrame, position: str = "position") -> DataFrame:
+    """flat (source, source_rank, ...) with the place of each source: in the order in which its first row comes by time."""
+    first = Window.partitionBy("source")
+    return flat.withColumn(position, F.min(F.struct(-F.unix_micros(F.col("published_at").cast("timestamp")), F.col("id"))).over(first))
+
+
 def source_health(t: Tables) -> DataFrame:
     d = t.sources.join(latest_run(t.runs), F.col("name") == F.col("source_name"), "left")
     status = F.when(F.col("finished_at").isNull(), "unknown").when(F.coalesce("error", F.lit("")) != "", "error").otherwise("ok")
-    return d.select(F.col("name").alias("source"), status.alias("status"), "finished_at", "inserted", "skipped", "error")
+    return d.select(F.col("name").alias("source"), status.alias("status"), "started_at", "finished_at", "inserted", "skipped", "parse_skipped", "error")
 
 
 def importance(t: Tables, history: bool = False) -> DataFrame:
@@ -163,6 +185,7 @@ def backfill_candidates(t: Tables, source: str | None = None) -> DataFrame:
 
 def digest_picks(t: Tables, dates: list[date] | None = None) -> DataFrame:
     p = t.picks if dates is None else t.picks.filter(F.col("digest_date").isin(dates))
+    p = p.select("digest_date", "document_id", "reporter", F.col("created_at").alias("picked_at"))
     d = with_source(p.join(t.documents, F.col("document_id") == F.col("id")), t.sources)
     return d.orderBy("digest_date", F.desc_nulls_last("published_at"), "url")
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
 from quillspark.operators import effective as eff
+from quillspark.operators import writes
+from quillspark.operators.frontier import url_kept, within_budget
+from quillspark.operators.judgments import annotation_totals
 from quillspark.operators.upsert import quarantine, upsert_documents
 from quillspark.plans import queries as q
 from quillspark.sources import pages
-from quillspark.sources.feeds import plan_frames
+from quillspark.sources.feeds import choose_feed, diagnose_feeds, parse_feeds, plan_frames
 from quillspark.sources.tables import Tables, oracle_prelude
 
 START, END = datetime(2024, 1, 8, 5, tzinfo=timezone.utc), datetime(2024, 1, 22, 5, tzinfo=timezone.utc)
@@ -36,7 +39,7 @@ def registered(sql: str | None = None, *views: str):
 
 
 #: Parts of the DuckDB queries.
-IMP = "imp AS (SELECT document_id, score, reporter, created_at FROM (SELECT i.*, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS r FROM v_importance i) x WHERE r = 1)"
+IMP = "imp AS (SELECT document_id, score, reporter, rationale, created_at FROM (SELECT i.*, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS r FROM v_importance i) x WHERE r = 1)"
 TP = "tp AS (SELECT document_id, topic_slug FROM (SELECT t.*, row_number() OVER (PARTITION BY document_id, topic_slug ORDER BY created_at DESC, id DESC) AS r FROM v_topics t) x WHERE r = 1 AND assigned)"
 TPS = "tps AS (SELECT document_id, string_agg(topic_slug, ',' ORDER BY topic_slug) AS topics FROM tp GROUP BY 1)"
 EFF = "CASE WHEN d.flag_reason IS NOT NULL OR regexp_matches(lower(d.content), 'subscribe to continue reading|subscribe to read|to continue reading this story|this article is for subscribers|subscriber-only content|members-only content') THEN CASE WHEN imp.score > 0.3 THEN 0.3 ELSE imp.score END ELSE imp.score END"
@@ -51,6 +54,8 @@ SNIP = """CASE WHEN strpos(lower(content), 'tion') > 0 THEN
 
 
 def _flat(df: DataFrame) -> DataFrame:
+    if "readers" in df.columns:
+        df = df.withColumn("readers", F.array_join(F.transform("readers", lambda r: F.concat(r["reader"], F.lit("@"), F.date_format(r["read_at"], "yyyy-MM-dd HH:mm:ss"))), ","))
     return df.withColumn("topics", F.array_join("topics", ","))
 
 
@@ -91,19 +96,22 @@ def digest_shortlist(t: Tables) -> DataFrame:
     return q.digest_shortlist(t, START, END).select(*_BUNDLE)
 
 
-_SEARCH = ("id", "canonical_url", "source", "published_at", "author", "snippet", "flag_reason", "read", "read_at", "read_by", "importance_score", "topics", "has_image_text")
+_SEARCH = ("id", "title", "url", "canonical_url", "source", "published_at", "author", "snippet", "flag_reason", "flag_detail", "flagged_at", "flagged_by", "read", "read_at", "read_by", "importance_score", "importance_rationale", "importance_reporter", "importance_updated_at", "topics", "has_image_text", "readers")
+#: Of a document's readers one string.
+RD = "rd AS (SELECT document_id, string_agg(reader || '@' || strftime(read_at, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY reader) AS readers FROM v_reads GROUP BY 1)"
 
 
 def _search(floor: str | None, topics: bool, unread: bool) -> str:
     order = ("importance_score DESC NULLS LAST, " if floor else "") + "published_at DESC, id"
     where = " AND ".join(["(title ILIKE '%tion%' OR content ILIKE '%tion%')", *(["read_at IS NULL"] if unread else []), *([f"importance_score >= {floor}"] if floor else []), *(["EXISTS (SELECT 1 FROM tp WHERE tp.document_id = z.id AND tp.topic_slug IN ('ai', 'jewelry', 'mexico', 'brazil', 'report', 'gen-z'))"] if topics else [])])
-    return f"""WITH {IMP}, {TP}, {TPS},
+    return f"""WITH {IMP}, {TP}, {TPS}, {RD},
 rc AS (SELECT document_id, read_at, reader AS read_by FROM (SELECT r.*, row_number() OVER (PARTITION BY document_id ORDER BY read_at DESC, reader) AS k FROM v_reads r) x WHERE k = 1),
-z AS (SELECT d.id, d.canonical_url, s.name AS source, d.published_at, d.author, d.title, d.content, d.flag_reason, rc.read_at IS NOT NULL AS "read", rc.read_at, rc.read_by,
-             {EFF} AS importance_score, tps.topics, EXISTS (SELECT 1 FROM v_frames f WHERE f.document_id = d.id AND f.image_text <> 'NO_TEXT') AS has_image_text
+z AS (SELECT d.id, d.url, d.canonical_url, s.name AS source, d.published_at, d.author, d.title, d.content, d.flag_reason, d.flag_detail, d.flagged_at, d.flagged_by, rc.read_at IS NOT NULL AS "read", rc.read_at, rc.read_by,
+             {EFF} AS importance_score, imp.rationale AS importance_rationale, imp.reporter AS importance_reporter, imp.created_at AS importance_updated_at, tps.topics, rd.readers, EXISTS (SELECT 1 FROM v_frames f WHERE f.document_id = d.id AND f.image_text <> 'NO_TEXT') AS has_image_text
         FROM v_documents d LEFT JOIN v_sources s ON s.id = d.source_id LEFT JOIN imp ON imp.document_id = d.id
-        LEFT JOIN tps ON tps.document_id = d.id LEFT JOIN rc ON rc.document_id = d.id)
-SELECT id, canonical_url, source, published_at, author, {SNIP} AS snippet, flag_reason, "read", read_at, read_by, importance_score, topics, has_image_text
+        LEFT JOIN tps ON tps.document_id = d.id LEFT JOIN rc ON rc.document_id = d.id LEFT JOIN rd ON rd.document_id = d.id)
+SELECT id, title, url, canonical_url, source, published_at, author, {SNIP} AS snippet, flag_reason, flag_detail, flagged_at, flagged_by, "read", read_at, read_by,
+       importance_score, importance_rationale, importance_reporter, importance_updated_at, topics, has_image_text, readers
   FROM z WHERE {where} ORDER BY {order} LIMIT 20"""
 
 
@@ -126,16 +134,16 @@ def search_exclude_read(t: Tables) -> DataFrame:
 
 
 @registered(f"""WITH {IMP},
-req AS (SELECT CASE WHEN id % 2 = 0 THEN url ELSE replace(canonical_url, 'https://src', 'HTTPS://SRC') || '#x' END AS key FROM v_documents WHERE id % 10 < 2),
+req AS (SELECT CASE WHEN id % 2 = 0 THEN url ELSE replace(canonical_url, 'https://src', 'HTTPS://SRC') || '#x' END AS key FROM v_documents),
 hit AS (SELECT req.key, coalesce(a.id, b.id) AS id FROM req LEFT JOIN v_documents a ON a.url = req.key LEFT JOIN v_documents b ON b.canonical_url = lower(regexp_replace(req.key, '[?#].*$', '')))
-SELECT hit.key, hit.id AS document_id, s.name AS source, d.title, {EFF} AS importance_score, fr.n AS n_frames
+SELECT hit.key, hit.id AS document_id, s.name AS source, d.title, d.flag_detail, d.flagged_at, d.flagged_by, {EFF} AS importance_score, imp.rationale AS importance_rationale, imp.reporter AS importance_reporter, fr.n AS n_frames
   FROM hit LEFT JOIN v_documents d ON d.id = hit.id LEFT JOIN v_sources s ON s.id = d.source_id LEFT JOIN imp ON imp.document_id = d.id
   LEFT JOIN (SELECT document_id, count(*) AS n FROM v_frames GROUP BY 1) fr ON fr.document_id = d.id""", "documents", "sources", "importance", "frames")
 def article_lookup(t: Tables) -> DataFrame:
     odd = F.concat(F.replace("canonical_url", F.lit("https://src"), F.lit("HTTPS://SRC")), F.lit("#x"))
-    requests = t.documents.filter("id % 10 < 2").select(F.when(F.col("id") % 2 == 0, F.col("url")).otherwise(odd).alias("key"))
+    requests = t.documents.select(F.when(F.col("id") % 2 == 0, F.col("url")).otherwise(odd).alias("key"))
     found = q.lookup(t, requests)
-    return found.select("key", "document_id", "source", "title", "importance_score", F.when(F.col("image_texts").isNotNull(), F.size("image_texts").cast("long")).alias("n_frames"))
+    return found.select("key", "document_id", "source", "title", "flag_detail", "flagged_at", "flagged_by", "importance_score", "importance_rationale", "importance_reporter", F.when(F.col("image_texts").isNotNull(), F.size("image_texts").cast("long")).alias("n_frames"))
 
 
 @registered("""SELECT s.name, (SELECT count(*) FROM v_documents d WHERE d.source_id = s.id) AS article_count,
@@ -145,7 +153,7 @@ def source_inventory(t: Tables) -> DataFrame:
 
 
 @registered("""SELECT s.name AS source, CASE WHEN r.finished_at IS NULL THEN 'unknown' WHEN coalesce(r.error, '') <> '' THEN 'error' ELSE 'ok' END AS status,
-       r.finished_at, r.inserted, r.skipped, r.error FROM v_sources s
+       r.started_at, r.finished_at, r.inserted, r.skipped, r.parse_skipped, r.error FROM v_sources s
   LEFT JOIN (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY source_name ORDER BY finished_at DESC, id DESC) AS k FROM v_runs v) x WHERE k = 1) r ON r.source_name = s.name""", "documents", "sources", "runs")
 def source_health(t: Tables) -> DataFrame:
     return q.source_health(t)
@@ -205,9 +213,9 @@ def backfill_candidates(t: Tables) -> DataFrame:
     return q.backfill_candidates(t).select("id", "source", "published_at")
 
 
-@registered("""SELECT p.digest_date::VARCHAR AS digest_date, d.url, d.canonical_url, d.title, s.name AS source, d.published_at FROM v_picks p JOIN v_documents d ON d.id = p.document_id LEFT JOIN v_sources s ON s.id = d.source_id""", "documents", "sources", "picks")
+@registered("""SELECT p.digest_date::VARCHAR AS digest_date, d.url, d.canonical_url, d.title, s.name AS source, d.published_at, p.reporter, p.created_at AS picked_at FROM v_picks p JOIN v_documents d ON d.id = p.document_id LEFT JOIN v_sources s ON s.id = d.source_id""", "documents", "sources", "picks")
 def digest_picks(t: Tables) -> DataFrame:
-    return q.digest_picks(t).select(F.col("digest_date").cast("string").alias("digest_date"), "url", "canonical_url", "title", "source", "published_at")
+    return q.digest_picks(t).select(F.col("digest_date").cast("string").alias("digest_date"), "url", "canonical_url", "title", "source", "published_at", "reporter", "picked_at")
 
 
 _WEEKS = "w AS (SELECT digest_date, row_number() OVER (ORDER BY digest_date) - 1 AS k FROM (SELECT DISTINCT digest_date FROM v_picks) x), o AS (SELECT document_id FROM v_picks JOIN w USING (digest_date) WHERE k = 0), n AS (SELECT document_id FROM v_picks JOIN w USING (digest_date) WHERE k = 1), ch AS (SELECT document_id, 'added' AS change FROM n WHERE document_id NOT IN (SELECT document_id FROM o) UNION ALL SELECT document_id, 'removed' FROM o WHERE document_id NOT IN (SELECT document_id FROM n))"
@@ -357,5 +365,151 @@ def frame_dedupe(t: Tables) -> DataFrame:
     return d.select("document_id", "frame_index", "first_seen", "first_index", "over_cap")
 
 
+
+def feed_landing(t: Tables) -> DataFrame:
+    """Feeds made of the documents, twenty items each: RSS and Atom in turn, with elements of other vocabularies; and for each source a feed without items, a block page and broken markup."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    d = t.raw("documents").select("doc_id", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ").alias("text"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("doc_id") % 10_000).cast("int"))
+    title = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.concat(F.lit("No "), F.col("doc_id"), F.lit(" &amp; caf&amp;eacute; &amp;#8217;")))
+    link = F.when(F.col("doc_id") % 19 == 0, "").otherwise(F.concat(F.lit("https://Feed.example/a/"), F.col("doc_id"), F.lit("?x=1")))
+    body = esc(esc(F.col("text")))
+    rss = F.concat(F.lit("<item><media:title>other</media:title><title>"), title, F.lit("</title><link>"), link, F.lit('</link><atom:link rel="self" href="https://self.example/"/><dc:creator>writer '), F.col("doc_id") % 9, F.lit("</dc:creator><pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate><description>short</description><content:encoded>"), body, F.lit("</content:encoded></item>"))
+    atom = F.concat(F.lit("<entry><title type='text'>"), title, F.lit('</title><link rel="self" href="https://self.example/"/><link href="'), link, F.lit('"/><author><name>writer '), F.col("doc_id") % 9, F.lit("</name></author><updated>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated><summary>short</summary><content type='html'>"), body, F.lit("</content></entry>"))
+    feed = F.floor(F.col("doc_id") / 20)
+    d = d.select(feed.alias("f"), F.struct("doc_id", F.when(feed % 2 == 0, rss).otherwise(atom).alias("x")).alias("i"), "source")
+    g = d.groupBy("f").agg(F.min("source").alias("source"), F.array_join(F.transform(F.sort_array(F.collect_list("i")), lambda i: i["x"]), "").alias("x"))
+    whole = F.when(F.col("f") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:media="m" xmlns:atom="a" xmlns:dc="d" xmlns:content="c"><channel><title>All</title>'), "x", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>All</title>'), "x", F.lit("</feed>")))
+    feeds = g.select("source", F.concat(F.lit("https://feeds.example/"), F.col("f").cast("string")).alias("url"), whole.alias("body"))
+    odd = {"empty": "<rss><channel><title>none</title></channel></rss>", "blocked": "<html><title>Just a moment...</title></html>", "broken": "<rss><channel><item>"}
+    more = t.sources.select(F.col("name").alias("source"), F.explode(F.create_map(*[F.lit(x) for kv in odd.items() for x in kv])).alias("kind", "body"))
+    more = more.select("source", F.concat(F.lit("https://"), F.col("kind"), F.lit(".example/"), F.col("source")).alias("url"), "body")
+    return feeds.unionAll(more).withColumn("retrieved_at", F.lit("2024-03-01 00:00:00").cast("timestamp"))
+
+
+_FEED_ROWS = r"""WITH d AS (SELECT doc_id, doc_id // 20 AS f, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS item,
+  trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM documents),
+e AS (SELECT 'https://feeds.example/' || f::VARCHAR AS feed, item::INT AS item, content, doc_id, 'No ' || doc_id::VARCHAR || ' & café ’' AS title, doc_id % 17 = 0 AS no_title, doc_id % 19 = 0 AS no_link FROM d)"""
+
+
+@registered(_FEED_ROWS + """ SELECT feed, item, title, 'https://Feed.example/a/' || doc_id::VARCHAR || '?x=1' AS url, 'https://feed.example/a/' || doc_id::VARCHAR AS canonical_url, 'writer ' || (doc_id % 9)::VARCHAR AS author,
+       epoch(TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 10000) * INTERVAL 1 MINUTE)::BIGINT AS published, sha256(title || chr(10) || content) AS content_hash FROM e WHERE NOT no_title AND NOT no_link""")
+def feed_items(t: Tables) -> DataFrame:
+    good, _ = parse_feeds(feed_landing(t))
+    return good.select("feed", "item", "title", "url", "canonical_url", "author", F.unix_timestamp("published_at").alias("published"), "content_hash")
+
+
+@registered(_FEED_ROWS + """ SELECT feed AS url, item, CASE WHEN NOT no_link THEN 'https://Feed.example/a/' || doc_id::VARCHAR || '?x=1' END AS hint, CASE WHEN no_title THEN 'missing title' ELSE 'missing link' END AS cause FROM e WHERE no_title OR no_link
+UNION ALL SELECT 'https://' || kind || '.example/' || source, NULL, NULL, cause FROM (SELECT DISTINCT source FROM documents) s,
+  (VALUES ('empty', 'empty feed: dead'), ('blocked', 'empty feed: blocked'), ('broken', 'unparseable')) AS k(kind, cause)""")
+def feed_rejects(t: Tables) -> DataFrame:
+    _, bad = parse_feeds(feed_landing(t))
+    return bad.select("url", "item", "hint", "cause")
+
+
+@registered("""WITH c AS (SELECT 'https://feeds.example/' || f::VARCHAR AS url, min(source) AS source, f FROM (SELECT doc_id // 20 AS f, source FROM documents) d GROUP BY f),
+s AS (SELECT DISTINCT source FROM documents)
+SELECT s.source, (SELECT arg_min(url, f) FROM c WHERE c.source = s.source) AS url,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.source = s.source) THEN 'unparseable' END AS error FROM s""")
+def feed_chosen(t: Tables) -> DataFrame:
+    """Candidates of each source: the three odd feeds first, then those with items in the order of their numbers."""
+    d = diagnose_feeds(feed_landing(t))
+    number = F.coalesce(F.expr("try_cast(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT)"), F.lit(0))
+    place = F.when(F.col("url").startswith("https://feeds."), number).when(F.col("url").startswith("https://broken."), -1).otherwise(-2)
+    return choose_feed(d.withColumn("ordinal", place).withColumn("error", F.col("diagnosis")))
+
+
+_THIN = "length(" + DUCK_NORM.format("{}") + ") < 500"
+
+
+@registered(f"""WITH d AS (SELECT id, CASE WHEN id % 3 = 0 THEN content ELSE substr(content, 1, 80) END AS own, content, CASE id % 11 WHEN 0 THEN 'force_on' WHEN 1 THEN 'force_off' ELSE 'auto' END AS mode,
+  CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Please enable JavaScript' WHEN 2 THEN substr(content, 1, 90) ELSE NULL END AS p, CASE WHEN id % 2 = 0 THEN content ELSE substr(content, 1, 70) END AS r,
+  CASE WHEN id % 4 = 0 THEN content END AS s, CASE id % 7 WHEN 0 THEN 'HTTP 403: captcha' WHEN 1 THEN 'timeout' WHEN 2 THEN 'lock page (thin rendered text)' END AS pe FROM v_documents),
+e AS (SELECT *, mode <> 'force_on' AND (mode = 'force_off' OR NOT ({_THIN.format("own")})) AS skip, coalesce({DUCK_NORM.format("p")}, '') = '' AS nop, coalesce(p LIKE 'Please enable%', false) AS shell, pe IS NOT NULL AND pe = 'timeout' AS hard FROM d),
+f AS (SELECT *, nop AND hard AS final, NOT ({_THIN.format("r")}) AS rok, coalesce(NOT ({_THIN.format("s")}), false) AS sok FROM e)
+SELECT id, sha256(CASE WHEN skip THEN own WHEN NOT nop AND NOT shell THEN p WHEN NOT final AND rok THEN r WHEN NOT final AND sok THEN s ELSE own END) AS body,
+  CASE WHEN NOT skip AND NOT (NOT nop AND NOT shell) AND NOT (NOT final AND (rok OR sok)) THEN
+    'primary: ' || CASE WHEN nop THEN coalesce(pe, 'empty') ELSE 'JS shell' END || '; reader: ' || CASE WHEN final THEN 'not tried' WHEN {DUCK_NORM.format("r")} = '' THEN 'empty' ELSE 'thin' END
+    || '; scrape: ' || CASE WHEN final THEN 'not tried' WHEN coalesce({DUCK_NORM.format("s")}, '') = '' THEN 'empty' ELSE 'thin' END END AS cause FROM f""", "documents")
+def leg_choice(t: Tables) -> DataFrame:
+    part = lambda n: F.substring("content", 1, n)
+    m = lambda k: F.col("id") % k
+    d = t.documents.withColumn("url", F.col("id").cast("string"))
+    legs = d.select("url", F.when(m(5) == 0, "").when(m(5) == 1, "Please enable JavaScript").when(m(5) == 2, part(90)).alias("primary"), F.when(m(2) == 0, F.col("content")).otherwise(part(70)).alias("reader"), F.when(m(4) == 0, F.col("content")).alias("scrape"), F.when(m(7) == 0, "HTTP 403: captcha").when(m(7) == 1, "timeout").when(m(7) == 2, "lock page (thin rendered text)").alias("primary_error"))
+    docs = d.select("id", "url", F.when(m(3) == 0, F.col("content")).otherwise(part(80)).alias("content"), F.when(m(11) == 0, "force_on").when(m(11) == 1, "force_off").otherwise("auto").alias("mode"))
+    return writes.choose_leg(docs, legs).select("id", F.sha2("content", 256).alias("body"), "cause")
+
+
+def _requests(t: Tables, kinds: tuple[str, ...]) -> DataFrame:
+    """Requests made of the events: the address of a document, exact or canonical, or an unknown one."""
+    n = t.documents.count()
+    e = t.raw("events").filter(F.col("event_type").isin(*kinds)).select("event_id", "user_id", "value", F.col("ts").alias("request_ts"), F.col("event_id").alias("seq"), (F.col("event_id") % (n + 5)).alias("id"))
+    urls = t.documents.select("id", "url", "canonical_url")
+    return e.join(urls, "id", "left").withColumn("key", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), "url", F.lit(" "))).otherwise(F.col("canonical_url"))).withColumn("key", F.coalesce("key", F.lit("https://nowhere.example/")))
+
+
+_REQ = "req AS (SELECT event_id, user_id, value, ts, event_id % ((SELECT count(*) FROM v_documents) + 5) AS id FROM events WHERE event_type IN ({})), hit AS (SELECT req.*, d.id AS document_id, d.flag_reason, d.content FROM req LEFT JOIN v_documents d ON d.id = req.id)"
+
+
+@registered("WITH " + _REQ.format("'purchase', 'signup'") + f""" SELECT event_id, CASE WHEN document_id IS NULL THEN 'unknown document' WHEN value / 80.0 > 1 THEN 'score out of range' WHEN user_id % 7 = 0 THEN 'reporter too long' END AS reject_reason,
+  CASE WHEN document_id IS NOT NULL AND value / 80.0 <= 1 AND user_id % 7 <> 0 THEN {EFF.replace("d.", "").replace("imp.score", "(value / 80.0)")} END AS score FROM hit""", "documents")
+def importance_writes(t: Tables) -> DataFrame:
+    r = _requests(t, ("purchase", "signup"))
+    r = r.select("key", (F.col("value") / 80.0).alias("score"), F.lit(" why ").alias("rationale"), F.when(F.col("user_id") % 7 == 0, F.repeat(F.lit("x"), 101)).otherwise("me").alias("reporter"), "request_ts", "seq")
+    ok, bad = writes.apply_importance(r, t.documents)
+    return ok.select(F.col("seq").alias("event_id"), F.lit(None).cast("string").alias("reject_reason"), "score").unionAll(bad.select("seq", "reject_reason", F.lit(None).cast("double")))
+
+
+@registered("WITH " + _REQ.format("'view', 'click', 'error'") + """, r AS (SELECT *, CASE WHEN user_id % 9 = 8 THEN NULL ELSE ['thin', 'js_shell', 'paywall_challenge', 'truncated', 'wrong_body', 'unrecoverable', 'other', 'nonsense'][(user_id % 9 + 1)::INT] END AS reason, CASE WHEN event_id % 3 = 0 THEN 'why' ELSE '' END AS detail FROM hit),
+ok AS (SELECT * FROM r WHERE document_id IS NOT NULL AND (reason IS NULL OR reason <> 'nonsense') AND NOT (coalesce(reason, '') = 'other' AND detail = ''))
+SELECT document_id, reason AS flag_reason, detail AS flag_detail, ts AS flagged_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS k FROM ok) x WHERE k = 1 AND reason IS NOT NULL""", "documents")
+def flags_current(t: Tables) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in (*fn.FLAG_REASONS, "nonsense")])
+    r = _requests(t, ("view", "click", "error")).select("key", F.get(names, (F.col("user_id") % 9).cast("int")).alias("reason"), F.when(F.col("event_id") % 3 == 0, " why ").otherwise("").alias("detail"), F.lit("me").alias("reporter"), "request_ts", "seq")
+    ok, _ = writes.apply_flags(r, t.documents)
+    return writes.current_flags(ok).select("document_id", "flag_reason", "flag_detail", "flagged_at")
+
+
+@registered("WITH " + _REQ.format("'view', 'click', 'signup'") + """, l AS (SELECT hit.document_id, e.event_type, 'reader' || (hit.user_id % 4)::VARCHAR AS reader, hit.ts, hit.event_id FROM hit JOIN events e ON e.event_id = hit.event_id WHERE hit.document_id IS NOT NULL)
+SELECT document_id, reader, ts AS read_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id, reader ORDER BY ts DESC, event_id DESC) AS k FROM l WHERE event_type <> 'signup') o
+ WHERE k = 1 AND event_type = 'view' AND NOT EXISTS (SELECT 1 FROM l WHERE l.document_id = o.document_id AND l.event_type = 'signup' AND (l.ts > o.ts OR (l.ts = o.ts AND l.event_id > o.event_id)))""", "documents")
+def reads_log(t: Tables) -> DataFrame:
+    parts = [_requests(t, (kind,)).withColumn("op", F.lit(op)) for kind, op in (("view", "mark"), ("click", "clear"), ("signup", "clear_all"))]
+    r = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    r = r.select("key", "op", F.concat(F.lit("reader"), (F.col("user_id") % 4).cast("string")).alias("reader"), "request_ts", "seq")
+    ok, _ = writes.apply_reads(r, t.documents)
+    return writes.read_state(ok)
+
+
+@registered("WITH " + _REQ.format("'click'") + """, r AS (SELECT *, CASE user_id % 5 WHEN 0 THEN ['ai'] WHEN 1 THEN ['ai', 'mexico'] WHEN 2 THEN ['jewelry', 'luxury'] WHEN 3 THEN [] ELSE ['nonsense'] END AS tags FROM hit WHERE document_id IS NOT NULL),
+now AS (SELECT document_id, list(topic_slug) AS have FROM tp GROUP BY 1),
+o AS (SELECT r.*, coalesce(lag(tags) OVER (PARTITION BY r.document_id ORDER BY ts, event_id), have, []) AS before FROM r LEFT JOIN now ON now.document_id = r.document_id WHERE user_id % 5 <> 4)
+SELECT document_id, event_id, topic_slug, true AS assigned FROM (SELECT *, unnest(tags) AS topic_slug FROM o) x WHERE NOT list_contains(before, topic_slug)
+UNION ALL SELECT document_id, event_id, topic_slug, false FROM (SELECT *, unnest(before) AS topic_slug FROM o) x WHERE NOT list_contains(tags, topic_slug)""".replace("now AS", TP + ", now AS"), "documents", "topics")
+def topic_writes(t: Tables) -> DataFrame:
+    of = lambda *tags: F.array(*[F.lit(x) for x in tags]).cast("array<string>")
+    u = F.col("user_id") % 5
+    tags = F.when(u == 0, of("AI")).when(u == 1, of("ai", "mexico", "ai")).when(u == 2, of("jewelry", "luxury")).when(u == 3, of()).otherwise(of("nonsense"))
+    r = _requests(t, ("click",)).select("key", tags.alias("tags"), F.lit("me").alias("reporter"), "request_ts", "seq")
+    ok, _ = writes.apply_topics(r, t.documents, t.topics)
+    return ok.select("document_id", F.col("seq").alias("event_id"), "topic_slug", "assigned")
+
+
+@registered("""SELECT count(*) FILTER (id % 5 <> 0) AS annotated, count(*) FILTER (id % 5 = 0) AS skipped, sum(id % 1000)::BIGINT AS tokens, sum(id % 1000) / 1e6 * 0.042 AS cost FROM v_documents""", "documents")
+def annotation_cost(t: Tables) -> DataFrame:
+    return annotation_totals(t.documents.select(F.col("id").alias("document_id"), F.when(F.col("id") % 5 == 0, "low-confidence").alias("cause"), (F.col("id") % 1000).alias("tokens")))
+
+
+@registered("""SELECT source, visit, n FROM (SELECT s.name AS source, d.id AS visit, d.id % 4 AS n, coalesce(sum(d.id % 4) OVER (PARTITION BY s.name ORDER BY d.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM v_documents d JOIN v_sources s ON s.id = d.source_id) x WHERE b < 50""", "documents", "sources")
+def visits_in_budget(t: Tables) -> DataFrame:
+    d = q.with_source(t.documents, t.sources, "inner").select("source", F.col("id").alias("visit"), (F.col("id") % 4).alias("n"))
+    return within_budget(d)
+
+
+@registered("""SELECT id, NOT (canonical_url LIKE '%/articles/1%' OR regexp_extract(canonical_url, '^https://[^/]*(.*)$', 1) = '/articles/' || '22') AS kept FROM v_documents""", "documents")
+def urls_kept(t: Tables) -> DataFrame:
+    return t.documents.select("id", url_kept(F.col("url"), F.lit("/articles/"), F.array(F.lit("/articles/1"), F.lit("^/articles/22$"))).alias("kept"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["period_bundle"](spark, sf_dir)

@@ -72,7 +72,7 @@ def sitemap_challenges(landing: DataFrame) -> DataFrame:
 
 def diagnose_hubs(landing: DataFrame, links: DataFrame) -> DataFrame:
     """(source, url, cause) of landed hub pages that gave no link; links: rows of hub_links."""
-    none = landing.join(links.select("url").distinct(), "url", "left_anti")
+    none = landing.join(links.select("url").distinct().hint("merge"), "url", "left_anti")
     anchors, md = F.regexp_count("html", F.lit(r"(?i)<a[^>]+href=")), F.regexp_count("html", F.lit(r"\[[^\]]*\]\("))
     marker = markers.which(F.col("html"), markers.CHALLENGE, 4096)
     plain = F.format_string("no links matched (anchors %d, markdown links %d)", anchors, md)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
 from quillspark.functions.markers import FEED_CHALLENGE, which
+from quillspark.functions.rows import fixed
+from quillspark.functions.text import parse_time
 
-_ITEM = "title string, link string, author string, creator string, pubDate string, published string, updated string, description string, summary string, content string, encoded string, guid string"
-_RSS = f"channel struct<item: array<struct<{_ITEM.replace(' string', ': string')}>>>, _bad string"
+_TEXTS = ("title", "pubDate", "dc_date", "published", "updated", "description", "summary")
+_ITEM = ", ".join([f"{c}: string" for c in _TEXTS] + ["link: array<struct<_href: string, _rel: string, _VALUE: string>>", "guid: struct<_isPermaLink: string, _VALUE: string>", "author: array<struct<name: string, _VALUE: string>>", "dc_creator: array<string>", "content: array<string>", "content_encoded: array<string>"])
+#: RSS has its items in a channel or, in version 1, beside it; Atom has entries.
+_FEED = f"channel struct<item: array<struct<{_ITEM}>>>, item array<struct<{_ITEM}>>, entry array<struct<{_ITEM}>>, _bad string"
 _SITEMAP = "url array<struct<loc: string, lastmod: string, news: struct<publication_date: string>>>, sitemap array<struct<loc: string, lastmod: string>>, _bad string"
 _POST = "shortCode string, url string, caption string, ownerUsername string, timestamp string, displayUrl string, childPosts array<struct<displayUrl: string>>"
 #: Fixed values.
@@ -21,36 +28,67 @@ def without_prefixes(xml: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(xml, r"(</?)[A-Za-z][\w.-]*:", "$1"), r'\sxmlns(:\w+)?="[^"]*"', "")
 
 
-def parse_time(raw: Column) -> Column:
-    """ISO 8601 or RFC 822; null for anything else."""
-    plain = F.trim(F.regexp_replace(raw, r"^[A-Za-z]{3},?\s+", ""))
-    return F.coalesce(F.try_to_timestamp(raw), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss z")))
+def _read(df: DataFrame, schema: str, xml: Column | None = None) -> DataFrame:
+    return df.withColumn("_x", F.from_xml(without_prefixes(F.col("body")) if xml is None else xml, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+
+
+def unprefixed_feed(xml: Column) -> Column:
+    """Feed markup that one schema reads: prefixes are part of the names (media:title is media_title), so that
+    foreign elements don't pass for the feed's own; a feed whose root has Atom's prefix loses that prefix.
+    A & that begins no XML entity is text."""
+    root = F.regexp_extract(xml, r"(?s)^\s*(?:<\?.*?\?>\s*|<!.*?>\s*)*<([A-Za-z][\w.-]*):feed\b", 1)
+    own = F.when(root != "", F.regexp_replace(xml, F.concat(F.lit("(</?)"), root, F.lit(":")), F.lit("$1"))).otherwise(xml)
+    own = F.regexp_replace(F.regexp_replace(own, r'\sxmlns(:\w+)?="[^"]*"', ""), r"(</?[A-Za-z][\w.-]*):", "$1_")
+    return F.regexp_replace(own, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+
+
+def _feeds(landing: DataFrame) -> DataFrame:
+    """landing with _x and _items, whatever the kind of feed."""
+    none = F.array().cast(f"array<struct<{_ITEM}>>")
+    d = _read(landing, _FEED, unprefixed_feed(F.col("body")))
+    return fixed(d, "_items", F.concat(*[F.coalesce(c, none) for c in ("_x.channel.item", "_x.item", "_x.entry")]))
+
+
+def _diagnosis(d: DataFrame) -> Column:
+    blocked = which(F.col("body"), FEED_CHALLENGE, 65536).isNotNull()
+    return F.when(F.size("_items") > 0, "ok").when(F.col("_x").isNull() | F.col("_x._bad").isNotNull(), F.when(blocked, "blocked").otherwise("unparseable")).when(blocked, "blocked").otherwise("dead")
 
 
-def _read(df: DataFrame, schema: str) -> DataFrame:
-    return df.withColumn("_x", F.from_xml(without_prefixes(F.col("body")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+def _own_link(i: Column) -> Column:
+    """The item's address: RSS text, Atom's alternate, else any other; a permanent guid where there is none."""
+    of = lambda test: F.get(F.filter(F.transform(F.filter(i["link"], test), lambda x: F.trim(F.coalesce(x["_href"], x["_VALUE"]))), lambda v: v != ""), F.lit(0))
+    rel = lambda x: F.coalesce(x["_rel"], F.lit("alternate"))
+    guid = F.when((F.coalesce(i["guid"]["_isPermaLink"], F.lit("true")) != "false") & i["guid"]["_VALUE"].rlike(r"^\s*https?://"), F.trim(i["guid"]["_VALUE"]))
+    return F.coalesce(of(lambda x: rel(x) == "alternate"), of(lambda x: rel(x) != "self"), guid)
 
 
 def parse_feeds(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects) of (source, url, body, retrieved_at)."""
-    d = _read(landing, _RSS)
-    bad = d.filter(F.col("_x").isNull() | F.col("_x._bad").isNotNull()).select("source", "url", F.lit(None).cast("int").alias("item"), F.lit("unparseable").alias("cause"))
-    items = d.filter(F.col("_x._bad").isNull()).select("source", "url", "retrieved_at", F.posexplode("_x.channel.item").alias("item", "i"))
-    title, link = fn.strip_html(F.col("i.title")), F.trim("i.link")
-    body = F.coalesce("i.encoded", "i.content", "i.summary", "i.description", F.lit(""))
-    items = items.select("source", F.col("url").alias("feed"), "item", title.alias("title"), link.alias("url"), fn.canonicalize_url(link).alias("canonical_url"), F.nullif(F.trim(F.coalesce("i.creator", "i.author", F.lit(""))), F.lit("")).alias("author"), F.coalesce(parse_time(F.coalesce("i.pubDate", "i.published", "i.updated")), "retrieved_at").alias("published_at"), fn.strip_html(body).alias("content"))
+    """(items, rejects) of (source, url, body, retrieved_at), RSS or Atom.
+
+    Rejects are (source, url, item, hint, cause): items without title or link, with their link as hint;
+    feeds that can't be parsed or have no item, with what is wrong with them.
+    """
+    d = _feeds(landing)
+    bad = d.filter(F.size("_items") == 0).select("source", "url", F.lit(None).cast("int").alias("item"), F.lit(None).cast("string").alias("hint"), F.when(_diagnosis(d) == "unparseable", "unparseable").otherwise(F.concat(F.lit("empty feed: "), _diagnosis(d))).alias("cause"))
+    items = d.select("source", "url", "retrieved_at", F.posexplode("_items").alias("item", "i"))
+    i = F.col("i")
+    full = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    blocks = F.filter(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("i.content_encoded", "i.content")]), lambda x: F.coalesce(x, F.lit("")) != "")
+    body = F.coalesce(F.nullif(F.array_join(blocks, "\n"), F.lit("")), full(F.col("i.summary")), full(F.col("i.description")), F.lit(""))
+    author = F.coalesce(full(F.get("i.dc_creator", F.lit(0))), full(F.get("i.author", F.lit(0))["name"]), full(F.get("i.author", F.lit(0))["_VALUE"]))
+    when = F.coalesce(parse_time(F.coalesce(full(F.col("i.pubDate")), full(F.col("i.published")), full(F.col("i.updated")), full(F.col("i.dc_date")))), "retrieved_at")
+    items = items.select("source", F.col("url").alias("feed"), "item", fn.strip_html(F.col("i.title")).alias("title"), _own_link(i).alias("url"), author.alias("author"), when.alias("published_at"), fn.strip_html(body).alias("content"))
+    items = items.withColumn("canonical_url", fn.canonicalize_url(F.col("url")))
     cause = F.when(F.coalesce("title", F.lit("")) == "", "missing title").when(F.coalesce("url", F.lit("")) == "", "missing link")
     items = items.withColumn("cause", cause)
     good = items.filter("cause is null").drop("cause").withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content")))
-    return good, items.filter("cause is not null").select("source", F.col("feed").alias("url"), "item", "cause").unionAll(bad)
+    return good, items.filter("cause is not null").select("source", F.col("feed").alias("url"), "item", F.col("url").alias("hint"), "cause").unionAll(bad)
 
 
 def diagnose_feeds(landing: DataFrame) -> DataFrame:
-    """(source, url, diagnosis): ok, blocked, dead or unparseable."""
-    d = _read(landing, _RSS)
-    blocked = which(F.col("body"), FEED_CHALLENGE, 65536).isNotNull()
-    n = F.coalesce(F.size("_x.channel.item"), F.lit(0))
-    return d.select("source", "url", F.when(n > 0, "ok").when(blocked, "blocked").when(F.col("_x._bad").isNotNull(), "unparseable").otherwise("dead").alias("diagnosis"))
+    """(source, url, diagnosis, entries): ok, blocked, dead or unparseable."""
+    d = _feeds(landing)
+    return d.select("source", "url", _diagnosis(d).alias("diagnosis"), F.size("_items").alias("entries"))
 
 
 def choose_feed(candidates: DataFrame) -> DataFrame:
@@ -59,9 +97,25 @@ def choose_feed(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("source").agg(F.min_by("url", F.when(ok, F.col("ordinal"))).alias("url"), F.when(F.max(ok), F.lit(None)).otherwise(F.max_by("error", "ordinal")).alias("error"))
 
 
+def unpacked(landing: DataFrame) -> DataFrame:
+    """landing with a binary body as text: unzipped where it begins as gzip does; null where that fails."""
+
+    @F.pandas_udf("string")
+    def text(bodies: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            try:
+                return None if b is None else (zlib.decompress(b, 31) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace")
+            except zlib.error:
+                return None
+
+        return bodies.map(one)
+
+    return landing.withColumn("body", text("body")) if dict(landing.dtypes)["body"] == "binary" else landing
+
+
 def parse_sitemaps(landing: DataFrame) -> DataFrame:
     """(source, sitemap, kind, loc, lastmod, cause): kind is url or sitemap; a cause instead for what is neither."""
-    d = _read(landing, _SITEMAP)
+    d = _read(unpacked(landing), _SITEMAP)
     urls = d.select("source", F.col("url").alias("sitemap"), F.lit("url").alias("kind"), F.explode("_x.url").alias("u")).select("source", "sitemap", "kind", F.trim("u.loc").alias("loc"), parse_time(F.coalesce("u.lastmod", "u.news.publication_date")).alias("lastmod"))
     kids = d.select("source", F.col("url").alias("sitemap"), F.lit("sitemap").alias("kind"), F.explode("_x.sitemap").alias("u")).select("source", "sitemap", "kind", F.trim("u.loc").alias("loc"), parse_time(F.col("u.lastmod")).alias("lastmod"))
     none = d.filter(F.col("_x").isNull() | (F.col("_x.url").isNull() & F.col("_x.sitemap").isNull()))
@@ -95,10 +149,10 @@ def plan_frames(frames: DataFrame, most: int = 20, digest: str = "digest") -> Da
 
 
 def archive_fresh(loc: Column, now: Column, days: int = 60) -> Column:
-    """The year and month in an address end at most `days` before now; true where it has none."""
-    year = F.regexp_extract(loc, r"(?<!\d)(20\d\d)[-/_]?(?:\d{2}|[a-z]{3,9})?", 1)
-    number = F.regexp_extract(loc, r"(?<!\d)20\d\d[-/_]?(\d{2})(?!\d)", 1)
-    name = F.lower(F.substring(F.regexp_extract(loc, r"(?i)20\d\d[-/_]([a-z]{3})", 1), 1, 3))
-    month = F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name), F.lit(0)).cast("int"))
-    end = F.last_day(F.make_date(F.nullif(year, F.lit("")).cast("int"), F.when(month.between(1, 12), month), F.lit(1)))
-    return F.coalesce(F.datediff(now, end) <= days, F.lit(True))
+    """The path names a year and month (/2026/08 or /2026/august) that began at most `days` before now; false where it names none."""
+    shape = r"/(\d{4})/([A-Za-z]{3,9}|\d{1,2})(?=[./]|$)"
+    year, token = (F.regexp_extract(fn.path_of(loc), shape, k) for k in (1, 2))
+    name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(token, 1, 3)))
+    month = F.when(token.rlike(r"^\d"), token.try_cast("int")).otherwise(name.cast("int"))
+    start = F.make_date(F.nullif(year, F.lit("")).cast("int"), F.when(month.between(1, 12), month), F.lit(1))
+    return F.coalesce(F.datediff(now, start).between(0, days), F.lit(False))

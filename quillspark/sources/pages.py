@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
 from quillspark.functions.markers import reject_cause
 from quillspark.functions.rows import fixed
+from quillspark.functions.text import parse_time
 
 _TAG = "(?is)"
 
@@ -22,45 +25,116 @@ def _first(html: Column, *patterns: str) -> Column:
     return fn.strip_html(_choose(*[F.regexp_extract(html, _TAG + p, 1) for p in patterns]))
 
 
-def _meta(name: str) -> tuple[str, str]:
-    """Either order of a meta tag's attributes."""
-    return (rf"""<meta[^>]+(?:property|name)=["']{name}["'][^>]*?content=["']([^"']*)["']""", rf"""<meta[^>]+content=["']([^"']*)["'][^>]*?(?:property|name)=["']{name}["']""")
+def metas(html: Column) -> Column:
+    """array<struct<name, value>>: the meta tags of a page that have both, in order; one pass over the page."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+    quoted = lambda tag, key: _choose(*[F.regexp_extract(tag, rf"(?i)\b(?:{key})\s*=\s*{q}([^{q}]*){q}", 1) for q in "\"'"])
+    found = F.transform(tags, lambda t: F.struct(F.lower(quoted(t, "property|name")).alias("name"), quoted(t, "content").alias("value")))
+    return F.filter(found, lambda m: m["name"].isNotNull() & (F.trim(m["value"]) != ""))
+
+
+def _elements(node: Column) -> Column:
+    """The elements of a JSON list as JSON; none for anything else."""
+    return F.coalesce(F.when(node.startswith("["), F.from_json(node, "array<string>")), F.array().cast("array<string>"))
 
 
 def json_ld(html: Column) -> Column:
-    """The first JSON-LD block as a string; null without one."""
-    return _choose(F.regexp_extract(html, _TAG + r"""<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>""", 1))
+    """All JSON-LD objects of a page as JSON, in order: lists and @graph are taken apart, garbled blocks left out."""
+    found = F.regexp_extract_all(html, F.lit(_TAG + r"""<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    nodes = F.filter(F.transform(found, lambda b: F.get_json_object(b, "$")), lambda b: b.isNotNull())
+    for _ in range(2):  # a list of graphs is as deep as pages go
+        nodes = F.flatten(F.transform(nodes, lambda n: F.concat(F.when(n.startswith("["), _elements(n)).otherwise(F.array(n)), _elements(F.get_json_object(n, "$.@graph")))))
+    return nodes
+
+
+@dataclass
+class Head:
+    """What several cascades read of a page: its markup, meta tags, JSON-LD objects, and whether it is a provider's Markdown."""
+
+    html: Column
+    metas: Column
+    nodes: Column
+    is_md: Column
+
+    def meta(self, *names: str) -> Column:
+        """The first meta tag of the first of the names that has one."""
+        one = lambda n: F.get(F.filter(self.metas, lambda m: m["name"] == n), F.lit(0))["value"]
+        return fn.strip_html(F.coalesce(*[one(n) for n in names]))
+
+    def ld(self, key: str) -> Column:
+        """The first string of that key, articles first."""
+        return _choose(*self._values(lambda n: _plain(F.get_json_object(n, f"$.{key}"))))
+
+    def _values(self, of) -> list[Column]:
+        article = lambda n: F.coalesce(F.lower(F.get_json_object(n, "$.@type")).isin(*ARTICLE_TYPES), F.lit(False))
+        first = lambda nodes: F.get(F.filter(F.transform(nodes, of), lambda v: F.trim(v) != ""), F.lit(0))
+        return [first(F.filter(self.nodes, article)), first(F.filter(self.nodes, lambda n: ~article(n)))]
 
+    def ld_author(self) -> Column:
+        """A string, an object's name, or the first such of a list."""
+        name = lambda a: F.coalesce(_plain(a), F.when(a.startswith("{"), F.get_json_object(a, "$.name")))
+        given = F.transform(self.nodes, lambda n: F.get_json_object(n, "$.author"))
+        names = F.flatten(F.transform(given, lambda a: F.coalesce(F.when(a.startswith("["), F.transform(_elements(a), name)), F.array(name(a)))))
+        return F.get(F.filter(names, lambda v: F.trim(v) != ""), F.lit(0))
 
-def _ld(html: Column, key: str) -> Column:
-    block = json_ld(html)
-    paths = [F.get_json_object(block, p) for p in (f"$.{key}", f"$[0].{key}", f"$.@graph[0].{key}")]
-    return _choose(*paths)
+    def ld_body(self) -> Column:
+        """The first articleBody, articles first; a list's parts are joined."""
+        body = lambda b: F.when(b.startswith("["), F.array_join(_elements(b), " ")).otherwise(b)
+        return _choose(*self._values(lambda n: body(F.get_json_object(n, "$.articleBody"))))
 
+    def header(self, name: str) -> Column:
+        """A line of the provider's header block; null for other pages."""
+        return F.when(self.is_md, F.nullif(F.trim(F.regexp_extract(self.html, rf"(?im)^{name}:[ \t]*(.*)$", 1)), F.lit("")))
 
-def extract_title(html: Column) -> Column:
-    return _choose(_first(html, *_meta("og:title"), *_meta("twitter:title")), _ld(html, "headline"), _first(html, r"<title[^>]*>(.*?)</title>", r"<h1[^>]*>(.*?)</h1>", *_meta("headline")))
 
+#: The types of JSON-LD that are articles.
+ARTICLE_TYPES = ("newsarticle", "article", "blogposting")
+MARKDOWN_START, MARKDOWN_CONTENT = r"^\s*Title:", "Markdown Content:"
 
-def extract_author(html: Column) -> Column:
-    by_class = _first(html, r"""<a[^>]+class=["'][^"']*author[^"']*["'][^>]*>(.*?)</a>""")
-    plain = F.when(~by_class.rlike("@|http") & by_class.rlike(r"\p{L}"), by_class)
-    return _choose(_first(html, *_meta("author"), *_meta("article:author")), _ld(html, "author.name"), plain)
 
+def _plain(value: Column) -> Column:
+    """A JSON value that is a string: no object, no list."""
+    return F.when(~value.rlike(r"^[\[{]"), value)
 
-def extract_published(html: Column, lastmod: Column, retrieved: Column) -> Column:
-    raw = _choose(_first(html, *_meta("article:published_time")), _ld(html, "datePublished"), F.regexp_extract(html, _TAG + r"""<time[^>]+datetime=["']([^"']+)["']""", 1))
-    return F.coalesce(F.try_to_timestamp(raw), lastmod, retrieved)
 
+def head(df: DataFrame, html: str = "html", is_md: Column | None = None) -> tuple[DataFrame, Head]:
+    """df with the working columns _metas and _nodes, each computed once a page."""
+    d = fixed(fixed(df, "_metas", metas(F.col(html))), "_nodes", json_ld(F.col(html)))
+    return d, Head(F.col(html), F.col("_metas"), F.col("_nodes"), F.lit(False) if is_md is None else F.coalesce(is_md, F.lit(False)))
 
-def extract_body(html: Column) -> Column:
-    """Text of the article region, scripts and styles left out; of the page where there is no article."""
-    region = _choose(F.regexp_extract(html, _TAG + r"<article[^>]*>(.*?)</article>", 1), html)
-    return fn.strip_html(F.regexp_replace(region, _TAG + r"<(script|style)[^>]*>.*?</\1>", " "))
 
+def extract_title(h: Head) -> Column:
+    page = _choose(h.meta("og:title"), h.meta("twitter:title"), fn.strip_html(h.ld("headline")), _first(h.html, r"<title[^>]*>(.*?)</title>", r"<h1[^>]*>(.*?)</h1>"), h.meta("headline"))
+    h1 = F.when(h.is_md, fn.strip_html(F.regexp_extract(h.html, r"(?m)^#[ \t]+(.+)$", 1)))
+    return _choose(page, h.header("Title"), h1)
 
-def declared_link(html: Column) -> Column:
-    return _choose(F.regexp_extract(html, _TAG + r"""<link[^>]+rel=["']canonical["'][^>]*href=["']([^"']+)["']""", 1), _first(html, *_meta("og:url")))
+
+def extract_author(h: Head) -> Column:
+    by_class = _first(h.html, r"""<a[^>]+class=["'][^"']*author[^"']*["'][^>]*>(.*?)</a>""")
+    plain = F.when(~by_class.rlike("(?i)@|http") & by_class.rlike(r"\p{L}"), by_class)
+    return _choose(h.meta("author"), h.meta("article:author"), fn.strip_html(h.ld_author()), plain, h.header("Author"))
+
+
+def extract_published(h: Head, lastmod: Column, retrieved: Column) -> Column:
+    times = [F.regexp_extract(h.html, _TAG + p, 1) for p in (r"""<time[^>]+datetime=["']([^"']+)["']""", r'"datePublished"\s*:\s*"([^"]+)"')]
+    raw = _choose(h.meta("article:published_time"), h.ld("datePublished"), *times, h.header("Published Time"))
+    return F.coalesce(parse_time(raw), lastmod, retrieved)
+
+
+def extract_body(h: Head, extractor: Column | None = None) -> Column:
+    """A provider's Markdown without its header block; the JSON-LD body where the source wants it first; else the text of
+    the article region, scripts and styles left out, or of the page where there is no article."""
+    at = F.instr(h.html, MARKDOWN_CONTENT)
+    below = F.regexp_replace(F.substr(h.html, at + len(MARKDOWN_CONTENT)), r"^[\r\n]+", "")
+    markdown = F.when(h.html.rlike(MARKDOWN_START) & (at > 0), below).otherwise(h.html)
+    region = _choose(F.regexp_extract(h.html, _TAG + r"<article[^>]*>(.*?)</article>", 1), h.html)
+    plain = fn.strip_html(F.regexp_replace(region, _TAG + r"<(script|style)[^>]*>.*?</\1>", " "))
+    first = F.lit(None).cast("string") if extractor is None else F.when(extractor == "json-ld-first", F.nullif(F.trim(h.ld_body()), F.lit("")))
+    return F.when(h.is_md, markdown).otherwise(F.coalesce(first, plain))
+
+
+def declared_link(h: Head) -> Column:
+    return _choose(F.regexp_extract(h.html, _TAG + r"""<link[^>]+rel=["']canonical["'][^>]*href=["']([^"']+)["']""", 1), h.meta("og:url"))
 
 
 def declared_canonical(link: Column, base: Column) -> Column:
@@ -71,20 +145,26 @@ def declared_canonical(link: Column, base: Column) -> Column:
 
 def id_reused(fetched: Column, declared: Column) -> Column:
     """Both paths have digit runs and none in common."""
-    a, b = (F.regexp_extract_all(fn.path_of(x), F.lit(r"(\d{4,})"), F.lit(1)) for x in (fetched, declared))
+    a, b = (F.regexp_extract_all(fn.path_of(x), F.lit(r"(\d+)"), F.lit(1)) for x in (fetched, declared))
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), F.lit(False))
 
 
 def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles, rejects) of (url, html, retrieved_at[, lastmod])."""
+    """(articles, rejects) of (url, html, retrieved_at[, lastmod, is_md, extractor, id_guard]).
+
+    is_md: the payload is a provider's Markdown; extractor and id_guard: settings of the source (generic
+    and on where there is no such column).
+    """
+    has = lambda name, default: F.coalesce(F.col(name), default) if name in landing.columns else default
     lastmod = F.col("lastmod") if "lastmod" in landing.columns else F.lit(None).cast("timestamp")
-    h = F.col("html")
-    d = landing
-    for name, value in (("title", extract_title(h)), ("author", extract_author(h)), ("published_at", extract_published(h, lastmod, F.col("retrieved_at"))), ("content", extract_body(h)), ("_link", declared_link(h)), ("declared", declared_canonical(F.col("_link"), F.col("url")))):
+    guard, extractor = has("id_guard", F.lit(True)), has("extractor", F.lit("generic")) if "extractor" in landing.columns else None
+    d, h = head(landing, "html", has("is_md", F.lit(False)))
+    for name, value in (("title", extract_title(h)), ("author", extract_author(h)), ("published_at", extract_published(h, lastmod, F.col("retrieved_at"))), ("content", extract_body(h, extractor)), ("_link", declared_link(h)), ("declared", declared_canonical(F.col("_link"), F.col("url")))):
         d = fixed(d, name, value)
-    cause = F.when(F.col("title").isNull() | (F.col("content") == ""), reject_cause(h, F.lit("no title or body"))).when(id_reused(F.col("url"), F.col("declared")), "reused id")
+    empty = F.col("title").isNull() | (F.trim("content") == "")
+    cause = F.when(empty, reject_cause(h.html, F.lit("no title or body"))).when(guard & id_reused(F.col("url"), F.col("declared")), "reused id")
     d = d.withColumn("cause", cause)
-    good = d.filter("cause is null").withColumn("canonical_url", fn.canonicalize_url(F.coalesce("declared", "url"))).withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))).drop("cause", "declared", "_link", "html")
+    good = d.filter("cause is null").withColumn("canonical_url", fn.canonicalize_url(F.coalesce("declared", "url"))).withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))).drop("cause", "declared", "_link", "_metas", "_nodes", "html")
     return good, d.filter("cause is not null").select("url", "cause")
 
 

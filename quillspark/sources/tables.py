@@ -21,11 +21,15 @@ SELECT d.doc_id AS id, CAST(substr(d.source, 4) AS INT) AS source_id, d.lang AS
        CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE concat('author', CAST(d.doc_id % 9 AS STRING)) END AS author,
        CAST('2024-01-01 00:00:00' AS {NTZ}) + ((d.doc_id * 997) % 43200) * INTERVAL '1' MINUTE AS published_at,
        d.text AS content,
-       CASE WHEN l.toxic = 1 THEN 'wrong_body' WHEN l.quality = 0 THEN 'thin' END AS flag_reason
+       CASE WHEN l.toxic = 1 THEN 'wrong_body' WHEN l.quality = 0 THEN 'thin' END AS flag_reason,
+       CASE WHEN (l.toxic = 1 OR l.quality = 0) AND d.doc_id % 2 = 0 THEN concat('detail ', CAST(d.doc_id AS STRING)) END AS flag_detail,
+       CASE WHEN l.toxic = 1 OR l.quality = 0 THEN CAST('2024-02-01 00:00:00' AS {NTZ}) + (d.doc_id % 1440) * INTERVAL '1' MINUTE END AS flagged_at,
+       CASE WHEN (l.toxic = 1 OR l.quality = 0) AND d.doc_id % 3 = 0 THEN 'agent' END AS flagged_by
   FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
     "importance": """
 SELECT e.event_id AS id, e.event_id % (SELECT count(*) FROM {documents}) AS document_id, least(e.value / 100.0, 1.0) AS score,
-       CASE e.user_id % 3 WHEN 0 THEN 'jev' WHEN 1 THEN 'agent' END AS reporter, e.ts AS created_at
+       CASE e.user_id % 3 WHEN 0 THEN 'jev' WHEN 1 THEN 'agent' END AS reporter,
+       CASE WHEN e.event_id % 4 <> 1 THEN concat('reason ', CAST(e.event_id AS STRING)) END AS rationale, e.ts AS created_at
   FROM {events} e
  WHERE e.event_type IN ('purchase', 'signup') AND e.event_id % 7 <> 3""",
     "topics": """
@@ -41,14 +45,15 @@ SELECT e.event_id % (SELECT count(*) FROM {documents}) AS document_id, concat('r
   FROM {events} e
  WHERE e.event_type = 'view' GROUP BY 1, 2""",
     "runs": """
-SELECT e.event_id AS id, concat('src', CAST(e.event_id % 18 AS STRING)) AS source_name, e.ts AS finished_at,
-       CAST(floor(e.value) AS INT) AS inserted, CAST(e.user_id % 5 AS INT) AS skipped,
+SELECT e.event_id AS id, concat('src', CAST(e.event_id % 18 AS STRING)) AS source_name, e.ts - INTERVAL '5' MINUTE AS started_at, e.ts AS finished_at,
+       CAST(floor(e.value) AS INT) AS inserted, CAST(e.user_id % 5 AS INT) AS skipped, CAST(e.user_id % 3 AS INT) AS parse_skipped,
        CASE WHEN e.event_type = 'error' THEN 'fetch failed' END AS error
   FROM {events} e""",
     "picks": """
-SELECT DISTINCT CAST(date_trunc('week', e.ts) AS DATE) AS digest_date, e.event_id % (SELECT count(*) FROM {documents}) AS document_id
+SELECT CAST(date_trunc('week', e.ts) AS DATE) AS digest_date, e.event_id % (SELECT count(*) FROM {documents}) AS document_id,
+       max(CASE WHEN e.user_id % 2 = 0 THEN 'jev' END) AS reporter, min(e.ts) AS created_at
   FROM {events} e
- WHERE e.event_type = 'signup' AND e.event_id % 5 = 0""",
+ WHERE e.event_type = 'signup' AND e.event_id % 5 = 0 GROUP BY 1, 2""",
     "frames": """
 SELECT conv_id AS document_id, turn AS frame_index,
        CASE WHEN role = 'system' THEN 'NO_TEXT' ELSE text END AS image_text, 'm1' AS model

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.plans.jobs import ingest
+
 
 def ingest_directory(spark: SparkSession, path: str, schema: str, ingest: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Each new file of a landing folder goes through `ingest(batch, epoch)` once."""
@@ -17,6 +19,25 @@ def ingest_directory(spark: SparkSession, path: str, schema: str, ingest: Callab
     return rows.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_feeds(spark: SparkSession, path: str, checkpoint: str, store: str, sources: DataFrame, legs: DataFrame) -> StreamingQuery:
+    """Landed feeds (source, url, body, retrieved_at), file by file, through the ingest batch into Parquet under `store`.
+
+    documents are appended; runs, flags and rejects lie by epoch and are written over if an epoch is
+    run again, when the upsert finds its documents stored already.
+    """
+
+    def batch(landing: DataFrame, epoch: int) -> None:
+        documents = f"{store}/documents"
+        fs = spark._jvm.org.apache.hadoop.fs.Path(documents)
+        stored = spark.read.parquet(documents) if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs) else None
+        done = ingest(landing, legs, sources, stored)
+        for name, rows in (("runs", done.runs), ("flags", done.flags), ("rejects", done.rejects)):
+            rows.write.mode("overwrite").parquet(f"{store}/{name}/epoch={epoch}")
+        done.inserted.write.mode("append").parquet(documents)
+
+    return ingest_directory(spark, path, "source string, url string, body string, retrieved_at timestamp", batch, checkpoint)
+
+
 def without_replays(rows: DataFrame, key: str = "canonical_url", time: str = "retrieved_at", overlap: str = "60 seconds") -> DataFrame:
     """Rows of a key already seen within the overlap are dropped."""
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, overlap).dropDuplicatesWithinWatermark([key])

@@ -42,6 +42,16 @@ def test_text(spark):
     assert one(spark, fn.post_title(F.col("c"), F.col("h"), F.col("s")), c="  ", h="h", s="s") == "@h — s"
 
 
+@pytest.mark.parametrize("raw", ["caf&eacute; &#8217;x&#x2019; &amp;eacute; &nbsp;&hellip;", "no entity & here; &unknown; &#; &", "&lt;b&gt;&quot;&#39;&apos;", "&#128512;&#x1F600;", ""])
+def test_unescape(spark, raw):
+    assert one(spark, fn.unescape(F.col("u")), u=raw) == html.unescape(raw)
+
+
+def test_as_utc(spark):
+    d = spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5),), (datetime(2024, 1, 2, 3, 4, 5, 60),)], "t timestamp_ntz")
+    assert [r[0] for r in d.select(fn.as_utc(F.col("t"))).collect()] == ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.000060+00:00"]
+
+
 def test_snippet(spark):
     body = "x" * 200 + "NEEDLE" + "y" * 200
     assert one(spark, fn.snippet(F.col("c"), F.col("t"), "needle"), c=body, t="t") == "…" + "x" * 120 + "NEEDLE" + "y" * 120 + "…"

@@ -1,3 +1,4 @@
+import gzip
 import json
 from datetime import datetime
 
@@ -70,3 +71,70 @@ def test_causes(spark):
     assert {r.url: r.cause for r in catalog.diagnose_hubs(hubs, spark.createDataFrame([("u1",)], "url string")).collect()} == {"u2": "challenge: block page (marker captcha)", "u3": "challenge: not HTML"}
     md = spark.createDataFrame([("Lede [a](http://x) ![i](y)\n\nmore\n\n## Related articles\n\ngone",)], "md string")
     assert md.select(markers.clean_family_markdown(F.col("md"))).first()[0] == "Lede a\n\nmore"
+
+
+def test_atom_and_foreign_elements(spark):
+    atom = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>All</title>
+      <entry><title type="html">A &amp;amp; B</title><link rel="self" href="https://a.com/self"/><link rel="alternate" href="https://a.com/1"/><author><name>Ann</name></author><published>2024-01-02T03:04:05Z</published><summary>short</summary><content type="html">&lt;p&gt;long&lt;/p&gt;</content></entry>
+      <entry><title>No link</title><updated>2024-01-02T00:00:00Z</updated></entry></feed>"""
+    rss = """<rss xmlns:media="m" xmlns:atom="a" xmlns:content="c" xmlns:dc="d"><channel><title>c</title><atom:link href="https://a.com/feed" rel="self"/><item><media:title>wrong</media:title><title>Right &eacute;</title><atom:link href="https://wrong.com" rel="related"/>
+      <link>https://a.com/2</link><media:content url="x"/><content:encoded>one</content:encoded><content:encoded>two</content:encoded><description>d</description><pubDate>nonsense</pubDate></item>
+      <item><title>By guid</title><guid>https://a.com/3</guid></item></channel></rss>"""
+    old = '<rdf:RDF xmlns:rdf="r" xmlns="http://purl.org/rss/1.0/"><channel><title>x</title></channel><item><title>Old</title><link>https://a.com/4</link></item></rdf:RDF>'
+    prefixed = '<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:entry><a:title>P</a:title><a:link href="https://a.com/5"/></a:entry></a:feed>'
+    land = spark.createDataFrame([(k, k, x, NOW) for k, x in (("atom", atom), ("rss", rss), ("old", old), ("prefixed", prefixed))], "source string, url string, body string, retrieved_at timestamp")
+    good, bad = feeds.parse_feeds(land)
+    got = {r.url: (r.title, r.author, r.content, r.published_at) for r in good.collect()}
+    assert got == {
+        "https://a.com/1": ("A & B", "Ann", "long", datetime(2024, 1, 2, 3, 4, 5)),
+        "https://a.com/2": ("Right é", None, "one two", NOW),
+        "https://a.com/3": ("By guid", None, "", NOW),
+        "https://a.com/4": ("Old", None, "", NOW),
+        "https://a.com/5": ("P", None, "", NOW),
+    }
+    assert [(r.source, r.item, r.cause) for r in bad.collect()] == [("atom", 1, "missing link")]
+    assert {r.source: (r.diagnosis, r.entries) for r in feeds.diagnose_feeds(land).collect()} == {"atom": ("ok", 2), "rss": ("ok", 2), "old": ("ok", 1), "prefixed": ("ok", 1)}
+
+
+def test_feed_choice_and_rejects_of_whole_feeds(spark):
+    rows = [("s", 0, 0, "dead"), ("s", 1, 3, None), ("s", 2, 5, None), ("t", 0, 0, "blocked"), ("t", 1, 0, "dead")]
+    d = spark.createDataFrame([(a, f"{a}{b}", b, c, e) for a, b, c, e in rows], "source string, url string, ordinal int, entries int, error string")
+    assert sorted(map(tuple, feeds.choose_feed(d).collect()), key=str) == [("s", "s1", None), ("t", None, "dead")]
+    land = spark.createDataFrame([("e", "e", "<rss><channel></channel></rss>", NOW), ("b", "b", "<html>Access Denied</html>", NOW), ("n", "n", None, NOW)], "source string, url string, body string, retrieved_at timestamp")
+    assert sorted((r.source, r.cause) for r in feeds.parse_feeds(land)[1].collect()) == [("b", "empty feed: blocked"), ("e", "empty feed: dead"), ("n", "unparseable")]
+
+
+def test_zipped_sitemap(spark):
+    xml = b"<urlset><url><loc>https://a.com/1</loc></url></urlset>"
+    rows = [("s", "z", bytearray(gzip.compress(xml))), ("s", "p", bytearray(xml)), ("s", "x", bytearray(b"\x1f\x8bnot"))]
+    got = feeds.parse_sitemaps(spark.createDataFrame(rows, "source string, url string, body binary")).collect()
+    assert sorted((r.sitemap, r.loc) for r in got if r.loc) == [("p", "https://a.com/1"), ("z", "https://a.com/1")]
+    assert [r.sitemap for r in got if r.cause] == ["x"]
+
+
+def test_json_ld_and_markdown(spark):
+    ld = """<script type="application/ld+json">{garbled</script><script type="application/ld+json">[{"@graph":[{"@type":"WebPage","headline":"page","author":{"name":"Site"}},{"@type":"NewsArticle","headline":"Caf&eacute;","datePublished":"2024-01-02T00:00:00Z","author":[{"name":"Ann"}],"articleBody":"the body"}]}]</script><article>other</article>"""
+    md = "Title: Md title\nURL Source: u\nPublished Time: 2024-01-05T00:00:00Z\n\nMarkdown Content:\n# Head\n\ntext"
+    plain = "intro\n# Only head\n\nbody"
+    rows = [("https://h.com/1", ld, "json-ld-first", False), ("https://h.com/2", ld, "generic", False), ("https://h.com/3", md, "generic", True), ("https://h.com/4", plain, "generic", True)]
+    d = spark.createDataFrame([(*r, NOW) for r in rows], "url string, html string, extractor string, is_md boolean, retrieved_at timestamp")
+    got = {r.url[-1]: (r.title, r.author, r.content, r.published_at.day) for r in pages.extract_articles(d)[0].collect()}
+    assert got == {"1": ("Café", "Site", "the body", 2), "2": ("Café", "Site", "other", 2), "3": ("Md title", None, "# Head\n\ntext", 5), "4": ("Only head", None, plain, 1)}
+    guarded = spark.createDataFrame([("https://h.com/a/123", '<title>t</title><link rel="canonical" href="/a/456">b', g, NOW) for g in (True, False)], "url string, html string, id_guard boolean, retrieved_at timestamp")
+    good, bad = pages.extract_articles(guarded)
+    assert (good.count(), [r.cause for r in bad.collect()]) == (1, ["reused id"])
+
+
+def test_archives(spark):
+    locs = [("/news/archive/2024/january.xml", True), ("/news/archive/2023/12.xml", True), ("/news/archive/2023/6/a", False), ("/news/archive/2024/02.xml", False), ("/news/plain", False), ("/a/2023/foo.xml", False)]
+    d = spark.createDataFrame([(f"https://a.com{p}", w) for p, w in locs], "loc string, want boolean")
+    assert all(r[0] == r[1] for r in d.select(feeds.archive_fresh(F.col("loc"), F.lit(datetime(2024, 1, 20))), "want").collect())
+
+
+def test_markers(spark):
+    one = lambda c, v: spark.createDataFrame([(v,)], "x string").select(c).first()[0]
+    assert one(markers.is_primary_miss(F.col("x")), "HTTP 403: lock page (thin rendered text)") and not one(markers.is_primary_miss(F.col("x")), "timeout")
+    md = "![logo](x.png)[Read [x](y)](z)\n\n  Body [link](http://a) text \n\n\n## Related stories:\n\nmore\n\nMost read"
+    assert one(markers.clean_family_markdown(F.col("x")), md) == "[Read x](z)\n\nBody link text"
+    assert one(markers.clean_family_markdown(F.col("x")), "a\n\nread more of it\n\nb") == "a\n\nread more of it\n\nb"
+    assert one(markers.clean_family_markdown(F.col("x")), "Recommended\n\nb") == ""
