@@ -86,4 +86,4 @@ QUERIES = {
         op10_markov_secrets,
     )
 }
-ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL, "op7_line_windows": lines.ORACLE_SQL}
+ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL, "op5_divergence_rules": rules.ORACLE_SQL, "op7_line_windows": lines.ORACLE_SQL, "op10_markov_secrets": secrets.ORACLE_SQL}

@@ -8,7 +8,7 @@ first-order Markov chain of random strings explains better than one of ordinary
 Transitions between single characters are counted over the whole corpus: values that the base kinds
 matched, of 16 characters or more with a digit and a letter, are random strings; all runs of the texts
 that hold no such value are ordinary: words, names, paths, numbers; those that a first count of both
-calls random are left out of the second. A fifth of the different strings of both, by a hash, is held out; the threshold of
+calls random are left out of the second. Three sixteenths of the different strings of both, by a hash, are held out; the threshold of
 the ratio is the logarithm of how many ordinary strings there are for a random one, or what FALSE_ALARMS
 of the held-out ordinary strings pass at most, if that is more, but so that no more than MISSED of the
 held-out random ones are lost.
@@ -43,6 +43,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RANDOM_LENGTH = 16
 #: Share of the held-out ordinary strings that may pass the threshold, of the held-out random ones that may fail it, and the steps in which it is set.
 FALSE_ALARMS, MISSED, GRID, MOST_BINS = 1e-3, 0.01, 0.25, 20_000
+#: First digits of the MD5 of the strings that are held out.
+HELD = ("0", "1", "2")
 #: Matches of a text whose lengths are summed together.
 BLOCK = 128
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -105,11 +107,11 @@ def _pairs(strings: DataFrame) -> DataFrame:
 
 
 def samples(scan_of: DataFrame) -> DataFrame:
-    """(v, m, times, held): the different strings that the chains learn from; m: 0 random, 1 ordinary; a fifth is held out."""
+    """(v, m, times, held): the different strings that the chains learn from; m: 0 random, 1 ordinary; some are held out."""
     values = scan_of.select(F.explode("_base").alias("s")).select(F.col("s.value").alias("v")).filter(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]") & (F.length("v") >= RANDOM_LENGTH))
     values = values.select(F.translate("v", ".", "").alias("v"), F.lit(0).alias("m"))
     both = values.unionAll(scan_of.select(F.explode("_runs").alias("v"), F.lit(1).alias("m")))
-    return both.groupBy("v", "m").agg(F.count("*").alias("times")).withColumn("held", F.pmod(F.xxhash64("v"), F.lit(5)) == 0)
+    return both.groupBy("v", "m").agg(F.count("*").alias("times")).withColumn("held", F.substring(F.md5("v"), 1, 1).isin(*HELD))
 
 
 @dataclass
@@ -193,3 +195,42 @@ def joined(spans: Column, most_kind: int = 3) -> Column:
     """kind:start:end of the spans of kinds 0 to most_kind, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(F.filter(spans, lambda s: s["kind"] <= most_kind), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+#: The rows of the op10 query, for DuckDB.
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+pat AS (SELECT * FROM (VALUES (0, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), (1, 'AKIA[A-Z0-9]+', 0), (2, '[0-9a-f]+', 0), (3, '[A-Za-z0-9+/_=-]+', 0)) v(kind, p, g)),
+m AS MATERIALIZED (SELECT r, kind, regexp_extract_all(t, p, 0) AS w, CASE g WHEN 1 THEN regexp_extract_all(t, p, 1) ELSE regexp_extract_all(t, p, 0) END AS v, string_split_regex(t, p) AS gap FROM d, pat),
+i AS (SELECT r, kind, unnest(range(len(w))) AS i, unnest(w) AS w, unnest(v) AS v, unnest(gap[1:len(w)]) AS gap FROM m WHERE len(w) > 0),
+f AS (SELECT r, kind, w, v, sum(length(gap)) OVER o + coalesce(sum(length(w)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM i WINDOW o AS (PARTITION BY r, kind ORDER BY i)),
+g AS MATERIALIZED (SELECT r, kind, v, s::BIGINT AS s, (s + length(w))::BIGINT AS e FROM f WHERE length(v) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 WHEN 2 THEN 24 ELSE 8 END),
+b AS MATERIALIZED (SELECT * FROM g WHERE kind < 3), run AS MATERIALIZED (SELECT * FROM g WHERE kind = 3),
+ord AS (SELECT v FROM run WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = run.r AND contains(run.v, b.v))),
+smp AS MATERIALIZED (SELECT v, 1 AS m, count(*) AS n, substr(md5(v), 1, 1) IN ('0', '1', '2') AS held FROM ord GROUP BY v
+        UNION ALL SELECT v, 0, count(*), substr(md5(v), 1, 1) IN ('0', '1', '2') FROM (SELECT replace(v, '.', '') AS v FROM b WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND length(v) >= 16) x GROUP BY v),
+pr AS MATERIALIZED (SELECT CASE WHEN count(DISTINCT m) = 2 THEN greatest(0.0, ln(sum(n) FILTER (m = 1) / sum(n) FILTER (m = 0))) END AS prior FROM smp),
+st AS (SELECT v, m, n, held, unnest(range(1, length(v) + 1)) AS k FROM smp),
+pp AS MATERIALIZED (SELECT m, n, held, v, CASE WHEN k = 1 THEN '' ELSE v[k - 1] END AS a, v[k] AS c FROM st),
+al AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-', '')) AS c),
+cells AS MATERIALIZED (SELECT x.a, y.c FROM (SELECT c AS a FROM al UNION ALL SELECT '') x, al y),
+c1 AS MATERIALIZED (SELECT m, a, c, sum(n) AS n FROM pp WHERE NOT held GROUP BY ALL), t1 AS MATERIALIZED (SELECT m, a, sum(n) AS n FROM c1 GROUP BY ALL),
+r1 AS MATERIALIZED (SELECT cells.a, cells.c, ln((coalesce(p.n, 0) + 0.5) / (coalesce(tp.n, 0) + 33.5)) - ln((coalesce(q.n, 0) + 0.5) / (coalesce(tq.n, 0) + 33.5)) AS x FROM cells
+       LEFT JOIN c1 p ON p.m = 0 AND p.a = cells.a AND p.c = cells.c LEFT JOIN c1 q ON q.m = 1 AND q.a = cells.a AND q.c = cells.c LEFT JOIN t1 tp ON tp.m = 0 AND tp.a = cells.a LEFT JOIN t1 tq ON tq.m = 1 AND tq.a = cells.a),
+s1 AS MATERIALIZED (SELECT pp.m, pp.v, sum(x) AS x FROM pp JOIN r1 ON r1.a = pp.a AND r1.c = pp.c GROUP BY ALL),
+p2 AS MATERIALIZED (SELECT pp.* FROM pp WHERE m = 0 OR v IN (SELECT v FROM s1, pr WHERE m = 1 AND x <= prior)),
+c2 AS MATERIALIZED (SELECT m, a, c, sum(n) AS n FROM p2 WHERE NOT held GROUP BY ALL), t2 AS MATERIALIZED (SELECT m, a, sum(n) AS n FROM c2 GROUP BY ALL),
+r2 AS MATERIALIZED (SELECT cells.a, cells.c, ln((coalesce(p.n, 0) + 0.5) / (coalesce(tp.n, 0) + 33.5)) - ln((coalesce(q.n, 0) + 0.5) / (coalesce(tq.n, 0) + 33.5)) AS x FROM cells
+       LEFT JOIN c2 p ON p.m = 0 AND p.a = cells.a AND p.c = cells.c LEFT JOIN c2 q ON q.m = 1 AND q.a = cells.a AND q.c = cells.c LEFT JOIN t2 tp ON tp.m = 0 AND tp.a = cells.a LEFT JOIN t2 tq ON tq.m = 1 AND tq.a = cells.a),
+s2 AS MATERIALIZED (SELECT p2.m, p2.v, any_value(p2.n) AS n, any_value(held) AS held, sum(x) AS x FROM p2 JOIN r2 ON r2.a = p2.a AND r2.c = p2.c GROUP BY p2.m, p2.v),
+h AS MATERIALIZED (SELECT m, greatest(-1, least(floor(x / 0.25), 20000)) AS bin, sum(n) AS n FROM s2 WHERE held GROUP BY ALL),
+pt AS (SELECT coalesce(max(bin + 1) FILTER (above > 1e-3 * every), 0) AS point FROM (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above, sum(n) OVER () AS every FROM h WHERE m = 1) x),
+mo AS (SELECT max(bin) FILTER (below <= 0.01 * every) AS most FROM (SELECT bin, coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS every FROM h WHERE m = 0) x),
+th AS MATERIALIZED (SELECT greatest(0, least(greatest(point, ceil(prior / 0.25)), coalesce(most, greatest(point, ceil(prior / 0.25))))) * 0.25 AS x FROM pt, mo, pr WHERE prior IS NOT NULL),
+odd AS MATERIALIZED (SELECT v FROM (SELECT z.v, sum(r2.x) AS x FROM (SELECT v, CASE WHEN k = 1 THEN '' ELSE v[k - 1] END AS a, v[k] AS c FROM (SELECT v, unnest(range(1, length(v) + 1)) AS k FROM (SELECT DISTINCT v FROM run) y) q) z JOIN r2 ON r2.a = z.a AND r2.c = z.c GROUP BY z.v) s, th WHERE s.x > th.x),
+every AS MATERIALIZED (SELECT r, kind, s, e FROM b UNION ALL SELECT r, kind, s, e FROM run WHERE v IN (SELECT v FROM odd) AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = run.r AND b.s < run.e AND run.s < b.e)),
+o AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS x,
+             string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+             string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM every GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(x, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o ON o.r = d.r
+"""
