@@ -32,6 +32,8 @@ def registered(sql: str | None = None, *views: str):
         if sql is not None:
             head = oracle_prelude(*views) if views else ""
             body = sql.strip()
+            if head and body.startswith("WITH RECURSIVE "):
+                head, body = head.replace("WITH ", "WITH RECURSIVE ", 1), "WITH " + body[15:]
             ORACLES[f.__name__] = head + (", " + body[5:] if head and body.startswith("WITH ") else "\n" + body)
         return f
 
@@ -251,7 +253,15 @@ def collided(t: Tables) -> DataFrame:
     return d.select(F.col("id").alias("ordinal"), F.concat(F.lit("u"), (F.col("id") % max(n * 19 // 20, 1)).cast("string")).alias("url"), F.concat(F.lit("c"), ((F.col("id") * 7) % max(n * 29 // 30, 1)).cast("string")).alias("canonical_url"), fn.content_hash(F.col("title"), F.col("content")).alias("content_hash"))
 
 
-@registered()
+@registered(f"""WITH RECURSIVE k AS (SELECT count(*) AS n FROM v_documents),
+q AS (SELECT row_number() OVER (ORDER BY id) AS r, id, 'u' || (id % greatest(n * 19 // 20, 1))::VARCHAR AS u, 'c' || ((id * 7) % greatest(n * 29 // 30, 1))::VARCHAR AS c, sha256({DUCK_NORM.format('title')} || chr(10) || {DUCK_NORM.format('content')}) AS h FROM v_documents, k),
+step AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS id, false AS fresh, []::VARCHAR[] AS us, []::VARCHAR[] AS cs, []::VARCHAR[] AS hs
+  UNION ALL SELECT q.r, q.id, NOT (list_contains(us, u) OR list_contains(cs, c) OR list_contains(hs, h)),
+    CASE WHEN NOT (list_contains(us, u) OR list_contains(cs, c) OR list_contains(hs, h)) THEN list_append(us, u) ELSE us END,
+    CASE WHEN NOT (list_contains(us, u) OR list_contains(cs, c) OR list_contains(hs, h)) THEN list_append(cs, c) ELSE cs END,
+    CASE WHEN NOT (list_contains(us, u) OR list_contains(cs, c) OR list_contains(hs, h)) THEN list_append(hs, h) ELSE hs END
+  FROM step JOIN q ON q.r = step.r + 1)
+SELECT id AS ordinal, CASE WHEN fresh THEN 'inserted' ELSE 'skipped' END AS outcome FROM step WHERE r > 0""", "documents")
 def upsert_three_key(t: Tables) -> DataFrame:
     stored, skipped = upsert_documents(collided(t), None)
     return stored.select("ordinal", F.lit("inserted").alias("outcome")).unionAll(skipped.select("ordinal", F.lit("skipped").alias("outcome")))
