@@ -147,6 +147,11 @@ def has_text(image_text: Column) -> Column:
     return image_text != NO_TEXT
 
 
+def transcription(raw: Column) -> Column:
+    """A model's answer as it is stored: the sentinel whatever its case and the blanks and dots around it."""
+    return F.when(F.upper(F.regexp_replace(raw, r"^[ .\n\t]+|[ .\n\t]+$", "")) == NO_TEXT, F.lit(NO_TEXT)).otherwise(raw)
+
+
 def normalize_language(raw: Column) -> Column:
     """en, pt or es of a label, by the whole label or what stands before the first separator; en for any other."""
     key = F.lower(F.trim(raw))

@@ -5,6 +5,9 @@ Judgments: (document_id, axis, probabilities map<string,double>, choice, confide
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ TAG_GATE = 0.2
 WRITE_GATE = 0.5
 TOKEN_PRICE = 0.042
 REPORTER = "jev"
+JUDGMENTS = "document_id long, axis string, probabilities map<string,double>, choice string, confidence double, score double"
 
 
 def choice_tags(judgments: DataFrame, axis: str, tag_gate: float = TAG_GATE, write_gate: float = WRITE_GATE) -> DataFrame:
@@ -51,6 +55,11 @@ def read_off(judgments: DataFrame) -> DataFrame:
     return d.select("document_id", topics.alias("topics"), "score", "rationale", F.when(suppressed, "low-confidence").otherwise(F.col("cause")).alias("cause"))
 
 
+def judged(docs: DataFrame, scorer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Judgments by a scorer of one's own: it gets frames of (id, title, source, content) and yields rows of JUDGMENTS."""
+    return model_input(docs).mapInPandas(scorer, JUDGMENTS)
+
+
 def annotation_totals(rows: DataFrame) -> DataFrame:
     """Of (document_id, cause, tokens): annotated, skipped, tokens, cost."""
     return rows.agg(F.sum(F.col("cause").isNull().cast("long")).alias("annotated"), F.sum(F.col("cause").isNotNull().cast("long")).alias("skipped"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / 1e6 * TOKEN_PRICE).alias("cost"))

@@ -121,6 +121,12 @@ def upsert_newest(rows: DataFrame, docs: DataFrame, keys: tuple[str, ...], newes
     return ok, r.filter("document_id is null").withColumn("reject_reason", F.lit("unknown document"))
 
 
+def upsert_frame_texts(rows: DataFrame, docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """Frame texts (key, frame_index, image_text, created_at) by document and frame, newest first, stamped with the model."""
+    stamped = rows.withColumn("image_text", fn.transcription(F.col("image_text"))).withColumn("model", F.lit(model))
+    return upsert_newest(stamped, docs, ("document_id", "frame_index"), "created_at")
+
+
 def backfill_reads(docs: DataFrame, reads: DataFrame) -> DataFrame:
     """Rows of marks that only the old columns of documents hold."""
     d = docs.filter(F.trim(F.coalesce("read_by", F.lit(""))) != "").select(F.col("id").alias("document_id"), F.trim("read_by").alias("reader"), "read_at")

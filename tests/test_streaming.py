@@ -26,3 +26,26 @@ def test_topic_fold(spark, tmp_path):
     q = jobs.fold_topics(stream).writeStream.format("memory").queryName("fold").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert sorted((r.topic_slug, r.assigned) for r in spark.table("fold").collect()) == [("a", False), ("a", True), ("b", True)]
+
+
+def test_health_appends_closed_intervals(spark, tmp_path):
+    """A late row that the watermark has passed isn't counted, and an interval is given once."""
+    batches = [[("a", datetime(2024, 1, 1, 0, 5), 3, None), ("a", datetime(2024, 1, 1, 0, 50), 2, "x")], [("a", datetime(2024, 1, 1, 2, 30), 1, None)], [("a", datetime(2024, 1, 1, 0, 10), 9, None), ("a", datetime(2024, 1, 1, 5, 0), 1, None)]]
+    out = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, RUN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(RUN).parquet(str(tmp_path / "in"))
+        q = jobs.run_health(stream).writeStream.foreachBatch(lambda df, _: out.extend((r.runs, r.failed, r.inserted) for r in df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert out == [(2, 1, 5), (1, 0, 1)]
+
+
+def test_replays_and_latest(spark, tmp_path):
+    schema = "canonical_url string, retrieved_at timestamp, created_at timestamp, id int, v int"
+    at = [datetime(2024, 1, 1, 0, 0, s) for s in range(5)]
+    spark.createDataFrame([("u", at[0], at[0], 1, 1), ("u", at[3], at[3], 2, 2), ("w", at[1], at[1], 3, 3)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for name, df, mode in (("once", jobs.without_replays(read()), "append"), ("newest", jobs.latest_by(read(), "canonical_url", "created_at", "id", "v"), "complete")):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r.canonical_url for r in spark.table("once").collect()) == ["u", "w"]
+    assert sorted((r.canonical_url, r.v) for r in spark.table("newest").collect()) == [("u", 2), ("w", 3)]

@@ -1,8 +1,10 @@
 import random
 from datetime import datetime
 
+import pandas as pd
+
 from quillspark.operators import writes
-from quillspark.operators.judgments import read_off
+from quillspark.operators.judgments import judged, model_input, read_off
 from quillspark.operators.upsert import KEYS, guard_sources, upsert_documents
 
 T = [datetime(2024, 1, 1, h) for h in range(9)]
@@ -89,3 +91,41 @@ def test_read_off(spark):
     )
     got = {r.document_id: (r.topics, r.score, r.cause) for r in read_off(j).collect()}
     assert got == {1: (["luxury", "ai", "news"], 1.0, None), 2: ([], None, "low-confidence"), 3: ([], None, "unknown content type: odd")}
+
+
+def test_topics_refused(spark):
+    log = spark.createDataFrame([], "id int, document_id int, topic_slug string, assigned boolean, reporter string, created_at timestamp")
+    reqs = spark.createDataFrame([("https://a.com/1", ["ai", " "], "me", T[1], 1), ("https://a.com/1", ["ai"], "x" * 101, T[2], 2), ("https://a.com/1", None, "me", T[3], 3), ("https://a.com/1", ["AI"], " " + "x" * 100, T[4], 4)], "key string, tags array<string>, reporter string, request_ts timestamp, seq int")
+    ok, bad = writes.apply_topics(reqs, docs(spark), log)
+    assert sorted((r.seq, r.reject_reason) for r in bad.collect()) == [(1, "blank topic"), (2, "reporter too long"), (3, "blank topic")]
+    assert [(r.topic_slug, r.assigned) for r in ok.collect()] == [("ai", True)]
+
+
+def test_frame_texts_and_payloads(spark):
+    rows = [("https://a.com/1", 0, " no_text. ", T[1]), ("https://a.com/1", 1, "old", T[1]), ("https://a.com/1", 1, "No text here", T[2]), ("https://x.com/9", 0, "lost", T[1])]
+    ok, bad = writes.upsert_frame_texts(spark.createDataFrame(rows, "key string, frame_index int, image_text string, created_at timestamp"), docs(spark), "m2")
+    assert sorted((r.document_id, r.frame_index, r.image_text, r.model) for r in ok.collect()) == [(1, 0, "NO_TEXT", "m2"), (1, 1, "No text here", "m2")]
+    assert [r.reject_reason for r in bad.collect()] == ["unknown document"]
+    pay = spark.createDataFrame([("https://a.com/2", "a", T[1]), ("https://a.com/2", "b", T[2])], "key string, payload string, created_at timestamp")
+    assert [(r.document_id, r.payload) for r in writes.upsert_newest(pay, docs(spark), ("document_id",), "created_at")[0].collect()] == [(2, "b")]
+
+
+def test_seeding_clearing_and_backfill(spark):
+    seeded = writes.seed_sources(spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("a", "1")], "name string, id string")).collect()
+    assert [(r.name, len(r.id)) for r in seeded] == [("b", 36)]
+    picks = spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", 3)], "digest_date string, document_id int")
+    left, gone = writes.clear_picks(spark.createDataFrame([("d1",), ("d9",)], "digest_date string"), picks)
+    assert [r.document_id for r in left.collect()] == [3] and sorted(map(tuple, gone.collect())) == [("d1", 2), ("d9", 0)]
+    old = spark.createDataFrame([(1, " me ", T[1]), (2, " ", T[1]), (3, "you", T[2])], "id int, read_by string, read_at timestamp")
+    have = spark.createDataFrame([(3, "you", T[0])], "document_id int, reader string, read_at timestamp")
+    assert [(r.document_id, r.reader) for r in writes.backfill_reads(old, have).collect()] == [(1, "me")]
+
+
+def test_scorer(spark):
+    def scorer(frames):
+        for f in frames:
+            yield pd.DataFrame([(i, "pillar", {"ai": 0.9}, "ai", 0.8, None) for i in f["id"]], columns=["document_id", "axis", "probabilities", "choice", "confidence", "score"])
+
+    d = spark.createDataFrame([(1, "t", "s", "c" * 5_000)], "id long, title string, source string, content string")
+    assert [(r.document_id, r.topics) for r in read_off(judged(d, scorer)).collect()] == [(1, ["ai"])]
+    assert len(model_input(d).first().content) == 3_000
