@@ -27,7 +27,9 @@ def upsert_documents(new: DataFrame, stored: DataFrame | None, ordinal: str = "o
     Rows are decided in rounds. Of the undecided, those that come first for each of their keys are
     accepted, and those that share a key with an accepted row are skipped; a skipped row blocks none.
     Every round decides at least the first row of each connected group; chains are short, so rounds
-    are few. Each groups by one key at a time; a hot key's rows meet only as partial minima.
+    are few. A chain in which each row shares a key with the one before and with the one after takes a
+    round for every two rows: it comes out right, but late. Each round groups by one key at a time; a
+    hot key's rows meet only as partial minima.
     """
     left = new
     skipped: list[DataFrame] = []

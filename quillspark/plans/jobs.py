@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
 from quillspark.operators import writes
-from quillspark.operators.effective import resolve
+from quillspark.operators.effective import capped, resolve
 from quillspark.operators.judgments import REPORTER, annotation_totals, read_off
 from quillspark.operators.upsert import guard_sources, upsert_documents
 from quillspark.plans import queries as q
@@ -67,7 +67,8 @@ def ingest(landing: DataFrame, legs: DataFrame, sources: DataFrame, stored: Data
     items = items.join(modes.hint("merge"), "source", "left").withColumn("mode", F.coalesce("mode", F.lit("auto")))
     enriched, flags = keep_or_flag(items, legs)
     enriched = enriched.withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content")))
-    known, unknown = guard_sources(enriched, sources)
+    # the cap of a paywalled body is stored, so that no read of scores scans bodies for it
+    known, unknown = guard_sources(capped(enriched), sources)
     known = known.withColumn("ordinal", F.struct("source", "feed", "item"))
     inserted, skipped = upsert_documents(known.drop("mode", "cause"), stored)
     flags = flags.join(inserted.select(F.col("url").alias("key")).distinct().hint("merge"), "key", "left_semi")
