@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 KEYS = ("url", "canonical_url", "content_hash")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the cluster's shared folder; a local one only where the session names none (tests)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,20 +37,20 @@ def upsert_documents(new: DataFrame, stored: DataFrame | None, ordinal: str = "o
         known = reduce(lambda d, k: d.join(stored.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti"), keys, left)
         skipped.append(left.join(known.select(ordinal), ordinal, "left_anti").select(new.columns))
         left = known.select(new.columns)
-    left = _cut(left)
+    left = cut(left)
     accepted: list[DataFrame] = []
     while not left.isEmpty():
         marked = left
         for k in keys:
             first = left.groupBy(k).agg(F.min(ordinal).alias(f"_first_{k}"))
             marked = marked.join(first, k, "left")
-        marked = _cut(marked)
+        marked = cut(marked)
         leads = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_first_{k}") == F.col(ordinal), F.lit(True)) for k in keys])
-        won = _cut(marked.filter(leads).select(new.columns))
+        won = cut(marked.filter(leads).select(new.columns))
         accepted.append(won)
         rest = marked.filter(~leads).select(new.columns)
         free = reduce(lambda d, k: d.join(won.select(k).filter(F.col(k).isNotNull()), k, "left_anti"), keys, rest)
-        free = _cut(free.select(new.columns))
+        free = cut(free.select(new.columns))
         skipped.append(rest.join(free.select(ordinal), ordinal, "left_anti").select(new.columns))
         left = free
     empty = new.limit(0)

@@ -11,7 +11,7 @@ from quillspark.functions import text as fn
 from quillspark.operators import writes
 from quillspark.operators.effective import capped, resolve
 from quillspark.operators.judgments import REPORTER, annotation_totals, read_off
-from quillspark.operators.upsert import guard_sources, upsert_documents
+from quillspark.operators.upsert import cut, guard_sources, upsert_documents
 from quillspark.plans import queries as q
 from quillspark.sources.feeds import parse_feeds, post_frames
 from quillspark.sources.tables import Tables
@@ -65,8 +65,10 @@ def ingest(landing: DataFrame, legs: DataFrame, sources: DataFrame, stored: Data
     items, rejects = parse_feeds(landing)
     modes = policy.select(F.col("name").alias("source"), "mode") if policy is not None else sources.select(F.col("name").alias("source"), F.lit("auto").alias("mode"))
     items = items.join(modes.hint("merge"), "source", "left").withColumn("mode", F.coalesce("mode", F.lit("auto")))
-    enriched, flags = keep_or_flag(items, legs)
-    enriched = enriched.withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content")))
+    enriched, _ = keep_or_flag(items, legs)
+    # parsed and enriched once, whatever is made of it
+    enriched = cut(enriched.withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))))
+    flags = writes.flag_unrecoverable(enriched)
     # the cap of a paywalled body is stored, so that no read of scores scans bodies for it
     known, unknown = guard_sources(capped(enriched), sources)
     known = known.withColumn("ordinal", F.struct("source", "feed", "item"))

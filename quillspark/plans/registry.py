@@ -13,6 +13,7 @@ from quillspark.operators import writes
 from quillspark.operators.frontier import url_kept, within_budget
 from quillspark.operators.judgments import annotation_totals
 from quillspark.operators.upsert import quarantine, upsert_documents
+from quillspark.plans import jobs
 from quillspark.plans import queries as q
 from quillspark.sources import pages
 from quillspark.sources.feeds import choose_feed, diagnose_feeds, parse_feeds, plan_frames
@@ -521,5 +522,31 @@ def urls_kept(t: Tables) -> DataFrame:
     return t.documents.select("id", url_kept(F.col("url"), F.lit("/articles/"), F.array(F.lit("/articles/1"), F.lit("^/articles/22$"))).alias("kept"))
 
 
+@registered(_FEED_ROWS + f""", g AS (SELECT e.*, c.source, length(content) < 500 AS thin FROM e JOIN (SELECT 'https://feeds.example/' || (doc_id // 20)::VARCHAR AS feed, min(source) AS source FROM documents GROUP BY 1) c ON c.feed = e.feed)
+SELECT s.source AS source_name, count(g.doc_id) FILTER (NOT no_title AND NOT no_link)::INT AS inserted, 0::INT AS skipped, count(g.doc_id) FILTER (no_title OR no_link)::INT AS parse_skipped, 'empty feed: blocked' AS error,
+       (3 + count(g.doc_id) FILTER (no_title OR no_link OR thin))::INT AS reasons
+  FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN g ON g.source = s.source GROUP BY s.source""")
+def ingest_runs(t: Tables) -> DataFrame:
+    """The run log of an ingest of all feeds, without any enrichment leg."""
+    none = t.spark.createDataFrame([], "url string, primary string, reader string, scrape string")
+    done = jobs.ingest(feed_landing(t), none, t.sources, None)
+    return done.runs.select("source_name", "inserted", "skipped", "parse_skipped", "error", F.size("skipped_reasons").alias("reasons"))
+
+
+@registered("""WITH req AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS digest_date, event_id % (SELECT count(*) FROM v_documents) AS document_id FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0),
+dates AS (SELECT DISTINCT digest_date FROM req)
+SELECT coalesce(r.digest_date, p.digest_date)::VARCHAR AS digest_date, coalesce(r.document_id, p.document_id) AS document_id, CASE WHEN p.document_id IS NULL THEN 'added' WHEN r.document_id IS NULL THEN 'removed' ELSE 'kept' END AS change,
+       CASE WHEN r.document_id IS NOT NULL THEN 'editor' ELSE p.reporter END AS reporter
+  FROM req r FULL OUTER JOIN (SELECT * FROM v_picks WHERE digest_date IN (SELECT digest_date FROM dates)) p ON p.digest_date = r.digest_date AND p.document_id = r.document_id""", "documents", "picks")
+def picks_recorded(t: Tables) -> DataFrame:
+    """For each week the documents of some purchases as the editor's picks, against those that stand."""
+    n = t.documents.count()
+    e = t.raw("events").filter("event_type = 'purchase' and event_id % 40 = 0").select(F.date_trunc("week", "ts").cast("date").alias("digest_date"), (F.col("event_id") % n).alias("id")).distinct()
+    keys = e.join(t.documents.select("id", "url"), "id").groupBy("digest_date").agg(F.collect_list("url").alias("keys"))
+    reqs = keys.withColumn("reporter", F.lit("editor")).withColumn("request_ts", F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    done, _ = writes.record_picks(reqs, t.picks, t.documents)
+    return done.select(F.col("digest_date").cast("string").alias("digest_date"), "document_id", "change", "reporter")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["period_bundle"](spark, sf_dir)
