@@ -25,9 +25,6 @@ from quillspark.llm.store import fixed, fresh, table
 MIN_CHARS = 40
 LINE_FEEDS = r"(?<=\n)"
 CUT = r"(?<=\n)|(?<=[.,;?] )"
-#: Documents with covered lines, and covered lines, up to which they are broadcast, some 30 MB; beyond, a shuffled join.
-BROADCAST_DOCUMENTS = 200_000
-BROADCAST_LINES = 2_000_000
 
 
 def window_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int, cut: str = CUT) -> DataFrame:
@@ -62,10 +59,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text deduplicated, and the columns n_lines and n_removed (with leading underscores where docs has such names)."""
     gone, gid, key, n_lines, n_removed = fresh(docs.columns, "_gone", "_gid", "_gk", "n_lines", "n_removed")
     found = table(covered(docs, id_col, text_col, min_chars, cut), "lines-gone").select(F.col("_id").alias(gid), F.col("_k").alias(key), F.col("_gone").alias(gone))
-    size = found.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
-    small = size[0] <= BROADCAST_DOCUMENTS and size[1] <= BROADCAST_LINES
     on = F.col(id_col).eqNullSafe(F.col(gid)) & (F.xxhash64(F.col(text_col)) == F.col(key))
-    out = docs.join(F.broadcast(found) if small else found.hint("merge"), on, "left")
+    # what is covered grows with the corpus, so it is never broadcast
+    out = docs.join(found.hint("merge"), on, "left")
     lines = F.split(text_col, cut)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "")
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
