@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import brown, decontaminate, lines, mixing, neardup, quality, rules, secrets, tokens, toxicity
+from quillspark.llm import brown, decontaminate, lines, mixing, neardup, packing, quality, rules, secrets, tokens, toxicity
 from quillspark.llm.labelled import remainder
 
 
@@ -71,6 +71,16 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n["assign"], n["access"], n["hex"], F.sha2(secrets.joined(F.col("spans"), 2), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op13_order_packing(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(model_path, encoding="utf-8") as f:  # a file of the driver's installation, not of the tables
+        pieces = packing.pack(read(spark, sf_dir, "documents"), f.read())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +94,7 @@ QUERIES = {
         op8_latent_decontamination,
         op9_brown_model,
         op10_markov_secrets,
+        op13_order_packing,
     )
 }
 ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL, "op5_divergence_rules": rules.ORACLE_SQL, "op7_line_windows": lines.ORACLE_SQL, "op10_markov_secrets": secrets.ORACLE_SQL}
