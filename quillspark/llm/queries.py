@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import brown, decontaminate, lines, mixing, neardup, packing, quality, rules, secrets, tokens, toxicity, whitening
+from quillspark.llm import brown, decontaminate, lines, mixing, neardup, packing, prefixes, quality, rules, secrets, tokens, toxicity, whitening
 from quillspark.llm.labelled import remainder
 
 
@@ -71,6 +71,10 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n["assign"], n["access"], n["hex"], F.sha2(secrets.joined(F.col("spans"), 2), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -98,6 +102,7 @@ QUERIES = {
         op8_latent_decontamination,
         op9_brown_model,
         op10_markov_secrets,
+        op11_prefix_trie,
         op12_qdwh_whitening,
         op13_order_packing,
     )
