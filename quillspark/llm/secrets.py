@@ -7,8 +7,9 @@ first-order Markov chain of random strings explains better than one of ordinary
 
 Transitions between single characters are counted over the whole corpus: values that the base kinds
 matched, of 16 characters or more with a digit and a letter, are random strings; all runs of the texts
-that hold no such value are ordinary: words, names, paths, numbers; those that a first count of both
-calls random are left out of the second. Three sixteenths of the different strings of both, by a hash, are held out; the threshold of
+that hold no such value of their own text are ordinary: words, names, paths, numbers; those that a first
+count of both calls random are left out of the second. What is judged doesn't depend on that: any run that
+overlaps no base span, a bare repeat of a secret too. Three sixteenths of the different strings of both, by a hash, are held out; the threshold of
 the ratio is the logarithm of how many ordinary strings there are for a random one, or what FALSE_ALARMS
 of the held-out ordinary strings pass at most, if that is more, but so that no more than MISSED of the
 held-out random ones are lost.
@@ -45,6 +46,8 @@ RANDOM_LENGTH = 16
 FALSE_ALARMS, MISSED, GRID, MOST_BINS = 1e-3, 0.01, 0.25, 20_000
 #: First digits of the MD5 of the strings that are held out.
 HELD = ("0", "1", "2")
+#: Different random strings, and texts that hold one, up to which they are broadcast: some 10 MB.
+ODD_STRINGS, ODD_TEXTS = 100_000, 50_000
 #: Matches of a text whose lengths are summed together.
 BLOCK = 128
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -84,14 +87,12 @@ def _with_spans(d: DataFrame, name: str, pattern: str, kind: int, group: int = 0
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _text, _base, _runs): base spans in order, and the strings of the runs that hold no base value."""
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    """(_row, _id, _text, _base, _runs): base spans in order, and the strings of all runs. To be written once: _row numbers the rows."""
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     for name, args in (("_assign", (ASSIGN, 0, 2, 6)), ("_access", (ACCESS_LONG, 1)), ("_hex", (HEX_LONG, 2))):
         d = _with_spans(d, name, *args)
     d = fixed(d, "_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    runs = F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
-    runs = F.when(F.size("_base") == 0, runs).otherwise(F.filter(runs, lambda r: ~F.exists("_base", lambda b: F.contains(r, b["value"]))))
-    return d.select("_id", "_text", "_base", runs.alias("_runs"))
+    return d.select("_row", "_id", "_text", "_base", F.regexp_extract_all("_text", F.lit(RUN), F.lit(0)).alias("_runs"))
 
 
 def _codes(value: Column) -> Column:
@@ -110,7 +111,9 @@ def samples(scan_of: DataFrame) -> DataFrame:
     """(v, m, times, held): the different strings that the chains learn from; m: 0 random, 1 ordinary; some are held out."""
     values = scan_of.select(F.explode("_base").alias("s")).select(F.col("s.value").alias("v")).filter(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]") & (F.length("v") >= RANDOM_LENGTH))
     values = values.select(F.translate("v", ".", "").alias("v"), F.lit(0).alias("m"))
-    both = values.unionAll(scan_of.select(F.explode("_runs").alias("v"), F.lit(1).alias("m")))
+    apart = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: F.contains(r, b["value"])))
+    plain = F.when(F.size("_base") == 0, F.col("_runs")).otherwise(apart)
+    both = values.unionAll(scan_of.select(F.explode(plain).alias("v"), F.lit(1).alias("m")))
     return both.groupBy("v", "m").agg(F.count("*").alias("times")).withColumn("held", F.substring(F.md5("v"), 1, 1).isin(*HELD))
 
 
@@ -175,20 +178,36 @@ def ratio_of(value: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): array<struct<start, kind, end, value, ratio>> by start, then kind; ratio for markov only."""
     d = table(scanned(docs, id_col, text_col), "secret-spans")
-    m = models(table(samples(d), "secret-samples"))
+    strings = table(samples(d), "secret-samples")
+    m = models(strings)
     none = F.lit(None).cast("double")
 
     def with_ratio(s, ratio):
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), ratio.alias("ratio"))
 
     spans = F.transform("_base", lambda s: with_ratio(s, none))
-    if m is not None:
-        # places are worked out for the texts that have a run to report
-        d = _with_spans(d, "_run", RUN, 3, where=F.exists("_runs", lambda r: ratio_of(r, m.ratios) > m.threshold))
-        apart = F.filter("_run", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-        judged = F.transform(apart, lambda r: with_ratio(r, ratio_of(r["value"], m.ratios)))
-        spans = F.concat(spans, F.filter(judged, lambda s: s["ratio"] > m.threshold))
-    return d.select(F.col("_id").alias(id_col), F.array_sort(spans).alias("spans"))
+    if m is None:
+        return d.select(F.col("_id").alias(id_col), F.array_sort(spans).alias("spans"))
+    # a text without base spans: each different run is judged once, and the texts that hold one are found by it
+    odd = strings.filter("m = 1").select("v", ratio_of(F.col("v"), m.ratios).alias("ratio")).filter(F.col("ratio") > m.threshold)
+    odd = _bounded(table(odd, "secret-odd"), ODD_STRINGS)
+    hits = d.filter(F.size("_base") == 0).select("_row", F.explode("_runs").alias("v")).join(odd, "v")
+    hits = _bounded(table(hits.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("v", "ratio"))).alias("_odd")), "secret-hits"), ODD_TEXTS)
+    clean = d.filter(F.size("_base") == 0).join(hits, "_row", "left")
+    clean = _with_spans(clean, "_run", RUN, 3, where=F.col("_odd").isNotNull())
+    found = F.filter(F.transform("_run", lambda r: with_ratio(r, F.try_element_at("_odd", r["value"]))), lambda s: s["ratio"].isNotNull())
+    clean = clean.select("_id", F.array_sort(found).alias("spans"))
+    # one with base spans: its runs are judged where they lie apart from these
+    held = _with_spans(d.filter(F.size("_base") > 0), "_run", RUN, 3)
+    apart = F.filter("_run", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    judged = F.filter(F.transform(apart, lambda r: with_ratio(r, ratio_of(r["value"], m.ratios))), lambda s: s["ratio"] > m.threshold)
+    held = held.select("_id", F.array_sort(F.concat(spans, judged)).alias("spans"))
+    return clean.unionAll(held).withColumnRenamed("_id", id_col)
+
+
+def _bounded(one: DataFrame, most: int) -> DataFrame:
+    """A written table with the hint for its join: broadcast if it has at most so many rows, else by a shuffle."""
+    return one.hint("broadcast" if one.limit(most + 1).count() <= most else "merge")
 
 
 def joined(spans: Column, most_kind: int = 3) -> Column:

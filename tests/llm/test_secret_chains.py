@@ -6,7 +6,12 @@ import math
 import random
 import re
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from quillspark.llm import secrets
+from quillspark.llm.store import table
 from tests.llm.cases import text
 
 
@@ -47,7 +52,7 @@ def test_against_a_plain_version(spark):
     rows += [(i, f"{text(i, 15)} {v} {text(i + 1, 15)}") for i, v in planted.items()]
     base, random_, ordinary, run = plain_scan(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    scanned = secrets.scanned(d)
+    scanned = table(secrets.scanned(d), "secrets")
     strings = secrets.samples(scanned).collect()
     assert {(r.v, r.times) for r in strings if r.m == 0} == set(random_.items())
     assert {(r.v, r.times) for r in strings if r.m == 1} == set(ordinary.items())
@@ -88,3 +93,34 @@ def test_places_of_many_matches(spark):
     (r,) = secrets.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
     want = [(m.start(), m.end()) for m in re.finditer(r"secret=[A-Za-z0-9+/_.=-]{6,}", t)]
     assert [(s.start, s.end) for s in r.spans] == want
+
+
+def repeats(n=300):
+    """Texts that repeat a secret bare, after or before its assignment, among ordinary ones."""
+    rng = random.Random(21)
+    noise = lambda k: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(k))
+    rows = [(i, f"{text(i, 30)} account_manager_service user-profile-settings {text(i + 1, 9)}") for i in range(n)]
+    rows += [(1000 + i, f"{text(i, 9)} secret={noise(32)} {text(i, 9)}") for i in range(60)]
+    values = {2000 + i: noise(27) for i in range(9)}
+    rows += [(i, (f"token={v} and later plain {v} again" if i % 2 == 0 else f"plain {v} before token={v}") + f" {text(i, 5)}") for i, v in values.items()]
+    return rows, values
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_bare_repeats_of_a_secret_are_found(spark, monkeypatch, limit):
+    """By place, and the same as DuckDB says; whether strings and texts are broadcast or not."""
+    monkeypatch.setattr(secrets, "ODD_STRINGS", limit)
+    monkeypatch.setattr(secrets, "ODD_TEXTS", limit)
+    rows, values = repeats()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df).select("doc_id", secrets.joined(F.col("spans")).alias("spans")).collect()}
+    con = duckdb.connect()
+    documents = df.toPandas()
+    con.register("documents", documents)
+    assert {r[0]: r[-1] for r in con.sql(f"SELECT doc_id, spans FROM ({secrets.ORACLE_SQL})").fetchall()} == {i: r.spans for i, r in got.items()}
+    for i, t in rows:
+        if i in values:
+            places = {m.start() for m in re.finditer(re.escape(values[i]), t)}
+            spans = [x.split(":") for x in got[i].spans.split(",")]
+            covered = {p for p in places if any(int(a) <= p < int(b) for _, a, b in spans)}
+            assert covered == places, (t, got[i].spans)
