@@ -9,8 +9,11 @@ from quillspark.llm import brown, decontaminate, lines, mixing, neardup, packing
 from quillspark.llm.labelled import remainder
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """The whole table; one that is read by fewer tasks than there are cores is dealt over all of them if `spread`."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def op13_order_packing(spark: SparkSession, sf_dir: str, model_path: str | None
 
         model_path = public_tokenizers.path("byte_bpe_50k.json")
     with open(model_path, encoding="utf-8") as f:  # a file of the driver's installation, not of the tables
-        pieces = packing.pack(read(spark, sf_dir, "documents"), f.read())
+        pieces = packing.pack(read(spark, sf_dir, "documents", spread=False), f.read())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -60,10 +60,10 @@ def _with_spans(d: DataFrame, name: str, pattern: str, kind: int, group: int = 0
     Matches and what lies between them, taken in turn, make up the text: lengths summed give places.
     They are summed by blocks, and within a block, so the work follows the number of matches.
     """
-    t = F.col("_text")
-    hit = t.rlike(pattern) if where is None else where
+    t, own = F.col("_text"), d.columns
+    d = fixed(d, "_hit", t.rlike(pattern) if where is None else where)  # most texts have no match, and aren't searched again
+    hit = F.col("_hit")
     found = lambda g: F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(g)))
-    own = d.columns
     d = fixed(fixed(d, "_whole", found(0)), "_value", found(group) if group else F.lit(None).cast("array<string>"))
     d = fixed(d, "_gap", F.when(hit, F.transform(F.split(t, pattern, -1), F.length)))
     d = fixed(d, "_len", F.zip_with("_gap", "_whole", lambda g, w: g + F.coalesce(F.length(w), F.lit(0))))
