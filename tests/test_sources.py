@@ -138,3 +138,26 @@ def test_markers(spark):
     assert one(markers.clean_family_markdown(F.col("x")), md) == "[Read x](z)\n\nBody link text"
     assert one(markers.clean_family_markdown(F.col("x")), "a\n\nread more of it\n\nb") == "a\n\nread more of it\n\nb"
     assert one(markers.clean_family_markdown(F.col("x")), "Recommended\n\nb") == ""
+
+
+def test_flat_markdown(spark):
+    """Links as labels and images out, whatever brackets, titles and images they hold."""
+    rows = [
+        ("[a [b] c](https://x/y_(z)) end", "a [b] c end"),
+        ('[a](https://x "a title (of it)") b', "a b"),
+        ("[![alt](u 'v')](https://x)c", "c"),
+        ("[see ![p [q]](u_(1)) it](z)", "see  it"),
+        ("[a](<https://x/with space>)", "a"),
+        ("not [a] (b) nor ![c] d [e](f", "not [a] (b) nor ![c] d [e](f"),
+        ("[ref][1] and [](u)!", "[ref][1] and !"),
+        ("[" * 3000 + "x", "[" * 3000 + "x"),
+        (None, ""),
+    ]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "md string")
+    assert [r[0] for r in df.select(markers.flat_markdown(F.col("md"))).collect()] == [b for _, b in rows]
+
+
+def test_family_hosts(spark):
+    urls = [("https://www.NationalJeweler.com/a", True), ("https://nationaljeweler.com", True), ("https://notnationaljeweler.com/a", False), ("https://x.com/nationaljeweler.com", False), (None, False)]
+    df = spark.createDataFrame([(u,) for u, _ in urls], "u string")
+    assert [r[0] for r in df.select(markers.of_family(F.col("u"))).collect()] == [b for _, b in urls]
