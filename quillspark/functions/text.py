@@ -124,7 +124,7 @@ def snippet(content: Column, title: Column, keyword: str, radius: int = SNIPPET_
     return F.when(at > 0, cut).otherwise(head)
 
 
-def is_thin(c: Column, threshold: int = THIN) -> Column:
+def is_thin(c: Column, threshold: int | Column = THIN) -> Column:
     return F.length(normalize_text(F.coalesce(c, F.lit("")))) < threshold
 
 

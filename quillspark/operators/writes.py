@@ -138,30 +138,33 @@ def seed_sources(catalog: DataFrame, sources: DataFrame) -> DataFrame:
     return catalog.join(sources, "name", "left_anti").withColumn("id", fn.source_uuid(F.col("name")))
 
 
-def flag_unrecoverable(enriched: DataFrame) -> DataFrame:
+def flag_unrecoverable(enriched: DataFrame, threshold: int | Column = fn.THIN) -> DataFrame:
     """Flags for documents whose enrichment failed and whose kept body is thin."""
-    return enriched.filter(F.col("cause").isNotNull() & fn.is_thin(F.col("content"))).select(F.col("url").alias("key"), F.lit("unrecoverable").alias("reason"), fn.cause_text(F.col("cause"), 2000).alias("detail"))
+    return enriched.filter(F.col("cause").isNotNull() & fn.is_thin(F.col("content"), threshold)).select(F.col("url").alias("key"), F.lit("unrecoverable").alias("reason"), fn.cause_text(F.col("cause"), 2000).alias("detail"))
 
 
-def choose_leg(docs: DataFrame, legs: DataFrame, threshold: int = fn.THIN) -> DataFrame:
-    """docs (url, content, mode) with the body of the first leg that serves (url, primary, reader, scrape), and the cause where none does.
+def choose_leg(docs: DataFrame, legs: DataFrame, threshold: int | Column = fn.THIN, family: tuple[str, ...] = markers.FAMILY_HOSTS) -> DataFrame:
+    """docs (url, content, mode) with the body of the first leg that serves (url, primary, reader, scrape), its name as `leg`, and the cause where none does.
 
     A body that isn't thin stays unless forced. The primary leg's text is taken even if thin, but not an
     application shell; a later leg's only if it isn't thin. legs may have the failures as primary_error,
     reader_error and scrape_error: after a failure of the primary that another way of fetching can't
-    mend, the later legs don't count. A document that no leg serves keeps its body.
+    mend, the later legs don't count. A document that no leg serves keeps its body. threshold: of all
+    documents, or a column of docs. The primary text of the family's hosts is cleaned of its chrome.
     """
-    d = docs.join(legs, "url", "left")
+    d = docs.join(legs.hint("merge"), "url", "left")
+    d = d.withColumn("primary", F.when(markers.of_family(F.col("url"), family), markers.clean_family_markdown(F.col("primary"))).otherwise(F.col("primary")))
     skip = (F.col("mode") != "force_on") & (~fn.is_thin(F.col("content"), threshold) | (F.col("mode") == "force_off"))
     names = ("primary", "reader", "scrape")
     error = {c: F.nullif(F.trim(F.coalesce(F.col(f"{c}_error"), F.lit(""))), F.lit("")) if f"{c}_error" in legs.columns else F.lit(None).cast("string") for c in names}
     empty = {c: fn.normalize_text(F.coalesce(c, F.lit(""))) == "" for c in names}
     shell = F.coalesce(markers.is_js_shell(F.col("primary"), threshold), F.lit(False))
     final = empty["primary"] & error["primary"].isNotNull() & ~markers.is_primary_miss(error["primary"])
-    later = [F.when(~final & ~fn.is_thin(F.col(c), threshold), F.col(c)) for c in names[1:]]
-    body = F.coalesce(F.when(~empty["primary"] & ~shell, F.col("primary")), *later)
+    serves = {"primary": ~empty["primary"] & ~shell} | {c: ~final & ~fn.is_thin(F.col(c), threshold) for c in names[1:]}
+    leg = F.when(~skip, F.coalesce(*[F.when(serves[c], F.lit(c)) for c in names]))
+    body = F.coalesce(*[F.when(leg == c, F.col(c)) for c in names])
     own = {c: F.when(empty[c], F.coalesce(error[c], F.lit("empty"))).otherwise(F.lit("thin")) for c in names[1:]}
     first = F.when(empty["primary"], F.coalesce(error["primary"], F.lit("empty"))).otherwise(F.lit("JS shell"))
     causes = [F.concat(F.lit("primary: "), first), *(F.concat(F.lit(f"{c}: "), F.when(final, F.lit("not tried")).otherwise(own[c])) for c in names[1:])]
     cause = F.when(~skip & body.isNull(), F.substring(F.concat_ws("; ", *causes), 1, 1024))
-    return d.select(*[c for c in docs.columns if c != "content"], F.when(skip, F.col("content")).otherwise(F.coalesce(body, "content")).alias("content"), cause.alias("cause"))
+    return d.select(*[c for c in docs.columns if c != "content"], F.coalesce(body, "content").alias("content"), leg.alias("leg"), cause.alias("cause"))

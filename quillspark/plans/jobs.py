@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
+from quillspark.functions.rows import written
 from quillspark.operators import writes
 from quillspark.operators.effective import capped, resolve
 from quillspark.operators.judgments import REPORTER, annotation_totals, read_off
-from quillspark.operators.upsert import cut, guard_sources, upsert_documents
+from quillspark.operators.upsert import guard_sources, upsert_documents
 from quillspark.plans import queries as q
-from quillspark.sources.feeds import parse_feeds, post_frames
+from quillspark.sources.feeds import choose_feed, map_posts, parse_feeds, post_frames
+from quillspark.sources.pages import extract_articles
 from quillspark.sources.tables import Tables
 
 
@@ -24,25 +26,30 @@ def merge_causes(*arrays: Column) -> Column:
     return F.when(F.size(every) > 0, every)
 
 
-def record_runs(sources: DataFrame, inserted: DataFrame, skipped: DataFrame, parse_rejects: DataFrame, causes: DataFrame, started_at: Column, finished_at: Column) -> DataFrame:
+def record_runs(sources: DataFrame, inserted: DataFrame, skipped: DataFrame, parse_rejects: DataFrame, causes: DataFrame, started_at: Column, finished_at: Column, errors: DataFrame | None = None, discovery: DataFrame | None = None) -> DataFrame:
     """Rows of the run log, one for each name of `sources` (source_name): counters and skip reasons.
 
-    inserted, skipped and parse_rejects have a source each; parse_rejects and causes (source, cause) tell why.
+    inserted, skipped and parse_rejects have a source each; parse_rejects, discovery and causes (source,
+    cause) tell why, in this order; errors: (source, error) of sources that gave nothing, whose other
+    columns stay empty.
     """
-    count = lambda d, name: d.groupBy(F.col("source").alias("source_name")).agg(F.count("*").cast("int").alias(name))
-    why = lambda d, name: d.groupBy(F.col("source").alias("source_name")).agg(F.sort_array(F.collect_list("cause")).alias(name))
+    by = F.col("source").alias("source_name")
+    count = lambda d, name: d.groupBy(by).agg(F.count("*").cast("int").alias(name))
+    why = lambda d, name: d.groupBy(by).agg(F.sort_array(F.collect_list("cause")).alias(name))
     d = sources.select("source_name")
-    for part in (count(inserted, "inserted"), count(skipped, "skipped"), count(parse_rejects.filter("item is not null"), "parse_skipped"), why(parse_rejects, "_parse"), why(causes, "_enrich")):
-        d = d.join(part, "source_name", "left")
-    empty = parse_rejects.filter("item is null").groupBy(F.col("source").alias("source_name")).agg(F.min("cause").alias("error"))
-    d = d.join(empty, "source_name", "left").fillna(0, ["inserted", "skipped", "parse_skipped"])
-    return d.select("source_name", started_at.alias("started_at"), finished_at.alias("finished_at"), "inserted", "skipped", "parse_skipped", "error", merge_causes(F.col("_parse"), F.col("_enrich")).alias("skipped_reasons"))
+    none = parse_rejects.sparkSession.createDataFrame([], "source string, cause string, error string")
+    parts = (count(inserted, "inserted"), count(skipped, "skipped"), count(parse_rejects, "parse_skipped"), why(parse_rejects, "_parse"), why(none if discovery is None else discovery, "_discovery"), why(causes, "_enrich"), (none if errors is None else errors).filter("error is not null").groupBy(by).agg(F.min("error").alias("error")))
+    for part in parts:
+        d = d.join(part.hint("merge"), "source_name", "left")
+    reasons = merge_causes(F.col("_parse"), F.col("_discovery"), F.col("_enrich"))
+    counts = [F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("inserted", "skipped", "parse_skipped")]
+    return d.select("source_name", started_at.alias("started_at"), finished_at.alias("finished_at"), *counts, "error", F.when(F.col("error").isNull(), reasons).alias("skipped_reasons"))
 
 
-def keep_or_flag(docs: DataFrame, legs: DataFrame, threshold: int = fn.THIN) -> tuple[DataFrame, DataFrame]:
+def keep_or_flag(docs: DataFrame, legs: DataFrame, threshold: int | Column = fn.THIN) -> tuple[DataFrame, DataFrame]:
     """(docs, flags): each document with the body of the leg that serves, or its own and the cause; a flag where that one is thin."""
     enriched = writes.choose_leg(docs, legs, threshold)
-    return enriched, writes.flag_unrecoverable(enriched)
+    return enriched, writes.flag_unrecoverable(enriched, threshold)
 
 
 @dataclass
@@ -53,31 +60,102 @@ class Ingested:
     unknown_sources: DataFrame
     flags: DataFrame
     runs: DataFrame
+    payloads: DataFrame
 
 
-def ingest(landing: DataFrame, legs: DataFrame, sources: DataFrame, stored: DataFrame | None, policy: DataFrame | None = None, started_at: Column | None = None, finished_at: Column | None = None) -> Ingested:
-    """Landed feeds to stored documents: parse, enrich, guard, upsert, flags, run log.
+_DOC = ("source", "lane", "place", "feed", "retrieved_at", "item", "url", "canonical_url", "title", "author", "published_at", "content", "content_hash")
 
-    landing: (source, url, body, retrieved_at); legs: as choose_leg takes them; sources: (name, ...);
-    stored: documents so far; policy: rows of enrichment_policy, (name, mode), auto where absent. Items
-    keep the order of source, feed and place, so the first of equal ones wins.
+
+def _lane(docs: DataFrame, lane: str) -> DataFrame:
+    """docs of one lane in the columns that all lanes share; place, feed and item are their order."""
+    blank = {"place": F.lit(0), "feed": F.col("url"), "item": F.lit(0), "author": F.lit(None).cast("string")}
+    d = docs.withColumns({c: v for c, v in blank.items() if c not in docs.columns} | {"lane": F.lit(lane)})
+    return d.select("source", "lane", F.col("place").cast("long").alias("place"), "feed", F.col("retrieved_at").cast("timestamp").alias("retrieved_at"), F.col("item").cast("long").alias("item"), *_DOC[6:10], F.col("published_at").cast("timestamp").alias("published_at"), *_DOC[11:])
+
+
+def chosen_feeds(landing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, rejects, failed) of each source's first feed that has entries; rejects also has what was wrong with other feeds (item null).
+
+    landing: (source, url, body, retrieved_at[, ordinal]). The feeds of a source are its candidates, in
+    the order of ordinal, else of their addresses; a later one counts only if all before it have no
+    entry or can't be parsed. failed: (source, error) of sources without any such feed, the last
+    candidate's. A feed that was landed several times is one candidate.
+    """
+    items, rejects = (written(d, "ingest-parsed") for d in parse_feeds(landing))
+    place = F.col("ordinal").cast("long") if "ordinal" in landing.columns else F.lit(0).cast("long")
+    listed = landing.groupBy("source", "url").agg(F.min(place).alias("place"))
+    full = items.select("source", F.col("feed").alias("url")).unionAll(rejects.filter("item is not null").select("source", "url")).distinct().withColumn("entries", F.lit(1))
+    wrong = rejects.filter("item is null").groupBy("source", "url").agg(F.max("cause").alias("error"))
+    d = listed.join(full.hint("merge"), ["source", "url"], "left").join(wrong.hint("merge"), ["source", "url"], "left")
+    d = written(d.withColumn("entries", F.coalesce("entries", F.lit(0))), "ingest-candidates")
+    picked = written(choose_feed(d.withColumn("ordinal", F.struct("place", "url"))), "ingest-feeds")
+    own = picked.filter("url is not null").join(d.select("source", "url", "place").hint("merge"), ["source", "url"])
+    items = items.join(own.withColumnRenamed("url", "feed").hint("merge"), ["source", "feed"])
+    skipped = rejects.filter("item is not null").join(own.select("source", "url").hint("merge"), ["source", "url"], "left_semi")
+    rejects = skipped.select(rejects.columns).unionAll(rejects.filter("item is null"))
+    return items, rejects, picked.filter("url is null").select("source", "error")
+
+
+def ingest(
+    landing: DataFrame,
+    legs: DataFrame,
+    sources: DataFrame,
+    stored: DataFrame | None,
+    policy: DataFrame | None = None,
+    started_at: Column | None = None,
+    finished_at: Column | None = None,
+    posts: DataFrame | None = None,
+    pages: DataFrame | None = None,
+    discovery: DataFrame | None = None,
+) -> Ingested:
+    """What was landed to stored documents: parse, enrich, guard, upsert, payloads, flags, run log.
+
+    landing: feeds as chosen_feeds takes them; posts: (source, payload, retrieved_at); pages: as
+    extract_articles takes them, with source; discovery: (source, cause) of what planning them skipped.
+    legs: as choose_leg takes them, with scrape_payload, if any; sources: (name, ...); stored: documents so
+    far; policy: rows of enrichment_policy, (name, mode, threshold), auto and 500 where absent.
+
+    Feeds and pages are enriched; the caption of a post is final. Documents keep the order of source,
+    lane, candidate, time of landing and place, so the first of equal ones wins. payloads: (url, payload,
+    retrieved_at), the newest of each stored address: posts, and what the scrape leg gave where it served.
     """
-    items, rejects = parse_feeds(landing)
-    modes = policy.select(F.col("name").alias("source"), "mode") if policy is not None else sources.select(F.col("name").alias("source"), F.lit("auto").alias("mode"))
-    items = items.join(modes.hint("merge"), "source", "left").withColumn("mode", F.coalesce("mode", F.lit("auto")))
-    enriched, _ = keep_or_flag(items, legs)
+    items, rejects, failed = chosen_feeds(landing)
+    docs, unread = _lane(items, "feed"), rejects.select("source", "url", "cause").limit(0)
+    if pages is not None:
+        good, bad = extract_articles(pages)
+        docs, unread = docs.unionByName(_lane(good, "page")), bad.select("source", "url", "cause")
+    modes = policy.select(F.col("name").alias("source"), "mode", "threshold" if "threshold" in policy.columns else F.lit(fn.THIN).alias("threshold")) if policy is not None else sources.select(F.col("name").alias("source"), F.lit("auto").alias("mode"), F.lit(fn.THIN).alias("threshold"))
+    docs = docs.join(modes.hint("merge"), "source", "left").withColumn("mode", F.coalesce("mode", F.lit("auto"))).withColumn("threshold", F.coalesce("threshold", F.lit(fn.THIN)))
+    enriched = writes.choose_leg(docs, legs, F.col("threshold"))
     # parsed and enriched once, whatever is made of it
-    enriched = cut(enriched.withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))))
-    flags = writes.flag_unrecoverable(enriched)
+    enriched = written(enriched.withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))), "ingest-enriched")
+    flags = writes.flag_unrecoverable(enriched, F.col("threshold"))
+    every, payloads = enriched.select(*_DOC), enriched.select("url", F.lit(None).cast("string").alias("payload"), "retrieved_at").limit(0)
+    if "scrape_payload" in legs.columns:
+        got = legs.filter("scrape_payload is not null").select("url", F.col("scrape_payload").alias("payload"))
+        payloads = enriched.filter("leg = 'scrape'").select("url", "retrieved_at").join(got.hint("merge"), "url").select("url", "payload", "retrieved_at")
+    if posts is not None:
+        every = every.unionByName(_lane(map_posts(posts), "post"))
+        payloads = payloads.unionByName(map_posts(posts, keep_payload=True).select("url", "payload", F.col("retrieved_at").cast("timestamp").alias("retrieved_at")))
     # the cap of a paywalled body is stored, so that no read of scores scans bodies for it
-    known, unknown = guard_sources(capped(enriched), sources)
-    known = known.withColumn("ordinal", F.struct("source", "feed", "item"))
-    inserted, skipped = upsert_documents(known.drop("mode", "cause"), stored)
-    flags = flags.join(inserted.select(F.col("url").alias("key")).distinct().hint("merge"), "key", "left_semi")
+    known, unknown = guard_sources(capped(every), sources)
+    known = known.withColumn("ordinal", F.struct("source", "lane", "place", "feed", "retrieved_at", "item"))
+    inserted, skipped = upsert_documents(known, stored)
+    there = inserted.select("url") if stored is None else inserted.select("url").unionAll(stored.select("url"))
+    flags = flags.join(there.distinct().withColumnRenamed("url", "key").hint("merge"), "key", "left_semi")
+    payloads = payloads.join(there.distinct().hint("merge"), "url", "left_semi").groupBy("url").agg(F.max_by(F.struct("payload", "retrieved_at"), "retrieved_at").alias("p")).select("url", "p.*")
     causes = enriched.filter("cause is not null").select("source", F.concat_ws(": ", "url", "cause").alias("cause"))
+    found = unread.select("source", F.concat_ws(": ", "url", "cause").alias("cause"))
+    found = found if discovery is None else found.unionAll(discovery.select("source", "cause"))
     now = F.current_timestamp()
-    runs = record_runs(landing.select(F.col("source").alias("source_name")).distinct(), inserted, skipped, rejects, causes, now if started_at is None else started_at, now if finished_at is None else finished_at)
-    return Ingested(inserted, skipped, rejects, unknown, flags, runs)
+    names = landing.select("source")
+    for d in (posts, pages, discovery):
+        names = names if d is None else names.unionAll(d.select("source"))
+    names = written(names.select(F.col("source").alias("source_name")).distinct(), "ingest-sources")
+    strange = names.join(sources.select(F.col("name").alias("source_name")).hint("merge"), "source_name", "left_anti")
+    errors = strange.select(F.col("source_name").alias("source"), F.concat(F.lit("unknown source: "), "source_name").alias("error")).unionAll(failed.join(strange.select(F.col("source_name").alias("source")).hint("merge"), "source", "left_anti"))
+    runs = record_runs(names, inserted, skipped, rejects.filter("item is not null"), causes, now if started_at is None else started_at, now if finished_at is None else finished_at, errors, found)
+    return Ingested(inserted, skipped, rejects.unionByName(unread.withColumn("item", F.lit(None).cast("int")).withColumn("hint", F.lit(None).cast("string")).select(rejects.columns)), unknown, flags, runs, payloads)
 
 
 def select_targets(t: Tables, ids: DataFrame | None = None, source: str | None = None) -> DataFrame:

@@ -522,26 +522,66 @@ def urls_kept(t: Tables) -> DataFrame:
     return t.documents.select("id", url_kept(F.col("url"), F.lit("/articles/"), F.array(F.lit("/articles/1"), F.lit("^/articles/22$"))).alias("kept"))
 
 
-@registered(_FEED_ROWS + f""", g AS (SELECT e.*, c.source, length(content) < 500 AS thin FROM e JOIN (SELECT 'https://feeds.example/' || (doc_id // 20)::VARCHAR AS feed, min(source) AS source FROM documents GROUP BY 1) c ON c.feed = e.feed)
-SELECT s.source AS source_name, count(g.doc_id) FILTER (NOT no_title AND NOT no_link)::INT AS inserted, 0::INT AS skipped, count(g.doc_id) FILTER (no_title OR no_link)::INT AS parse_skipped, 'empty feed: blocked' AS error,
-       (3 + count(g.doc_id) FILTER (no_title OR no_link OR thin))::INT AS reasons
-  FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN g ON g.source = s.source GROUP BY s.source""")
+def ingest_landing(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(landing, sources, policy): each feed of items is a source of its own, f<number>. Before it some have a block page or broken
+    markup as a candidate, some were landed twice, and some aren't registered; and there are sources without any feed that works."""
+    d = feed_landing(t)
+    k = F.regexp_extract("url", r"^https://feeds\.example/(\d+)$", 1)
+    kind = F.regexp_extract("url", r"^https://(\w+)\.example/src", 1)
+    feeds = d.filter(k != "").withColumn("k", k.cast("long")).select(F.concat(F.lit("f"), k).alias("source"), "url", "body", "retrieved_at", F.lit(1).alias("ordinal"), "k")
+    later = F.lit("2024-03-02 00:00:00").cast("timestamp")
+    wall = F.when(F.col("k") % 3 == 0, "<html><title>Just a moment...</title></html>").otherwise("<rss><channel><item>")
+    before = feeds.filter("k % 3 < 2").select("source", F.concat(F.lit("https://a.example/"), "source").alias("url"), wall.alias("body"), "retrieved_at", F.lit(0).alias("ordinal"))
+    behind = feeds.filter("k % 7 = 0").select("source", F.concat(F.lit("https://z.example/"), "source").alias("url"), "body", "retrieved_at", F.lit(2).alias("ordinal"))  # never reached
+    twice = feeds.filter("k % 5 = 0").withColumn("retrieved_at", later)
+    odd = d.filter((kind != "") & (kind != "empty"))
+    dead = [odd.select(F.concat(F.lit(name), "source").alias("source"), "url", "body", "retrieved_at", F.when(kind == last, 1).otherwise(0).alias("ordinal")) for name, last in (("d-", "broken"), ("e-", "blocked"))]
+    columns = ["source", "url", "body", "retrieved_at", "ordinal"]
+    landing = feeds.select(columns).unionAll(before.select(columns)).unionAll(behind.select(columns)).unionAll(twice.select(columns))
+    for part in dead:
+        landing = landing.unionAll(part.select(columns))
+    numbers = t.raw("documents").select(F.floor(F.col("doc_id") / 20).alias("k")).distinct()
+    names = numbers.filter("k % 13 <> 5").select(F.concat(F.lit("f"), "k").alias("name")).unionAll(t.sources.select(F.explode(F.array(F.concat(F.lit("d-"), "name"), F.concat(F.lit("e-"), "name")))))
+    policy = numbers.select(F.concat(F.lit("f"), "k").alias("name"), F.when(F.col("k") % 4 == 1, "force_off").otherwise("auto").alias("mode"), F.when(F.col("k") % 4 == 0, 100).otherwise(500).alias("threshold"))
+    return landing, names, policy
+
+
+_INGEST = _FEED_ROWS + """, g AS (SELECT f, count(*) FILTER (NOT no_title AND NOT no_link) AS good, count(*) FILTER (no_title OR no_link) AS bad,
+       count(*) FILTER (NOT no_title AND NOT no_link AND f % 4 <> 1 AND length(content) < CASE WHEN f % 4 = 0 THEN 100 ELSE 500 END) AS thin, CASE WHEN f % 5 = 0 THEN 2 ELSE 1 END AS times, f % 13 = 5 AS strange
+  FROM (SELECT e.*, doc_id // 20 AS f FROM e) x GROUP BY f)"""
+
+
+@registered(_INGEST + """ SELECT 'f' || f::VARCHAR AS source_name, CASE WHEN strange THEN 0 ELSE good END::INT AS inserted, CASE WHEN strange THEN 0 ELSE good * (times - 1) END::INT AS skipped,
+       CASE WHEN strange THEN 0 ELSE bad * times END::INT AS parse_skipped, CASE WHEN strange THEN 'unknown source: f' || f::VARCHAR END AS error, CASE WHEN strange OR bad + thin = 0 THEN -1 ELSE (bad + thin) * times END::INT AS reasons FROM g
+UNION ALL SELECT k || source, 0, 0, 0, CASE WHEN k = 'd-' THEN 'unparseable' ELSE 'empty feed: blocked' END, -1 FROM (SELECT DISTINCT source FROM documents) s, (VALUES ('d-'), ('e-')) v(k)""")
 def ingest_runs(t: Tables) -> DataFrame:
     """The run log of an ingest of all feeds, without any enrichment leg."""
+    landing, names, policy = ingest_landing(t)
     none = t.spark.createDataFrame([], "url string, primary string, reader string, scrape string")
-    done = jobs.ingest(feed_landing(t), none, t.sources, None)
-    return done.runs.select("source_name", "inserted", "skipped", "parse_skipped", "error", F.size("skipped_reasons").alias("reasons"))
+    done = jobs.ingest(landing, none, names, None, policy)
+    return done.runs.select("source_name", "inserted", "skipped", "parse_skipped", "error", F.coalesce(F.size("skipped_reasons"), F.lit(-1)).alias("reasons"))
 
 
-@registered("""WITH req AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS digest_date, event_id % (SELECT count(*) FROM v_documents) AS document_id FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0),
+@registered(_FEED_ROWS + """ SELECT 'https://Feed.example/a/' || doc_id::VARCHAR || '?x=1' AS url, CASE WHEN k = 1 THEN 'inserted' ELSE 'skipped' END AS outcome, epoch(CASE WHEN k = 1 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-03-02' END)::BIGINT AS landed
+  FROM e, (VALUES (1), (2)) v(k) WHERE NOT no_title AND NOT no_link AND (doc_id // 20) % 13 <> 5 AND (k = 1 OR (doc_id // 20) % 5 = 0)""")
+def ingest_landed_twice(t: Tables) -> DataFrame:
+    """What becomes of each item of an ingest in which a fifth of the feeds was landed twice: the earlier landing is stored."""
+    landing, names, policy = ingest_landing(t)
+    none = t.spark.createDataFrame([], "url string, primary string, reader string, scrape string")
+    done = jobs.ingest(landing, none, names, None, policy)
+    part = lambda d, outcome: d.select("url", F.lit(outcome).alias("outcome"), F.unix_timestamp("retrieved_at").alias("landed"))
+    return part(done.inserted, "inserted").unionAll(part(done.skipped, "skipped"))
+
+
+@registered("""WITH req AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS digest_date, event_id % (SELECT count(*) FROM v_documents) AS document_id FROM events WHERE event_type = 'purchase'),
 dates AS (SELECT DISTINCT digest_date FROM req)
 SELECT coalesce(r.digest_date, p.digest_date)::VARCHAR AS digest_date, coalesce(r.document_id, p.document_id) AS document_id, CASE WHEN p.document_id IS NULL THEN 'added' WHEN r.document_id IS NULL THEN 'removed' ELSE 'kept' END AS change,
        CASE WHEN r.document_id IS NOT NULL THEN 'editor' ELSE p.reporter END AS reporter
   FROM req r FULL OUTER JOIN (SELECT * FROM v_picks WHERE digest_date IN (SELECT digest_date FROM dates)) p ON p.digest_date = r.digest_date AND p.document_id = r.document_id""", "documents", "picks")
 def picks_recorded(t: Tables) -> DataFrame:
-    """For each week the documents of some purchases as the editor's picks, against those that stand."""
+    """For each week the documents of all purchases as the editor's picks, against those that stand."""
     n = t.documents.count()
-    e = t.raw("events").filter("event_type = 'purchase' and event_id % 40 = 0").select(F.date_trunc("week", "ts").cast("date").alias("digest_date"), (F.col("event_id") % n).alias("id")).distinct()
+    e = t.raw("events").filter("event_type = 'purchase'").select(F.date_trunc("week", "ts").cast("date").alias("digest_date"), (F.col("event_id") % n).alias("id")).distinct()
     keys = e.join(t.documents.select("id", "url"), "id").groupBy("digest_date").agg(F.collect_list("url").alias("keys"))
     reqs = keys.withColumn("reporter", F.lit("editor")).withColumn("request_ts", F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
     done, _ = writes.record_picks(reqs, t.picks, t.documents)

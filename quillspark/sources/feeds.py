@@ -77,7 +77,7 @@ def parse_feeds(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.coalesce(F.nullif(F.array_join(blocks, "\n"), F.lit("")), full(F.col("i.summary")), full(F.col("i.description")), F.lit(""))
     author = F.coalesce(full(F.get("i.dc_creator", F.lit(0))), full(F.get("i.author", F.lit(0))["name"]), full(F.get("i.author", F.lit(0))["_VALUE"]))
     when = F.coalesce(parse_time(F.coalesce(full(F.col("i.pubDate")), full(F.col("i.published")), full(F.col("i.updated")), full(F.col("i.dc_date")))), "retrieved_at")
-    items = items.select("source", F.col("url").alias("feed"), "item", fn.strip_html(F.col("i.title")).alias("title"), _own_link(i).alias("url"), author.alias("author"), when.alias("published_at"), fn.strip_html(body).alias("content"))
+    items = items.select("source", F.col("url").alias("feed"), "retrieved_at", "item", fn.strip_html(F.col("i.title")).alias("title"), _own_link(i).alias("url"), author.alias("author"), when.alias("published_at"), fn.strip_html(body).alias("content"))
     items = items.withColumn("canonical_url", fn.canonicalize_url(F.col("url")))
     cause = F.when(F.coalesce("title", F.lit("")) == "", "missing title").when(F.coalesce("url", F.lit("")) == "", "missing link")
     items = items.withColumn("cause", cause)
@@ -124,11 +124,12 @@ def parse_sitemaps(landing: DataFrame) -> DataFrame:
     return rows.unionAll(causes)
 
 
-def map_posts(posts: DataFrame) -> DataFrame:
-    """Documents of (source, payload, retrieved_at), the payload being a post's JSON."""
+def map_posts(posts: DataFrame, keep_payload: bool = False) -> DataFrame:
+    """Documents of (source, payload, retrieved_at), the payload being a post's JSON; with the payload itself if it is to be kept."""
     d = posts.withColumn("p", F.from_json("payload", _POST))
     url = fn.canonical_post_url(F.col("p.url"))
-    d = d.filter(F.coalesce("p.url", F.lit("")) != "").select("source", url.alias("url"), url.alias("canonical_url"), fn.post_title(F.col("p.caption"), F.col("p.ownerUsername"), F.col("p.shortCode")).alias("title"), F.col("p.ownerUsername").alias("author"), F.coalesce(F.try_to_timestamp("p.timestamp"), "retrieved_at").alias("published_at"), F.coalesce("p.caption", F.lit("")).alias("content"))
+    more = ["payload"] if keep_payload else []
+    d = d.filter(F.coalesce("p.url", F.lit("")) != "").select("source", url.alias("url"), url.alias("canonical_url"), fn.post_title(F.col("p.caption"), F.col("p.ownerUsername"), F.col("p.shortCode")).alias("title"), F.col("p.ownerUsername").alias("author"), F.coalesce(F.try_to_timestamp("p.timestamp"), "retrieved_at").alias("published_at"), F.coalesce("p.caption", F.lit("")).alias("content"), "retrieved_at", *more)
     return d.withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content")))
 
 

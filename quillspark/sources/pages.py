@@ -165,7 +165,7 @@ def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     cause = F.when(empty, reject_cause(h.html, F.lit("no title or body"))).when(guard & id_reused(F.col("url"), F.col("declared")), "reused id")
     d = d.withColumn("cause", cause)
     good = d.filter("cause is null").withColumn("canonical_url", fn.canonicalize_url(F.coalesce("declared", "url"))).withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))).drop("cause", "declared", "_link", "_metas", "_nodes", "html")
-    return good, d.filter("cause is not null").select("url", "cause")
+    return good, d.filter("cause is not null").select(*[c for c in ("source", "url") if c in landing.columns], "cause")
 
 
 def hub_links(landing: DataFrame, pattern: str = "") -> DataFrame:

@@ -59,6 +59,34 @@ def test_streamed_ingest(spark, landing, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store/runs")).filter("source_name = 'a' and epoch = 0").count() == 1
 
 
+def test_fallback_lanes_and_payloads(spark):
+    """Candidates in turn, each source's threshold, posts and pages, payloads and discovery causes."""
+    rows = [
+        ("a", "https://f/1", "<rss><channel></channel></rss>", NOW, 0),
+        ("a", "https://f/2", rss(("Short", "https://a.com/s", "thirty letters of text, not any more"), ("", "https://a.com/x", "x")), NOW, 1),
+        ("a", "https://f/3", rss(("Never", "https://a.com/n", LONG)), NOW, 2),
+        ("b", "https://f/b", rss(("Short", "https://b.com/s", "thirty letters of text, not any more here")), NOW, 0),
+        ("d", "https://f/d1", "<html>Just a moment...</html>", NOW, 0),
+        ("d", "https://f/d2", "<rss><channel><item>", NOW, 1),
+    ]
+    landing = spark.createDataFrame(rows, "source string, url string, body string, retrieved_at timestamp, ordinal int")
+    legs = spark.createDataFrame([("https://b.com/s", None, "", LONG, '{"env": 1}')], "url string, primary string, reader string, scrape string, scrape_payload string")
+    names = spark.createDataFrame([("a",), ("b",), ("d",), ("p",), ("h",)], "name string")
+    policy = spark.createDataFrame([("a", "auto", 10), ("b", "auto", 500)], "name string, mode string, threshold int")
+    posts = spark.createDataFrame([("p", '{"url": "https://www.Site.com/reel/Ab1/", "shortCode": "Ab1", "caption": "First line\\nmore", "ownerUsername": "me"}', NOW)], "source string, payload string, retrieved_at timestamp")
+    pages = spark.createDataFrame([("h", "https://h.com/1", f"<html><title>T</title><article>{LONG}</article></html>", NOW), ("h", "https://h.com/2", "<html></html>", NOW)], "source string, url string, html string, retrieved_at timestamp")
+    done = jobs.ingest(landing, legs, names, None, policy, F.lit(NOW), F.lit(NOW), posts, pages, spark.createDataFrame([("h", "https://h.com/map: unknown root")], "source string, cause string"))
+    stored = {r.url: r for r in done.inserted.collect()}
+    assert set(stored) == {"https://a.com/s", "https://b.com/s", "https://www.site.com/p/Ab1/", "https://h.com/1"}
+    assert stored["https://b.com/s"].content == LONG and stored["https://www.site.com/p/Ab1/"].title == "First line"
+    assert done.flags.count() == 0  # 36 letters are enough for a
+    assert {r.url: r.payload[:7] for r in done.payloads.collect()} == {"https://b.com/s": '{"env":', "https://www.site.com/p/Ab1/": '{"url":'}
+    runs = {r.source_name: r for r in done.runs.collect()}
+    assert {n: (r.inserted, r.parse_skipped, r.error) for n, r in runs.items()} == {"a": (1, 1, None), "b": (1, 0, None), "d": (0, 0, "unparseable"), "p": (1, 0, None), "h": (1, 0, None)}
+    assert runs["h"].skipped_reasons == ["https://h.com/2: no title or body", "https://h.com/map: unknown root"]
+    assert runs["a"].skipped_reasons == ["missing title"] and runs["d"].skipped_reasons is None
+
+
 def test_merge_causes(spark):
     d = spark.createDataFrame([(["a"], None, ["b", "c"]), (None, None, None)], "x array<string>, y array<string>, z array<string>")
     assert [r[0] for r in d.select(jobs.merge_causes("x", "y", "z")).collect()] == [["a", "b", "c"], None]
