@@ -19,6 +19,7 @@ def test_ingest_and_health(spark, tmp_path):
 
 
 def test_topic_fold(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     schema = "document_id int, tags array<string>, request_ts timestamp, seq int"
     rows = [(1, ["a", "b"], datetime(2024, 1, 1), 1), (1, ["b"], datetime(2024, 1, 2), 2)]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -26,6 +27,7 @@ def test_topic_fold(spark, tmp_path):
     q = jobs.fold_topics(stream).writeStream.format("memory").queryName("fold").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert sorted((r.topic_slug, r.assigned) for r in spark.table("fold").collect()) == [("a", False), ("a", True), ("b", True)]
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_health_appends_closed_intervals(spark, tmp_path):
