@@ -14,7 +14,9 @@ can add to a cosine with a benchmark item. Three passes read every document whol
    of the item's words, and the item's answer, where the benchmark has an answer column, must stand there
    or next to it. An item whose first `least` words stand in a document is a candidate in any case.
 
-The items are sent to every task, in blocks of at most ITEMS_A_BLOCK; nothing else is. Null and empty
+IDF and basis are fitted once over all items and are sent to every task, with the items themselves in blocks
+of at most ITEMS_A_BLOCK, each a pass over the rows: what is found doesn't depend on how many items there
+are, nor on the size of a block. Null and empty
 documents have no item, null and empty items are in no document. Items of fewer than `least` words are
 matched as they are, but only in full. Repeated rows are treated alike; other columns aren't touched.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm import arrowtext as at
-from quillspark.llm.store import by_text, discard, table
+from quillspark.llm.store import by_text
 
 RANK = 64
 BLOCK = 16
@@ -41,10 +43,12 @@ COSINE = 0.5
 OVERLAP = 0.65
 COMMON = 0.003
 LEAST = 8
-#: Items sent to the tasks at once: 2,000 items of 50 words are under 10 MB with their latent vectors.
-#: A longer item counts as one for each ITEM_CHARACTERS.
-ITEMS_A_BLOCK = 2_000
+#: Items sent to the tasks at once: 50,000 items of 50 words are some 35 MB with their latent vectors. A longer
+#: item counts as one for each ITEM_CHARACTERS. Beside them go 270 bytes for each different word of all items.
+ITEMS_A_BLOCK = 50_000
 ITEM_CHARACTERS = 512
+#: Cosines worked out at once.
+COSINES = 1 << 23
 
 
 @dataclass
@@ -244,7 +248,7 @@ def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, ov
         is_first[t[0]] = True
         by_begin.setdefault(int(_mixed(t[None, :])[0]), []).append(i)
     begin_key = np.array(sorted(by_begin), np.uint64)
-    chunk = max(1, 4096 * ITEMS_A_BLOCK // max(len(pieces), ITEMS_A_BLOCK))
+    chunk = min(4096, max(1, COSINES // max(len(pieces), 1)))
 
     seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
@@ -321,7 +325,7 @@ def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, ov
     return search
 
 
-def _search(rows: DataFrame, search, ids: list, item_type: T.DataType, keep_text: bool) -> DataFrame:
+def _search(rows: DataFrame, search, ids: list, item_type: T.DataType) -> DataFrame:
     """rows (id, text, found) with the items that `search` finds added to found; row by row, whatever the ids."""
     kind = to_arrow_type(_found(item_type))
 
@@ -330,8 +334,7 @@ def _search(rows: DataFrame, search, ids: list, item_type: T.DataType, keep_text
             before = batch.column(2).to_pylist()
             new = [[{"item": ids[i], "overlap": float(s)} for i, s in sorted(f.items())] for f in search(batch.column(1))]
             found = pa.array([b + f for b, f in zip(before, new, strict=True)], kind)
-            text = batch.column(1) if keep_text else pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, found], names=["id", "text", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["id", "text", "found"])
 
     return by_text(rows).mapInArrow(run, rows.schema)
 
@@ -340,27 +343,30 @@ def _found(item_type: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField("item", item_type), T.StructField("overlap", T.DoubleType())]))
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, answer_col: str | None) -> tuple[DataFrame, int]:
+def _items(benchmark: DataFrame, item_id: str, item_text: str, answer_col: str | None) -> tuple[Items, list[Items]]:
+    """All items, which the driver holds, and the same in blocks; the blocks have the terms of all."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     bench = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"), answer.alias("a"))
-    n = bench.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.length("t") / ITEM_CHARACTERS)))).first()[0] or 0
-    return bench, max(1, -(-int(n) // ITEMS_A_BLOCK))
-
-
-def _block(bench: DataFrame, blocks: int, k: int) -> Items:
-    rows = bench.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
-    return prepare(sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1])))
+    rows = sorted((tuple(r) for r in bench.collect()), key=lambda r: (r[0], r[1]))
+    every = prepare(rows)
+    sizes = np.array([max(1, -(-len(r[1]) // ITEM_CHARACTERS)) for r in rows], np.int64)
+    block = (np.cumsum(sizes) - sizes) // ITEMS_A_BLOCK
+    parts = []
+    for k in np.unique(block):
+        which = np.flatnonzero(block == k).tolist()
+        parts.append(Items([every.ids[i] for i in which], [every.words[i] for i in which], [every.answers[i] for i in which], every.terms, every.sieve))
+    return every, parts
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None, cosine: float = COSINE, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
     """docs without the rows that hold an item; no shuffle, all columns as they were."""
-    bench, blocks = _blocks(benchmark, item_id, item_text, answer_col)
+    items, parts = _items(benchmark, item_id, item_text, answer_col)
+    weight = idf(docs, items, text_col)
+    q = basis(docs, items, weight, text_col)
     place = docs.columns.index(text_col)
     out = docs
-    for k in range(blocks):
-        items = _block(bench, blocks, k)
-        weight = idf(docs, items, text_col)
-        search = _searcher(items, weight, basis(docs, items, weight, text_col), cosine, overlap, least)
+    for part in parts:
+        search = _searcher(part, weight, q, cosine, overlap, least)
 
         def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -371,23 +377,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None, cosine: float = COSINE, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(id, contaminated, n_items, item_ids, best_overlap), a row for each row of docs, repeated and null ids included.
-
-    More than `ITEMS_A_BLOCK` items are taken in blocks; each row takes what was found along from block
-    to block, written to the shared folder in between.
-    """
-    bench, blocks = _blocks(benchmark, item_id, item_text, answer_col)
+    """(id, contaminated, n_items, item_ids, best_overlap), a row for each row of docs, repeated and null ids included."""
+    items, parts = _items(benchmark, item_id, item_text, answer_col)
     kind = benchmark.schema[item_id].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(_found(kind)).alias("found"))
-    for k in range(blocks):
-        items = _block(bench, blocks, k)
-        weight = idf(rows, items)
-        search = _searcher(items, weight, basis(rows, items, weight), cosine, overlap, least)
-        last, before = k + 1 == blocks, rows
-        rows = _search(rows, search, items.ids, kind, not last)
-        if not last:
-            rows = table(rows, "benchmark-found")
-            discard(before)
+    weight = idf(rows, items)
+    q = basis(rows, items, weight)
+    for part in parts:
+        rows = _search(rows, _searcher(part, weight, q, cosine, overlap, least), part.ids, kind)
     ids = F.transform("found", lambda x: x["item"])
     best = F.coalesce(F.array_max(F.transform("found", lambda x: x["overlap"])), F.lit(0.0))
     return rows.select(F.col("id").alias(id_col), (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), F.sort_array(ids).alias("item_ids"), best.alias("best_overlap"))

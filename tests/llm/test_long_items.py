@@ -54,3 +54,23 @@ def test_singular_vectors():
     _, want, vt = np.linalg.svd(a, full_matrices=False)
     assert np.allclose(s[:8], want[:8], rtol=2e-2)  # of a sketch of 24 columns
     assert np.allclose(np.abs((vt[:8] * u[:, :8].T).sum(axis=1)), 1, atol=1e-3)
+
+
+def test_paraphrases_whatever_the_blocks(spark, monkeypatch):
+    """The same rows for blocks of 3 items and of all, among them paraphrases that only the latent space finds; recall at the limit."""
+    pool = [w.strip(".") + str(k % 60) for k, w in enumerate(text(77, 1500).split())]
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice(pool) + (str(i) if r.random() < 0.7 else "") for _ in range(24 + i % 30))) for i in range(60)]
+    rows = [(i, f"{text(1000 + i, 120)} {' '.join(kept(t.split(), 0.78, i))} {text(2000 + i, 90)}") for i, t in items]
+    rows += [(1000 + i, text(3000 + i, 200)) for i in range(100)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for block in (3, 50_000):
+        monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", block)
+        found.append(sorted((x.doc_id, tuple(x.item_ids), round(x.best_overlap, 9)) for x in decontaminate.contaminated(d, b).collect()))
+    assert found[0] == found[1]
+    got = {x[0]: x[1] for x in found[0]}
+    share = {i: decontaminate.common_subsequence(*(np.array([hash(w) for w in x.split()], np.int64) for x in (t, rows[i][1]))) / len(t.split()) for i, t in items}
+    due = [i for i in share if share[i] >= decontaminate.OVERLAP]
+    assert len(due) > 40 and sum(i in got[i] for i in due) >= 0.9 * len(due)
+    assert not any(got[1000 + i] for i in range(100))
