@@ -325,7 +325,7 @@ def _searcher(items: Items, weight: np.ndarray, q: np.ndarray, cosine: float, ov
     return search
 
 
-def _search(rows: DataFrame, search, ids: list, item_type: T.DataType) -> DataFrame:
+def _search(rows: DataFrame, search, ids: list, item_type: T.DataType, keep_text: bool) -> DataFrame:
     """rows (id, text, found) with the items that `search` finds added to found; row by row, whatever the ids."""
     kind = to_arrow_type(_found(item_type))
 
@@ -334,7 +334,8 @@ def _search(rows: DataFrame, search, ids: list, item_type: T.DataType) -> DataFr
             before = batch.column(2).to_pylist()
             new = [[{"item": ids[i], "overlap": float(s)} for i, s in sorted(f.items())] for f in search(batch.column(1))]
             found = pa.array([b + f for b, f in zip(before, new, strict=True)], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["id", "text", "found"])
+            text = batch.column(1) if keep_text else pa.nulls(batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, found], names=["id", "text", "found"])
 
     return by_text(rows).mapInArrow(run, rows.schema)
 
@@ -383,8 +384,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(_found(kind)).alias("found"))
     weight = idf(rows, items)
     q = basis(rows, items, weight)
-    for part in parts:
-        rows = _search(rows, _searcher(part, weight, q, cosine, overlap, least), part.ids, kind)
+    for part in parts:  # the last doesn't hand the texts back
+        rows = _search(rows, _searcher(part, weight, q, cosine, overlap, least), part.ids, kind, part is not parts[-1])
     ids = F.transform("found", lambda x: x["item"])
     best = F.coalesce(F.array_max(F.transform("found", lambda x: x["overlap"])), F.lit(0.0))
     return rows.select(F.col("id").alias(id_col), (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), F.sort_array(ids).alias("item_ids"), best.alias("best_overlap"))
