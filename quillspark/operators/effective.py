@@ -74,15 +74,25 @@ def reads_per_doc(reads: DataFrame) -> DataFrame:
     return d.select("document_id", "readers", F.col("_r.read_at").alias("read_at"), F.col("_r.reader").alias("read_by"))
 
 
-def with_state(docs: DataFrame, t, few: bool = False) -> DataFrame:
+def with_state(docs: DataFrame, t, few: bool = False, ids: list | None = None) -> DataFrame:
     """docs with importance, topics, readers, the read cache and the image flag, each by one left join.
 
-    few: docs are a bounded number of rows, as after a limit; the logs are cut to their ids before they are grouped.
+    few: docs are a bounded number of rows, as after a limit; the logs are cut to their ids before they are
+    grouped. ids: those of docs, where they are known. Where the tables have snapshots of the logs, these
+    and the rows since are read in place of the logs.
     """
     own = F.broadcast(docs.select(F.col("id").alias("document_id"))) if few else None
-    cut = (lambda log: log.join(own, "document_id", "left_semi")) if few else (lambda log: log)
-    d = with_importance(capped(docs), cut(t.importance))
-    for part in (effective_topics(cut(t.topics)), reads_per_doc(cut(t.reads)), image_flags(cut(t.frames)).withColumn("has_image_text", F.lit(True))):
+
+    def cut(name: str) -> DataFrame:
+        log = getattr(t, name)
+        if getattr(t, "states", None) is not None and name != "frames":
+            log = t.states.rows(name, log, ids)
+        elif ids is not None:
+            log = log.filter(F.col("document_id").isin(ids))
+        return log.join(own, "document_id", "left_semi") if few else log
+
+    d = with_importance(capped(docs), cut("importance"))
+    for part in (effective_topics(cut("topics")), reads_per_doc(cut("reads")), image_flags(cut("frames")).withColumn("has_image_text", F.lit(True))):
         part = part.withColumnRenamed("document_id", "_d")
         d = d.join(part, F.col("id") == F.col("_d"), "left").drop("_d")
     return d.withColumn("has_image_text", F.coalesce("has_image_text", F.lit(False)))

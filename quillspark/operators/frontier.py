@@ -49,15 +49,16 @@ def walk(sitemaps: DataFrame, config: DataFrame, depth: int = DEPTH, now: Column
 
     sitemaps: rows of parse_sitemaps; config: (source, roots array, sitemap_pattern[, excludes]). Excluded
     children are left out, but an archive of the last 60 days before `now` is walked all the same. A node's place is
-    the array of ranks from its root; children are taken last first, then by where the pattern stands.
+    the array of ranks from its root; children are taken by where the pattern stands, then those that stand
+    last in their file first, so the walk depends on the files alone.
     Levels are expanded one by one, the first path to a sitemap winning; trees are small.
     """
     excludes = F.col("excludes") if "excludes" in config.columns else F.array().cast("array<string>")
     kids = sitemaps.filter("kind = 'sitemap'").join(config.select("source", "sitemap_pattern", excludes.alias("_ex")).hint("merge"), "source")
     fresh = archive_fresh(F.col("loc"), F.current_date() if now is None else now)
     kids = kids.filter(~path_excluded(fn.path_of(F.col("loc")), F.col("_ex")) | fresh).drop("_ex")
-    turn = Window.partitionBy("source", "sitemap").orderBy(child_rank(F.col("loc"), F.col("sitemap_pattern")), F.desc("_pos"), "loc")
-    kids = kids.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_rank", F.row_number().over(turn).cast("int")).select("source", F.col("sitemap").alias("_parent"), "loc", "_rank")
+    turn = Window.partitionBy("source", "sitemap").orderBy(child_rank(F.col("loc"), F.col("sitemap_pattern")), F.desc("pos"), "loc")
+    kids = kids.withColumn("_rank", F.row_number().over(turn).cast("int")).select("source", F.col("sitemap").alias("_parent"), "loc", "_rank")
     level = config.select("source", F.posexplode("roots").alias("_r", "sitemap")).withColumn("path", F.array("_r")).drop("_r")
     every = level
     for _ in range(depth):
@@ -74,11 +75,12 @@ def frontier(sitemaps: DataFrame, hubs: DataFrame, config: DataFrame, most: int
     config: (source, roots, sitemap_pattern, link_pattern, excludes); hubs: (source, link, pos).
     """
     urls = sitemaps.filter("kind = 'url'").join(config.select("source", "link_pattern", "excludes").hint("merge"), "source")
-    urls = urls.filter(url_kept(F.col("loc"), F.col("link_pattern"), F.col("excludes"))).select("source", "sitemap", "loc", "lastmod")
+    urls = urls.filter(url_kept(F.col("loc"), F.col("link_pattern"), F.col("excludes"))).select("source", "sitemap", "pos", "loc", "lastmod")
     visits = walk(sitemaps, config, now=now).join(urls.groupBy("source", "sitemap").agg(F.count("*").alias("n")).hint("merge"), ["source", "sitemap"], "left").fillna(0, ["n"])
     taken = urls.join(within_budget(visits, most).select("source", "sitemap", "visit").hint("merge"), ["source", "sitemap"])
-    from_map = taken.select("source", "loc", "lastmod", F.col("visit").cast("long").alias("pos"))
+    # in the order of the walk, then of the file
+    from_map = taken.select("source", "loc", "lastmod", (F.col("visit").cast("long") * (1 << 32) + F.col("pos")).alias("pos"))
     canon = fn.canonicalize_url(F.col("loc"))
-    hub = hubs.select("source", F.col("link").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), (F.lit(1 << 40) + F.col("pos")).alias("pos")).withColumn("_c", canon)
+    hub = hubs.select("source", F.col("link").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), (F.lit(1 << 61) + F.col("pos")).alias("pos")).withColumn("_c", canon)
     known = from_map.select("source", canon.alias("_c")).distinct()
     return newest_urls(from_map.unionByName(hub.join(known.hint("merge"), ["source", "_c"], "left_anti").drop("_c")), most).drop("pos")

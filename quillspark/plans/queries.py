@@ -93,23 +93,54 @@ def period_bundle(t: Tables, start, end, sources: list[str] | None = None, limit
     d = annotation_filters(eff.with_state(d, t), exclude_read, floor, wanted)
     turn = Window.partitionBy("source").orderBy(*order(floor))
     d = d.withColumn("source_rank", F.row_number().over(turn)).filter(F.col("source_rank") <= limited(limit))
-    return d.withColumn("is_read", F.col("read_at").isNotNull())
+    return d.withColumn("read", F.col("read_at").isNotNull()).withColumn("is_read", F.col("read"))
 
 
 def group_by_source(flat: DataFrame) -> DataFrame:
-    """(source, n, headlines): a row for each source, its headlines in the order of their ranks."""
-    return flat.groupBy("source").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("source_rank", "id"))), lambda x: x["id"]).alias("headlines"))
+    """(source, position, n, headlines): a row for each source, its headlines in the order of their ranks; sources in the order of their first headlines."""
+    d = source_position(flat)
+    return d.groupBy("source").agg(F.min("position").alias("position"), F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("source_rank", "id"))), lambda x: x["id"]).alias("headlines")).orderBy("position")
 
 
 def digest_shortlist(t: Tables, start, end, floor: float = SHORTLIST_FLOOR, topics=DEFAULT) -> DataFrame:
     return period_bundle(t, start, end, limit=2, min_importance=floor, topics=topics)
 
 
-def lookup(t: Tables, requests: DataFrame, key: str = "key") -> DataFrame:
-    """For each request the document with its state and its frames; nulls where there is none."""
-    r = eff.resolve(requests, t.documents, key)
-    d = with_source(eff.with_state(t.documents.join(r.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi"), t), t.sources)
-    d = d.join(eff.frames_per_doc(t.frames).withColumnRenamed("document_id", "_d"), F.col("id") == F.col("_d"), "left").drop("_d")
+def identifiers(keys: list[str], most: int = 100) -> list[str]:
+    """Addresses asked for, trimmed; raises for none, too many, blanks and over-long ones."""
+    if not isinstance(keys, (list, tuple)) or not 1 <= len(keys) <= most:
+        raise ValueError(f"1 to {most} identifiers are wanted")
+    out = []
+    for k in keys:
+        if not isinstance(k, str) or not k.strip() or len(k) > 2048:
+            raise ValueError(f"no identifier: {k!r}")
+        out.append(k.strip())
+    return out
+
+
+def identified(t: Tables, keys: list[str]) -> DataFrame:
+    """(key, document_id) of a few addresses, by the identity map where there is one, else by the documents."""
+    keys = identifiers(keys)
+    if t.states is not None and t.states.version()[0]:
+        return t.states.identify(keys)
+    return eff.resolve(t.spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string"), t.documents)
+
+
+def lookup(t: Tables, requests: DataFrame | list[str], key: str = "key") -> DataFrame:
+    """For each request the document with its state and its frames; nulls where there is none.
+
+    requests: a table of addresses, or a few as a list: then only the parts of the tables that hold them are read.
+    """
+    if isinstance(requests, DataFrame):
+        r, ids = eff.resolve(requests, t.documents, key), None
+        docs = t.documents.join(r.select(F.col("document_id").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    else:
+        r = identified(t, requests)
+        ids = [x[0] for x in r.filter("document_id is not null").select("document_id").distinct().collect()]  # at most as many as asked for
+        docs = t.documents.filter(F.col("id").isin(ids))
+    frames = t.frames if ids is None else t.frames.filter(F.col("document_id").isin(ids))
+    d = with_source(eff.with_state(docs, t, ids=ids), t.sources).withColumn("read", F.col("read_at").isNotNull())
+    d = d.join(eff.frames_per_doc(frames).withColumnRenamed("document_id", "_d"), F.col("id") == F.col("_d"), "left").drop("_d")
     return r.join(d, F.col("document_id") == F.col("id"), "left")
 
 
@@ -149,12 +180,22 @@ def source_health(t: Tables) -> DataFrame:
     return d.select(F.col("name").alias("source"), status.alias("status"), "started_at", "finished_at", "inserted", "skipped", "parse_skipped", "error")
 
 
-def importance(t: Tables, history: bool = False) -> DataFrame:
-    """Scores with the cap of their document; all rows of the log, or the newest of each document."""
-    log = t.importance if history else eff.latest_importance(t.importance)
-    d = eff.capped(t.documents).select(F.col("id").alias("document_id"), "flag_reason", "is_capped")
-    j = log.join(d, "document_id")
-    return j.withColumn("effective", fn.effective_score(F.col("score"), F.col("flag_reason"), F.col("is_capped")))
+def importance(t: Tables, history: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Scores with the cap of their document; all rows of the log, or the newest of each document; with keys, of these addresses only, newest first."""
+    log, docs = t.importance, t.documents
+    asked = None
+    if keys is not None:
+        asked = identified(t, keys)
+        ids = [x[0] for x in asked.filter("document_id is not null").select("document_id").distinct().collect()]
+        docs, log = docs.filter(F.col("id").isin(ids)), log.filter(F.col("document_id").isin(ids))
+        if t.states is not None and not history:
+            log = t.states.rows("importance", t.importance, ids)
+    elif t.states is not None and not history:
+        log = t.states.rows("importance", log)
+    d = eff.capped(docs).select(F.col("id").alias("document_id"), "flag_reason", "is_capped")
+    j = (log if history else eff.latest_importance(log)).join(d, "document_id")
+    j = j.withColumn("effective", fn.effective_score(F.col("score"), F.col("flag_reason"), F.col("is_capped")))
+    return j if asked is None else asked.join(j, "document_id", "left").orderBy("key", F.desc("created_at"), F.desc("id"))
 
 
 def is_human(reporter: str = "reporter") -> Column:
@@ -170,9 +211,12 @@ def pending(t: Tables, source: str | None = None) -> DataFrame:
     return d.join(t.topics.filter(is_human()).select(F.col("document_id").alias("id")), "id", "left_anti").orderBy("published_at", "id")
 
 
-def human_annotated(t: Tables) -> DataFrame:
-    marks = t.importance.filter(is_human()).select("document_id").unionAll(t.topics.filter(is_human()).select("document_id"))
-    return t.documents.join(marks.withColumnRenamed("document_id", "id"), "id", "left_semi")
+def human_annotated(t: Tables, ids: list | None = None) -> DataFrame:
+    """Documents that a person has scored or tagged; of those ids only."""
+    cut = (lambda log: log) if ids is None else (lambda log: log.filter(F.col("document_id").isin(ids)))
+    marks = cut(t.importance).filter(is_human()).select("document_id").unionAll(cut(t.topics).filter(is_human()).select("document_id"))
+    docs = t.documents if ids is None else t.documents.filter(F.col("id").isin(ids))
+    return docs.join(marks.withColumnRenamed("document_id", "id"), "id", "left_semi")
 
 
 def backfill_candidates(t: Tables, source: str | None = None) -> DataFrame:

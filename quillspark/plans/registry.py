@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
+from quillspark.functions.rows import shared_dir, written
 from quillspark.operators import effective as eff
 from quillspark.operators import writes
-from quillspark.operators.frontier import url_kept, within_budget
+from quillspark.operators.frontier import frontier, url_kept, within_budget
 from quillspark.operators.judgments import annotation_totals
+from quillspark.operators.states import States
 from quillspark.operators.upsert import quarantine, upsert_documents
 from quillspark.plans import jobs
 from quillspark.plans import queries as q
 from quillspark.sources import pages
-from quillspark.sources.feeds import choose_feed, diagnose_feeds, parse_feeds, plan_frames
+from quillspark.sources.feeds import choose_feed, diagnose_feeds, parse_feeds, parse_sitemaps, plan_frames
 from quillspark.sources.tables import Tables, oracle_prelude
 
 START, END = datetime(2024, 1, 8, 5, tzinfo=timezone.utc), datetime(2024, 1, 22, 5, tzinfo=timezone.utc)
@@ -588,5 +591,73 @@ def picks_recorded(t: Tables) -> DataFrame:
     return done.select(F.col("digest_date").cast("string").alias("digest_date"), "document_id", "change", "reporter")
 
 
+def sitemap_landing(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(landing, config): for each source an index of its sitemaps, of fifty documents each, in the order of their numbers,
+    and between them some that the configuration excludes and one that is no markup."""
+    d = t.raw("documents").select("doc_id", "source", F.floor(F.col("doc_id") / 50).alias("k"))
+    base = F.concat(F.lit("https://"), "source", F.lit(".example/"))
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).cast("string")
+    url = F.concat(F.lit("<url><loc> "), base, F.when(F.col("doc_id") % 10 == 3, "tag/").otherwise("news/"), "doc_id", F.lit(" </loc>"), F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("<lastmod>"), at, F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
+    maps = d.select("source", "k", F.struct("doc_id", url.alias("x")).alias("u")).groupBy("source", "k").agg(F.sort_array(F.collect_list("u")).alias("u"))
+    place = F.concat(base, F.when(F.col("k") % 3 == 0, "map-news-").when(F.col("k") % 3 == 1, "map-").otherwise("old-"), "k", F.lit(".xml"))
+    maps = maps.select("source", "k", place.alias("url"), F.concat(F.lit('<urlset xmlns="s">'), F.array_join(F.transform("u", lambda x: x["x"]), ""), F.lit("</urlset>")).alias("body"))
+    listed = maps.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "url"))), lambda x: F.concat(F.lit("<sitemap><loc>"), x["url"], F.lit("</loc></sitemap>"))), "").alias("x"))
+    index = listed.select("source", F.concat(base, F.lit("index.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("body"))
+    broken = listed.select("source", F.concat(base, F.lit("broken.xml")).alias("url"), F.lit("<html></html>").alias("body"))
+    config = listed.select("source", F.array(F.concat(base, F.lit("index.xml"))).alias("roots"), F.lit("news").alias("sitemap_pattern"), F.lit("/news/").alias("link_pattern"), F.array(F.lit("/old-")).alias("excludes"))
+    return maps.select("source", "url", "body").unionAll(index).unionAll(broken), config
+
+
+_MAPS = """WITH d AS (SELECT doc_id, source, doc_id // 50 AS k, row_number() OVER (PARTITION BY source, doc_id // 50 ORDER BY doc_id) - 1 AS pos FROM documents),
+u AS (SELECT source, k, pos, doc_id, 'https://' || source || '.example/' || CASE k % 3 WHEN 0 THEN 'map-news-' WHEN 1 THEN 'map-' ELSE 'old-' END || k::VARCHAR || '.xml' AS sitemap,
+  'https://' || source || '.example/' || CASE WHEN doc_id % 10 = 3 THEN 'tag/' ELSE 'news/' END || doc_id::VARCHAR AS loc, CASE WHEN doc_id % 4 > 0 THEN DATE '2024-01-01' + (doc_id % 90)::INT END AS day FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS place FROM (SELECT DISTINCT source, k, sitemap FROM u) x)"""
+
+
+@registered(_MAPS + """ SELECT source, sitemap, 'url' AS kind, pos::INT AS pos, loc, epoch(day)::BIGINT AS lastmod, NULL::VARCHAR AS cause FROM u
+UNION ALL SELECT source, 'https://' || source || '.example/index.xml', 'sitemap', place::INT, sitemap, NULL, NULL FROM m
+UNION ALL SELECT DISTINCT source, 'https://' || source || '.example/broken.xml', NULL, NULL::INT, NULL, NULL::BIGINT, 'unknown root' FROM u""")
+def sitemap_rows(t: Tables) -> DataFrame:
+    rows = parse_sitemaps(sitemap_landing(t)[0])
+    return rows.select("source", "sitemap", "kind", "pos", "loc", F.unix_timestamp("lastmod").alias("lastmod"), "cause")
+
+
+@registered(_MAPS + """, w AS (SELECT source, sitemap, k, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END, place DESC) AS visit FROM m WHERE k % 3 <> 2),
+n AS (SELECT w.source, w.sitemap, w.visit, count(u.doc_id) FILTER (u.loc LIKE '%/news/%') AS n FROM w LEFT JOIN u ON u.sitemap = w.sitemap GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+f AS (SELECT u.source, u.loc, u.day, row_number() OVER (PARTITION BY u.source ORDER BY u.day DESC NULLS LAST, b.visit, u.pos) AS rank FROM u JOIN b ON b.sitemap = u.sitemap WHERE b.before < 50 AND u.loc LIKE '%/news/%')
+SELECT source, loc, epoch(day)::BIGINT AS lastmod, rank::INT AS rank FROM f WHERE rank <= 50""")
+def frontier_urls(t: Tables) -> DataFrame:
+    """The frontier of every source from its sitemaps, walked in the order of the files, without hub pages."""
+    landing, config = sitemap_landing(t)
+    maps = written(parse_sitemaps(landing), "sitemaps")
+    hubs = maps.select("source", F.col("loc").alias("link"), "pos").limit(0)
+    done = frontier(maps, hubs, config, now=F.lit("2024-03-01").cast("date"))
+    return done.select("source", "loc", F.unix_timestamp("lastmod").alias("lastmod"), "rank")
+
+
+class _Until:
+    """The tables with the rows of their logs up to a day."""
+
+    def __init__(self, t: Tables, day: str):
+        at = F.lit(day).cast("timestamp_ntz")
+        self.documents = t.documents
+        self.importance, self.topics, self.reads = t.importance.filter(F.col("created_at") < at), t.topics.filter(F.col("created_at") < at), t.reads.filter(F.col("read_at") < at)
+
+
+@registered(f"WITH {IMP}, {TP}, {TPS}, {RD} SELECT d.id, imp.score, imp.reporter, tps.topics, rd.readers FROM v_documents d LEFT JOIN imp ON imp.document_id = d.id LEFT JOIN tps ON tps.document_id = d.id LEFT JOIN rd ON rd.document_id = d.id", "documents", "importance", "topics", "reads")
+def states_kept(t: Tables) -> DataFrame:
+    """The state of every document from two snapshots, the second made of the first, and the rows since; the order of ids isn't that of time."""
+    kept = States(t.spark, f"{shared_dir(t.spark)}/quillspark-states-{uuid.uuid4().hex}")
+    every = 1 << 62  # the events' numbers don't follow their times: all rows count as late
+    kept.compact(_Until(t, "2024-01-10"), every)
+    kept.compact(_Until(t, "2024-01-20"), every)
+    newest = eff.latest_importance(kept.rows("importance", t.importance, overlap=every)).select("document_id", "score", "reporter")
+    d = t.documents.select("id")
+    for part in (newest, eff.effective_topics(kept.rows("topics", t.topics, overlap=every)), eff.readers(kept.rows("reads", t.reads))):
+        d = d.join(part.withColumnRenamed("document_id", "_d").hint("merge"), F.col("id") == F.col("_d"), "left").drop("_d")
+    return _flat(d)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["period_bundle"](spark, sf_dir)

@@ -114,12 +114,13 @@ def unpacked(landing: DataFrame) -> DataFrame:
 
 
 def parse_sitemaps(landing: DataFrame) -> DataFrame:
-    """(source, sitemap, kind, loc, lastmod, cause): kind is url or sitemap; a cause instead for what is neither."""
+    """(source, sitemap, kind, pos, loc, lastmod, cause): kind is url or sitemap, pos the place in the file; a cause instead for what is neither."""
     d = _read(unpacked(landing), _SITEMAP)
-    urls = d.select("source", F.col("url").alias("sitemap"), F.lit("url").alias("kind"), F.explode("_x.url").alias("u")).select("source", "sitemap", "kind", F.trim("u.loc").alias("loc"), parse_time(F.coalesce("u.lastmod", "u.news.publication_date")).alias("lastmod"))
-    kids = d.select("source", F.col("url").alias("sitemap"), F.lit("sitemap").alias("kind"), F.explode("_x.sitemap").alias("u")).select("source", "sitemap", "kind", F.trim("u.loc").alias("loc"), parse_time(F.col("u.lastmod")).alias("lastmod"))
+    own = ("source", F.col("url").alias("sitemap"))
+    urls = d.select(*own, F.lit("url").alias("kind"), F.posexplode("_x.url").alias("pos", "u")).select("source", "sitemap", "kind", "pos", F.trim("u.loc").alias("loc"), parse_time(F.coalesce("u.lastmod", "u.news.publication_date")).alias("lastmod"))
+    kids = d.select(*own, F.lit("sitemap").alias("kind"), F.posexplode("_x.sitemap").alias("pos", "u")).select("source", "sitemap", "kind", "pos", F.trim("u.loc").alias("loc"), parse_time(F.col("u.lastmod")).alias("lastmod"))
     none = d.filter(F.col("_x").isNull() | (F.col("_x.url").isNull() & F.col("_x.sitemap").isNull()))
-    causes = none.select("source", F.col("url").alias("sitemap"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), F.when(F.col("_x._bad").isNotNull(), "unparseable").otherwise("unknown root").alias("cause"))
+    causes = none.select(*own, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod"), F.when(F.col("_x._bad").isNotNull(), "unparseable").otherwise("unknown root").alias("cause"))
     rows = urls.unionAll(kids).filter(F.coalesce("loc", F.lit("")) != "").withColumn("cause", F.lit(None).cast("string"))
     return rows.unionAll(causes)
 

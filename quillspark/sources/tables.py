@@ -69,6 +69,8 @@ class Tables:
     spark: SparkSession
     sf_dir: str
     made: dict[str, DataFrame] = field(default_factory=dict)
+    #: Snapshots of the logs (operators.states.States), where they are kept.
+    states: object | None = None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
