@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as fn
 from quillspark.functions.rows import shared_dir, written
 from quillspark.operators import effective as eff
-from quillspark.operators import writes
+from quillspark.operators import requests, writes
 from quillspark.operators.frontier import frontier, url_kept, within_budget
 from quillspark.operators.judgments import annotation_totals
 from quillspark.operators.states import States
@@ -636,6 +636,33 @@ def frontier_urls(t: Tables) -> DataFrame:
     return done.select("source", "loc", F.unix_timestamp("lastmod").alias("lastmod"), "rank")
 
 
+@registered("""WITH e AS (SELECT event_id, event_type, user_id % 7 AS u, event_id % 11 AS k, value FROM events),
+r AS (SELECT event_id, 'importance' AS kind, concat_ws('; ', CASE WHEN k = 0 THEN 'identifier missing' END, CASE WHEN k = 1 THEN 'identifier too long' END, CASE WHEN k = 2 OR value / 80.0 > 1 OR value < 0 THEN 'score must be 0 to 1' END, CASE WHEN u = 3 THEN 'rationale too long' END, CASE WHEN u IN (3, 4) THEN 'reporter too long' END) AS reasons FROM e
+UNION ALL SELECT event_id, 'flags', concat_ws('; ', CASE WHEN k = 0 THEN 'identifier missing' END, CASE WHEN k = 1 THEN 'identifier too long' END, CASE WHEN u = 5 THEN 'unknown reason' END, CASE WHEN u = 6 AND k % 2 = 0 THEN 'detail missing' END, CASE WHEN k = 5 THEN 'detail too long' END, CASE WHEN u IN (3, 4) THEN 'reporter too long' END) FROM e
+UNION ALL SELECT event_id, 'picks', concat_ws('; ', CASE WHEN u = 0 THEN 'digest_date must be an ISO date' END, CASE WHEN k = 3 THEN 'identifiers missing' END, CASE WHEN k = 4 THEN 'identifiers must not be blank' END, CASE WHEN u IN (3, 4) THEN 'reporter too long' END) FROM e
+UNION ALL SELECT event_id, 'period', concat_ws('; ', CASE WHEN u = 0 THEN 'from must be an ISO date' END, CASE WHEN u <> 0 AND k > 6 THEN 'the period ends before it starts' END, CASE WHEN k IN (0, 10) THEN 'limit must be 1 to 100' END, CASE WHEN value / 80.0 > 1 OR value < 0 THEN 'min_importance must be 0 to 1' END, CASE WHEN k = 4 THEN 'topic tags must not be blank' END) FROM e)
+SELECT event_id, kind, reasons FROM r""")
+def request_reasons(t: Tables) -> DataFrame:
+    """Requests of four kinds made of every event, with all that is wrong with each; an empty text for those that are valid."""
+    u, k = F.col("user_id") % 7, F.col("event_id") % 11
+    score = F.when(k == 2, F.lit(None)).otherwise(F.col("value") / 80.0)
+    long = lambda n: F.repeat(F.lit("x"), n)
+    e = t.raw("events").withColumns({
+        "key": F.when(k == 0, "  ").when(k == 1, long(2049)).otherwise(" https://a.example/1 "), "score": score, "min_importance": F.col("value") / 80.0,
+        "rationale": F.when(u == 3, long(2001)), "reporter": F.when(u.isin(3, 4), long(101)).otherwise(" "), "reason": F.when(u == 5, "nonsense").when(u == 6, "other"),
+        "detail": F.when(k == 5, long(2001)).when(k % 2 == 0, " ").otherwise("why"), "digest_date": F.when(u == 0, "2024-13-01").when(u == 1, "2024-01-01T05:00:00Z").otherwise("2024-01-01"),
+        "keys": F.when(k == 3, F.lit(None)).when(k == 4, F.array(F.lit("a"), F.lit(" "))).otherwise(F.array().cast("array<string>")),
+        "from": F.when(u == 0, "yesterday").otherwise("2024-01-07"), "to": F.concat(F.lit("2024-01-"), F.lpad((13 - k).cast("string"), 2, "0")), "limit": F.when(k == 10, 101).otherwise(k.cast("int")),
+        "topics": F.when(k == 4, F.array(F.lit(""))),
+    })
+    out = None
+    for kind in ("importance", "flags", "picks", "period"):
+        good, bad = requests.validate(e, kind)
+        one = good.select("event_id", F.lit(kind).alias("kind"), F.lit("").alias("reasons")).unionAll(bad.select("event_id", F.lit(kind), F.array_join("reject_reasons", "; ")))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 class _Until:
     """The tables with the rows of their logs up to a day."""
 
