@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.store import fixed, fresh, spread_join, table
+from quillspark.llm.store import fixed, fresh, hot_join, table
 
 MIN_CHARS = 40
 LINE_FEEDS = r"(?<=\n)"
@@ -46,11 +46,11 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int, cut
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, cut: str = CUT) -> DataFrame:
     """(_id, _k, _gone): for each text with lines to remove, their positions."""
     w = table(window_rows(docs, id_col, text_col, min_chars, cut), "line-windows")
-    seen = w.filter(~F.col("_again")).groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.max(F.col("_id").isNull()).alias("_null"))
-    seen = seen.filter((F.col("_first") < F.col("_last")) | (F.col("_null") & F.col("_first").isNotNull())).select("_h", "_first")
+    seen = w.filter(~F.col("_again")).groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.max(F.col("_id").isNull()).alias("_null"), F.count("*").alias("_n"))
+    seen = seen.filter((F.col("_first") < F.col("_last")) | (F.col("_null") & F.col("_first").isNotNull())).select("_h", "_first", "_n")
     seen = table(seen, "line-repeats")
-    # a window may be in a third of all texts: its rows are dealt over tasks
-    later = spread_join(w.filter(~F.col("_again")), seen, ["_h"], F.xxhash64("_id", "_k")).filter((F.col("_id") > F.col("_first")) | F.col("_id").isNull())
+    # a window may be in a third of all texts: the rows of such aren't shuffled
+    later = hot_join(w.filter(~F.col("_again")), seen, "_h", "_n").filter((F.col("_id") > F.col("_first")) | F.col("_id").isNull())
     gone = later.select("_id", "_k", "_pos").unionAll(w.filter("_again").select("_id", "_k", "_pos"))
     gone = gone.groupBy("_id", "_k").agg(F.collect_set("_pos").alias("_gone"))
     return gone.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.array(p, p + 1, p + 2)))))

@@ -68,6 +68,26 @@ def spread_join(rows: DataFrame, one: DataFrame, on: list[str], by: Column, how:
     return d.join(per.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
+#: Keys that hot_join may broadcast, at most.
+HOT_KEYS = 100_000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, on: str, n: str) -> DataFrame:
+    """rows (inner) with the columns of `one`, a written table with a row a key and, as `n`, how many rows have that key.
+
+    Keys of over 1/HOT_KEYS of all these rows (and of 100 at least) are fewer than HOT_KEYS: they are
+    broadcast, so their rows stay where they lie. All other keys meet their rows by a shuffle.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    most = max(100, total // HOT_KEYS)
+    names = [c for c in one.columns if c not in (on, n)]
+    hot = one.filter(F.col(n) > most).select(on, F.struct(*names).alias("_hot"))
+    d = rows.join(F.broadcast(hot), on, "left")
+    met = d.filter("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in names])
+    rest = d.filter("_hot is null").drop("_hot").join(one.filter(F.col(n) <= most).select(on, *names).hint("merge"), on)
+    return met.unionAll(rest.select(*rows.columns, *names))
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many leading underscores as make it none of the columns (in any case)."""
     taken, out = {c.lower() for c in columns}, []
