@@ -66,7 +66,7 @@ def order(floor: float | None) -> list[Column]:
 
 
 def search(t: Tables, kw: str, limit: int = 20, exclude_read: bool = False, min_importance: float | None = None, topics=None) -> DataFrame:
-    docs = t.documents.filter(keyword(kw))
+    docs = t.documents.filter(keyword(kw)) if t.keywords is None else t.keywords.search(kw)
     if min_importance is None and not topics and not exclude_read:  # the order needs documents only
         top = docs.orderBy(*order(None)).limit(limited(limit))
         d = with_source(eff.with_state(top, t, few=True), t.sources).orderBy(*order(None))

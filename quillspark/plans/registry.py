@@ -14,6 +14,7 @@ from quillspark.operators import effective as eff
 from quillspark.operators import requests, writes
 from quillspark.operators.frontier import frontier, url_kept, within_budget
 from quillspark.operators.judgments import annotation_totals
+from quillspark.operators.keywords import KeywordIndex
 from quillspark.operators.states import States
 from quillspark.operators.upsert import quarantine, upsert_documents
 from quillspark.plans import jobs
@@ -663,6 +664,23 @@ def request_reasons(t: Tables) -> DataFrame:
     return out
 
 
+_KEYWORDS = ("tion", "t_on%ha", "on", "Ünge", "zzqqzz")
+
+
+@registered(f"""SELECT id, kw FROM v_documents, (VALUES {", ".join(f"('{k}')" for k in _KEYWORDS)}) v(kw) WHERE title ILIKE '%' || kw || '%' OR content ILIKE '%' || kw || '%'""", "documents")
+def keyword_hits(t: Tables) -> DataFrame:
+    """Documents of several keywords through an index of trigrams, made for the documents in files by their time."""
+    where = f"{shared_dir(t.spark)}/quillspark-keywords-{uuid.uuid4().hex}"
+    t.documents.select("id", "title", "content", "published_at").repartitionByRange(16, "published_at").write.parquet(f"{where}/documents")
+    index = KeywordIndex(t.spark, f"{where}/index", f"{where}/documents")
+    index.update()
+    out = None
+    for kw in _KEYWORDS:
+        one = index.search(kw).select("id", F.lit(kw).alias("kw"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 class _Until:
     """The tables with the rows of their logs up to a day."""
 

@@ -71,6 +71,8 @@ class Tables:
     made: dict[str, DataFrame] = field(default_factory=dict)
     #: Snapshots of the logs (operators.states.States), where they are kept.
     states: object | None = None
+    #: The index of the documents' trigrams (operators.keywords.KeywordIndex), where there is one.
+    keywords: object | None = None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
