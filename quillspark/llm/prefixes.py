@@ -372,3 +372,22 @@ def trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     heads = met.filter("tailed").withColumn("depth", F.col("depth") + 1)
     heads = heads.select(F.col("conv").alias("conv_id"), "depth", F.col("owner").alias("parent_conv_id"), long(1).alias("n_convs"), more.cast("long").alias("n_children"), long(1).alias("n_leaves"), long(0).alias("saved_tokens"), sha(~more).alias("ends_sha256"))
     return groups.select(names).unionByName(heads.select(names)).unionByName(tails.select(names))
+
+
+#: The rows of the op11 query, for DuckDB. A node's key is the digests of its turns, so its ancestors' are prefixes of it.
+ORACLE_SQL = """
+WITH t AS MATERIALIZED (SELECT conv_id AS c, md5(length(r)::VARCHAR || ':' || r || x) AS m, length(x) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r)::VARCHAR || ':' || r || x)) AS p
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL) a),
+h AS MATERIALIZED (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT c FROM t) d),
+head AS (SELECT h.c, b.p AS d, b.m, b.n FROM h JOIN t b ON b.c = h.c - h.c % 100 AND b.p <= h.h),
+e AS (SELECT * FROM head UNION ALL SELECT t.c, coalesce(k.k, 0) + t.p - h.h, t.m, t.n FROM t JOIN h ON h.c = t.c LEFT JOIN (SELECT c, count(*) AS k FROM head GROUP BY c) k ON k.c = t.c WHERE t.p > h.h),
+k AS MATERIALIZED (SELECT c, d, n, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS key FROM e UNION ALL SELECT c, 0, 0, '' FROM h),
+s AS MATERIALIZED (SELECT c, max(d) AS size FROM k GROUP BY c),
+v AS MATERIALIZED (SELECT d, key, min(k.c) AS owner, count(*) AS n_convs, max(n) AS n, string_agg(k.c::VARCHAR, ',' ORDER BY k.c) FILTER (size = d) AS ends FROM k JOIN s ON s.c = k.c GROUP BY d, key),
+ch AS (SELECT d - 1 AS d, left(key, (32 * (d - 1))::BIGINT) AS key, count(*) AS n FROM v WHERE d > 0 GROUP BY 1, 2),
+u AS (SELECT v.*, coalesce(ch.n, 0) AS n_children FROM v LEFT JOIN ch ON ch.d = v.d AND ch.key = v.key),
+a AS (SELECT g.up AS d, left(u.key, (32 * g.up)::BIGINT) AS key, sum((u.n_convs - 1) * u.n) AS saved, count(*) FILTER (u.n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM u) g JOIN u ON u.d = g.d AND u.key = g.key GROUP BY 1, 2)
+SELECT u.owner AS conv_id, u.d::BIGINT AS depth, p.owner AS parent_conv_id, u.n_convs, u.n_children, a.leaves AS n_leaves, a.saved::BIGINT AS saved_tokens, sha256(coalesce(u.ends, '')) AS ends_sha256
+  FROM u JOIN a ON a.d = u.d AND a.key = u.key LEFT JOIN v p ON p.d = u.d - 1 AND p.key = left(u.key, greatest(32 * (u.d - 1), 0)::BIGINT)
+"""

@@ -110,4 +110,4 @@ QUERIES = {
         op13_order_packing,
     )
 }
-ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL, "op5_divergence_rules": rules.ORACLE_SQL, "op7_line_windows": lines.ORACLE_SQL, "op10_markov_secrets": secrets.ORACLE_SQL}
+ORACLES = {"op3_pareto_mixing": mixing.ORACLE_SQL, "op5_divergence_rules": rules.ORACLE_SQL, "op7_line_windows": lines.ORACLE_SQL, "op10_markov_secrets": secrets.ORACLE_SQL, "op11_prefix_trie": prefixes.ORACLE_SQL}

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from quillspark.llm import prefixes
@@ -101,4 +102,8 @@ def test_odd_rows(spark):
 def test_query_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    assert sorted(map(tuple, op11_prefix_trie(spark, sf).collect()), key=lambda r: (r[1], r[0])) == plain(rows)
+    got = sorted(map(tuple, op11_prefix_trie(spark, sf).collect()), key=lambda r: (r[1], r[0]))
+    assert got == plain(rows)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    assert sorted(con.sql(prefixes.ORACLE_SQL).fetchall(), key=lambda r: (r[1], r[0])) == got
