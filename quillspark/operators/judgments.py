@@ -48,7 +48,9 @@ def read_off(judgments: DataFrame) -> DataFrame:
     """(document_id, topics, score, rationale, cause) of each judged document."""
     ids = judgments.select("document_id").distinct()
     pillar, region = (choice_tags(judgments, a).withColumnRenamed("tags", f"_{a}") for a in ("pillar", "region"))
-    d = ids.join(pillar, "document_id", "left").join(region, "document_id", "left").join(content_type_tag(judgments), "document_id", "left").join(digest_importance(judgments), "document_id", "left")
+    d = ids
+    for part in (pillar, region, content_type_tag(judgments), digest_importance(judgments)):
+        d = d.join(part.hint("merge"), "document_id", "left")
     none = F.array().cast("array<string>")
     topics = F.concat(F.coalesce("_pillar", none), F.coalesce("_region", none), F.when(F.col("tag").isNotNull(), F.array("tag")).otherwise(none))
     suppressed = (F.size(topics) == 0) & F.col("score").isNull() & F.col("cause").isNull()

@@ -48,7 +48,7 @@ def apply_topics(reqs: DataFrame, docs: DataFrame, log: DataFrame) -> tuple[Data
     r = r.withColumn("reject_reason", _reject((F.col("document_id").isNull(), "unknown document"), (F.col("tags").isNull() | blank, "blank topic"), (F.coalesce("_unknown", F.lit(False)), "unknown topic"), (long, "reporter too long")))
     ok, bad = _split(r)
     now = assigned_topics(log).groupBy("document_id").agg(F.collect_list("topic_slug").alias("_now"))
-    ok = ok.join(now, "document_id", "left")
+    ok = ok.join(now.hint("merge"), "document_id", "left")
     turn = Window.partitionBy("document_id").orderBy(*_ORDER)
     none = F.array().cast("array<string>")
     ok = ok.withColumn("before", F.coalesce(F.lag("wanted").over(turn), F.col("_now"), none))
@@ -99,12 +99,12 @@ def record_picks(reqs: DataFrame, picks: DataFrame, docs: DataFrame) -> tuple[Da
     """
     r = resolve(reqs.select("digest_date", "reporter", "request_ts", F.explode("keys").alias("key")), docs)
     bad = r.filter("document_id is null").select("digest_date").distinct()
-    want = r.join(bad, "digest_date", "left_anti").groupBy("digest_date", "document_id").agg(F.max("reporter").alias("_reporter"), F.max("request_ts").alias("_ts"))
-    dates = reqs.select("digest_date").join(bad, "digest_date", "left_anti").distinct()
-    have = picks.join(dates, "digest_date", "left_semi").withColumn("_has", F.lit(True))
-    d = want.withColumn("_wants", F.lit(True)).join(have, ["digest_date", "document_id"], "full_outer")
+    want = r.join(bad.hint("merge"), "digest_date", "left_anti").groupBy("digest_date", "document_id").agg(F.max("reporter").alias("_reporter"), F.max("request_ts").alias("_ts"))
+    dates = reqs.select("digest_date").join(bad.hint("merge"), "digest_date", "left_anti").distinct()
+    have = picks.join(dates.hint("merge"), "digest_date", "left_semi").withColumn("_has", F.lit(True))
+    d = want.withColumn("_wants", F.lit(True)).join(have.hint("merge"), ["digest_date", "document_id"], "full_outer")
     change = F.when(F.col("_has").isNull(), "added").when(F.col("_wants").isNull(), "removed").otherwise("kept")
-    return d.select("digest_date", "document_id", F.coalesce("_reporter", "reporter").alias("reporter"), F.coalesce("created_at", "_ts").alias("created_at"), change.alias("change")), reqs.join(bad, "digest_date", "left_semi")
+    return d.select("digest_date", "document_id", F.coalesce("_reporter", "reporter").alias("reporter"), F.coalesce("created_at", "_ts").alias("created_at"), change.alias("change")), reqs.join(bad.hint("merge"), "digest_date", "left_semi")
 
 
 def clear_picks(dates: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame]:

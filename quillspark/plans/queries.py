@@ -41,7 +41,7 @@ def limited(limit: int) -> int:
 
 def with_source(df: DataFrame, sources: DataFrame, how: str = "left") -> DataFrame:
     """df with the name of its source; the sources are broadcast where they are few."""
-    s = small(sources.select(F.col("id").alias("_s"), F.col("name").alias("source")))
+    s = small(sources.select(F.col("id").alias("_s"), F.col("name").alias("source")), of=sources)
     return df.join(s, F.col("source_id") == F.col("_s"), how).drop("_s")
 
 

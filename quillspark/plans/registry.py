@@ -20,7 +20,7 @@ from quillspark.operators.upsert import quarantine, upsert_documents
 from quillspark.plans import jobs
 from quillspark.plans import queries as q
 from quillspark.sources import pages
-from quillspark.sources.feeds import choose_feed, diagnose_feeds, parse_feeds, parse_sitemaps, plan_frames
+from quillspark.sources.feeds import choose_feed, diagnose_feeds, frame_results, frame_work, parse_feeds, parse_sitemaps, plan_frames
 from quillspark.sources.tables import Tables, oracle_prelude
 
 START, END = datetime(2024, 1, 8, 5, tzinfo=timezone.utc), datetime(2024, 1, 22, 5, tzinfo=timezone.utc)
@@ -681,6 +681,31 @@ def keyword_hits(t: Tables) -> DataFrame:
     return out
 
 
+@registered("""WITH f AS (SELECT conv_id AS document_id, turn AS frame_index, sha256(left(text, 40)) AS g, text FROM conversations),
+r AS (SELECT g, CASE WHEN ascii(g) % 3 = 0 THEN NULL ELSE 'text of ' || left(g, 8) END AS t FROM (SELECT DISTINCT g FROM f) x),
+p AS (SELECT *, row_number() OVER (PARTITION BY document_id, g ORDER BY frame_index) = 1 AS first FROM f),
+q AS (SELECT *, first AND coalesce(sum(first::INT) OVER (PARTITION BY document_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS over FROM p),
+c AS (SELECT *, bool_or(over) OVER (PARTITION BY document_id, g) AS capped FROM q),
+w AS (SELECT DISTINCT g FROM c WHERE first AND NOT over)
+SELECT document_id, frame_index, CASE WHEN NOT capped AND w.g IS NOT NULL THEN r.t END AS image_text, CASE WHEN capped THEN 'over the cap of 3 frames' WHEN w.g IS NULL THEN 'not transcribed' WHEN r.t IS NULL THEN 'failed ' || left(c.g, 8) END AS cause
+  FROM c LEFT JOIN r ON r.g = c.g LEFT JOIN w ON w.g = c.g""")
+def frames_transcribed(t: Tables) -> DataFrame:
+    """Frames of posts, at most three different ones each, with what the transcription of their digests gave in two runs."""
+    f = t.raw("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("frame_index"), F.sha2(F.substring("text", 1, 40), 256).alias("digest"))
+    part = F.substring("digest", 1, 8)
+
+    def transcribe(work: DataFrame) -> DataFrame:
+        bad = F.ascii("digest") % 3 == 0
+        return written(work.select("digest", F.when(~bad, F.concat(F.lit("text of "), part)).alias("image_text"), F.when(bad, F.concat(F.lit("failed "), part)).alias("error")), "frame-results")
+
+    half = f.filter("document_id % 2 = 0")  # an earlier run saw these posts
+    work, _ = frame_work(half, most=3)
+    results = transcribe(work)
+    work, planned = frame_work(f, results, most=3)
+    results = results.unionAll(transcribe(work))
+    return frame_results(planned, results, most=3).select("document_id", "frame_index", "image_text", "cause")
+
+
 class _Until:
     """The tables with the rows of their logs up to a day."""
 

@@ -150,6 +150,34 @@ def plan_frames(frames: DataFrame, most: int = 20, digest: str = "digest") -> Da
     return d.withColumn("over_cap", F.col("first_seen") & (F.coalesce(F.sum(F.col("first_seen").cast("int")).over(before), F.lit(0)) >= most))
 
 
+def frame_work(frames: DataFrame, results: DataFrame | None = None, most: int = 20, digest: str = "digest") -> tuple[DataFrame, DataFrame]:
+    """(work, planned) of the frames (document_id, frame_index, digest) of posts.
+
+    work: (digest), each different frame once over all posts, without those over the cap of all their posts
+    and those that `results` (digest, image_text, error), the store of earlier runs, has already.
+    """
+    planned = plan_frames(frames, most, digest)
+    wanted = planned.filter(~F.col("over_cap") & F.col("first_seen")).select(digest).distinct()
+    if results is not None:
+        wanted = wanted.join(results.select(digest).distinct().hint("merge"), digest, "left_anti")
+    return wanted, planned
+
+
+def frame_results(planned: DataFrame, results: DataFrame, digest: str = "digest", most: int = 20) -> DataFrame:
+    """planned with image_text and cause: the first text or failure of a digest goes to all its duplicates, in any post.
+
+    results: (digest, image_text, error), of one row a digest at least; of several, one with a text counts,
+    then the least. A frame that is over the cap gets that cause; a duplicate in a post follows its first one.
+    """
+    order = F.struct(F.col("image_text").isNull(), F.coalesce("image_text", "error"))
+    one = results.groupBy(digest).agg(F.min_by(F.struct("image_text", "error"), order).alias("_r"))
+    capped = planned.filter("over_cap").select("document_id", digest, F.lit(True).alias("_capped"))
+    d = planned.join(one.hint("merge"), digest, "left").join(capped.hint("merge"), ["document_id", digest], "left")
+    over = F.coalesce("_capped", F.lit(False))
+    cause = F.when(over, F.format_string("over the cap of %d frames", F.lit(most))).when(F.col("_r").isNull(), "not transcribed").when(F.col("_r.image_text").isNull(), F.coalesce("_r.error", F.lit("no result")))
+    return d.withColumn("image_text", F.when(~over, F.col("_r.image_text"))).withColumn("cause", cause).drop("_r", "_capped")
+
+
 def archive_fresh(loc: Column, now: Column, days: int = 60) -> Column:
     """The path names a year and month (/2026/08 or /2026/august) that began at most `days` before now; false where it names none."""
     shape = r"/(\d{4})/([A-Za-z]{3,9}|\d{1,2})(?=[./]|$)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,13 @@ def oracle_prelude(*names: str) -> str:
     return "WITH " + ",\n".join(out)
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else as it is for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Whether a table was found to be small; it is counted once, not for every plan that joins it.
+_SMALL: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def small(df: DataFrame, most: int = 100_000, of: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, else as it is for a shuffled join; of: the table that df selects columns of."""
+    of = df if of is None else of
+    if of not in _SMALL:
+        _SMALL[of] = of.limit(most + 1).count() <= most
+    return F.broadcast(df) if _SMALL[of] else df
