@@ -706,6 +706,31 @@ def frames_transcribed(t: Tables) -> DataFrame:
     return frame_results(planned, results, most=3).select("document_id", "frame_index", "image_text", "cause")
 
 
+def marked_pages(t: Tables) -> DataFrame:
+    """Pages made of the documents: commented-out and real meta tags, links with their attributes in any order, JSON-LD graphs, authors in three forms."""
+    n = F.col("doc_id")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    esc = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    author = F.when(n % 3 == 0, F.concat(F.lit("<meta content='W "), n % 9, F.lit("' name=author>"))).otherwise("")
+    link = F.when(n % 2 == 0, F.concat(F.lit('<link href="/articles/'), n + F.when(n % 10 == 4, 1).otherwise(0), F.lit('#top" title="a > b" rel=\'nofollow Canonical\'>'))).otherwise(F.concat(F.lit("<meta content='https://elsewhere.example/"), n, F.lit("' property='og:url'>")))
+    ld = F.concat(F.lit('<script id="x" type="application/ld+json">{"@graph": [{"@type": "WebSite", "headline": "the site"}, {"@type": "NewsArticle", "headline": "H '), n, F.lit('", "datePublished": "2024-01-'), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit('T05:00:00Z"'), F.when(n % 3 == 1, F.concat(F.lit(', "author": [{"name": "LD '), n % 7, F.lit('"}]'))).otherwise(""), F.lit("}]}</script>"))
+    og = F.when(n % 4 > 0, F.concat(F.lit('<meta content="T '), n, F.lit(' &amp; more" property="og:title"/>'))).otherwise("")
+    anchor = F.when(n % 3 == 2, F.concat(F.lit('<a href="/w" class="byline author-name">By '), F.element_at(F.array(F.lit("Ann"), F.lit("Bob")), (n % 2 + 1).cast("int")), F.lit("</a>"))).otherwise("")
+    html = F.concat(F.lit('<html><head><!-- <meta property="og:title" content="old"> <link rel="canonical" href="/articles/0"> -->'), og, author, link, ld, F.lit("</head><body>"), anchor, F.lit("<article class='a'><!-- not > this --><p>"), esc, F.lit("</p><script>var x = '<p>'</script></article></body></html>"))
+    return t.raw("documents").select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example/a/"), n, F.lit("?u=1")).alias("url"), html.alias("html"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("retrieved_at"))
+
+
+@registered(r"""WITH d AS (SELECT doc_id AS n, source, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM documents),
+e AS (SELECT *, 'https://' || source || '.example/a/' || n::VARCHAR || '?u=1' AS url, CASE WHEN content = '' THEN 'no title or body' WHEN n % 10 = 4 THEN 'reused id' END AS cause, CASE WHEN n % 4 > 0 THEN 'T ' || n::VARCHAR || ' & more' ELSE 'H ' || n::VARCHAR END AS title FROM d)
+SELECT url, cause, CASE WHEN cause IS NULL THEN title END AS title, CASE WHEN cause IS NULL THEN CASE n % 3 WHEN 0 THEN 'W ' || (n % 9)::VARCHAR WHEN 1 THEN 'LD ' || (n % 7)::VARCHAR ELSE 'By ' || ['Ann', 'Bob'][(n % 2 + 1)::INT] END END AS author,
+       CASE WHEN cause IS NULL THEN epoch(TIMESTAMP '2024-01-01 05:00:00' + (n % 28) * INTERVAL 1 DAY)::BIGINT END AS published, CASE WHEN cause IS NULL THEN 'https://' || source || '.example/' || CASE WHEN n % 2 = 0 THEN 'articles/' ELSE 'a/' END || n::VARCHAR END AS canonical_url,
+       CASE WHEN cause IS NULL THEN sha256(title || chr(10) || content) END AS content_hash FROM e""")
+def pages_marked_up(t: Tables) -> DataFrame:
+    good, bad = pages.extract_articles(marked_pages(t))
+    good = good.select("url", F.lit(None).cast("string").alias("cause"), "title", "author", F.unix_timestamp("published_at").alias("published"), "canonical_url", "content_hash")
+    return good.unionByName(bad.select("url", "cause"), allowMissingColumns=True)
+
+
 class _Until:
     """The tables with the rows of their logs up to a day."""
 

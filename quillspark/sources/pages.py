@@ -25,11 +25,29 @@ def _first(html: Column, *patterns: str) -> Column:
     return fn.strip_html(_choose(*[F.regexp_extract(html, _TAG + p, 1) for p in patterns]))
 
 
+#: What a tag holds: quoted values may hold a closing bracket.
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+
+
+def without_comments(html: Column) -> Column:
+    """Markup without what is commented out; most pages have no comment and aren't copied."""
+    return F.when(F.contains(html, F.lit("<!--")), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(html)
+
+
+def tags(html: Column, name: str) -> Column:
+    """The opening tags of a name, in order, whole."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b{_INSIDE}>"), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not, wherever it stands in the tag; null if it is empty or missing."""
+    forms = [rf'(?is)\s(?:{name})\s*=\s*{q}([^{q}]*){q}' for q in "\"'"] + [rf"(?is)\s(?:{name})\s*=\s*([^\s\"'>]+)"]
+    return _choose(*[F.regexp_extract(tag, p, 1) for p in forms])
+
+
 def metas(html: Column) -> Column:
     """array<struct<name, value>>: the meta tags of a page that have both, in order; one pass over the page."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
-    quoted = lambda tag, key: _choose(*[F.regexp_extract(tag, rf"(?i)\b(?:{key})\s*=\s*{q}([^{q}]*){q}", 1) for q in "\"'"])
-    found = F.transform(tags, lambda t: F.struct(F.lower(quoted(t, "property|name")).alias("name"), quoted(t, "content").alias("value")))
+    found = F.transform(tags(html, "meta"), lambda t: F.struct(F.lower(attribute(t, "property|name")).alias("name"), attribute(t, "content").alias("value")))
     return F.filter(found, lambda m: m["name"].isNotNull() & (F.trim(m["value"]) != ""))
 
 
@@ -110,7 +128,7 @@ def extract_title(h: Head) -> Column:
 
 
 def extract_author(h: Head) -> Column:
-    by_class = _first(h.html, r"""<a[^>]+class=["'][^"']*author[^"']*["'][^>]*>(.*?)</a>""")
+    by_class = _first(h.html, r"""<a\b[^>]*\sclass\s*=\s*["']?[^"'>]*author[^>]*>(.*?)</a>""")
     plain = F.when(~by_class.rlike("(?i)@|http") & by_class.rlike(r"\p{L}"), by_class)
     return _choose(h.meta("author"), h.meta("article:author"), fn.strip_html(h.ld_author()), plain, h.header("Author"))
 
@@ -134,7 +152,10 @@ def extract_body(h: Head, extractor: Column | None = None) -> Column:
 
 
 def declared_link(h: Head) -> Column:
-    return _choose(F.regexp_extract(h.html, _TAG + r"""<link[^>]+rel=["']canonical["'][^>]*href=["']([^"']+)["']""", 1), h.meta("og:url"))
+    """The address of the first link of that relation, whatever the order of its attributes; else og:url."""
+    links = F.transform(tags(h.html, "link"), lambda t: F.struct(F.split(F.lower(F.trim(attribute(t, "rel"))), r"\s+").alias("rel"), F.trim(attribute(t, "href")).alias("href")))
+    own = F.get(F.filter(links, lambda x: F.coalesce(F.array_contains(x["rel"], "canonical"), F.lit(False)) & (x["href"] != "")), F.lit(0))["href"]
+    return _choose(own, h.meta("og:url"))
 
 
 def declared_canonical(link: Column, base: Column) -> Column:
@@ -158,7 +179,8 @@ def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     has = lambda name, default: F.coalesce(F.col(name), default) if name in landing.columns else default
     lastmod = F.col("lastmod") if "lastmod" in landing.columns else F.lit(None).cast("timestamp")
     guard, extractor = has("id_guard", F.lit(True)), has("extractor", F.lit("generic")) if "extractor" in landing.columns else None
-    d, h = head(landing, "html", has("is_md", F.lit(False)))
+    bare = F.when(has("is_md", F.lit(False)), F.col("html")).otherwise(without_comments(F.col("html")))
+    d, h = head(landing.withColumn("html", bare), "html", has("is_md", F.lit(False)))
     for name, value in (("title", extract_title(h)), ("author", extract_author(h)), ("published_at", extract_published(h, lastmod, F.col("retrieved_at"))), ("content", extract_body(h, extractor)), ("_link", declared_link(h)), ("declared", declared_canonical(F.col("_link"), F.col("url")))):
         d = fixed(d, name, value)
     empty = F.col("title").isNull() | (F.trim("content") == "")
