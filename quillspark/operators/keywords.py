@@ -10,14 +10,23 @@ and files that aren't indexed yet are always read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import fixed
+
 GRAM = 3
 BUCKETS = 64
 #: Characters of a text whose trigrams are made at once.
 PIECE = 4096
+#: Pieces of a text, in one walk through it; each goes GRAM - 1 characters into the next, so that no trigram is lost.
+PIECES = rf"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"
+#: Characters whose trigrams are sorted at once.
+SORTED = 1 << 20
 
 
 def like(kw: str, *columns: str) -> Column:
@@ -42,12 +51,49 @@ def pieces(kw: str) -> list[str]:
     return [p for p in [*out, part] if p]
 
 
-def grams(text: Column) -> Column:
-    """Each different trigram of a text, lower-cased; an empty array for a text under three characters."""
-    low = F.lower(text)
-    n = F.length(low) - GRAM + 1
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(low, i, F.lit(GRAM)))
-    return F.when(n >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+def _distinct_grams(texts: list[str]) -> list[str]:
+    """The different trigrams of the texts; none goes from one text into the next."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) < GRAM:
+        return []
+    keys = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
+    ends = np.cumsum([len(x) for x in texts])
+    inside = np.ones(len(codes), bool)
+    for back in range(1, GRAM):
+        inside[ends[ends >= back] - back] = False
+    u = np.unique(keys[inside[: len(keys)]])
+    text = np.stack([u >> np.uint64(42), u >> np.uint64(21) & np.uint64(0x1FFFFF), u & np.uint64(0x1FFFFF)], 1).astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + GRAM] for i in range(0, len(text), GRAM)]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, part) to (file, gram), each trigram once for about SORTED characters of a file."""
+
+    def out(file: str, parts: list[str]) -> pa.RecordBatch:
+        g = _distinct_grams(parts)
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(g), pa.string()), pa.array(g, pa.string())], names=["file", "gram"])
+
+    held: dict[str, tuple[list[str], int]] = {}
+    for batch in batches:
+        for file, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts, size = held.pop(file, ([], 0))
+            parts.append(part)
+            held[file] = (parts, size + len(part))
+            if held[file][1] >= SORTED:
+                yield out(file, held.pop(file)[0])
+        for file in list(held)[:-1]:  # a task reads one file after the other
+            yield out(file, held.pop(file)[0])
+    for file, (parts, _) in held.items():
+        yield out(file, parts)
+
+
+def grams(texts: DataFrame) -> DataFrame:
+    """The different (file, gram) of (file, text): the trigrams of the texts in lower case.
+
+    A text is lower-cased once, whole, and cut in one walk, so the work grows with its length.
+    """
+    d = fixed(texts.select("file", F.lower("text").alias("_low")), "_parts", F.regexp_extract_all("_low", F.lit(PIECES), F.lit(1)))
+    return d.select("file", F.explode("_parts").alias("part")).mapInArrow(_grams, "file string, gram string").distinct()
 
 
 def _bucket(gram: Column) -> Column:
@@ -85,10 +131,7 @@ class KeywordIndex:
             return 0
         docs = self._docs(new).withColumn("file", F.regexp_replace("_metadata.file_path", "^file:/+", "file:///"))
         texts = docs.select("file", F.explode(F.array(*self.columns)).alias("text")).filter("text is not null")
-        # long texts a piece at a time; pieces share two characters, so that no trigram is lost
-        at = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE).cast("int"))
-        parts = texts.select("file", F.explode(F.transform(at, lambda k: F.substr("text", k * PIECE + 1, F.lit(PIECE + GRAM - 1)))).alias("part"))
-        rows = parts.select("file", F.explode(grams(F.col("part"))).alias("gram")).distinct()
+        rows = grams(texts)
         rows.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket").sortWithinPartitions("gram").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/grams")
         # named last: a file whose trigrams are only half written is still read by every search
         self.spark.createDataFrame([(f,) for f in new], "file string").coalesce(1).write.mode("append").parquet(f"{self.path}/files")

@@ -1,7 +1,11 @@
 """The trigram index: the rows of a scan, fewer files."""
 
+import random
+import time
+
 import pytest
 
+from quillspark.operators import keywords
 from quillspark.operators.keywords import KeywordIndex, like, pieces
 
 ROWS = [(i, f"Title {i}", f"common words and number{i:03d} of file" + (" Straße ÉCLAIR" if i == 7 else "") + (" 100%_sure" if i == 9 else "") + ("x" * 4095 + "needle" if i == 11 else "")) for i in range(40)]
@@ -32,3 +36,15 @@ def test_new_files_are_read_before_they_are_indexed(spark, tmp_path):
     assert [r.id for r in index.search("omega").collect()] == [3] and len(index.files("omega")) == 1
     assert index.update() == 1
     assert [r.id for r in index.search("alph").collect()] == [1] and len(index.files("alph")) == 1
+
+
+def test_every_trigram_of_long_texts_in_linear_time(spark):
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ÉŞ\n𝔸😀0123") for _ in range(400_000))
+    rows = [("a", long), ("a", "xy"), ("a", "Z"), ("a", ""), ("b", "ΑΣ" * 20), ("b", "İi")]
+    want = {(f, x.lower()[i : i + 3]) for f, x in rows for i in range(len(x.lower()) - 2)}
+    t = time.time()
+    texts = spark.createDataFrame(rows, "file string, text string")
+    got = keywords.grams(texts).collect()
+    # lower-casing and counting from the start of the piece for each trigram took a minute for 100,000 characters
+    assert len(got) == len(want) and {tuple(g) for g in got} == want and time.time() - t < 60
