@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import markers
 from quillspark.functions import text as fn
+from quillspark.functions.rows import dealt, fixed, written
 from quillspark.functions.vocabulary import canonicalize_topics
 from quillspark.operators.effective import assigned_topics, capped, resolve
 
@@ -75,9 +76,11 @@ def apply_reads(reqs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def apply_flags(reqs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flags of the seven reasons (`other` needs a detail); a null reason clears. Every row of the address is meant."""
-    key = fn.canonicalize_url(F.col("key"))
+    # the requests, with their canonical addresses, are made once
+    keyed = written(fixed(dealt(reqs), "_canon", fn.canonicalize_url(F.col("key"))), "flag-requests")
+    reqs = keyed.drop("_canon")
     by_url = reqs.join(docs.select(F.col("id").alias("document_id"), F.col("url").alias("_u")), F.col("key") == F.col("_u")).drop("_u")
-    by_canon = reqs.join(docs.select(F.col("id").alias("document_id"), F.col("canonical_url").alias("_u")), key == F.col("_u")).drop("_u")
+    by_canon = keyed.join(docs.select(F.col("id").alias("document_id"), F.col("canonical_url").alias("_u")), F.col("_canon") == F.col("_u")).drop("_u", "_canon")
     hit = by_url.unionByName(by_canon).distinct()
     missing = reqs.join(hit.select(*_ORDER).distinct(), list(_ORDER), "left_anti").withColumn("document_id", F.lit(None).cast(hit.schema["document_id"].dataType))
     detail = F.trim(F.coalesce("detail", F.lit("")))

@@ -129,3 +129,11 @@ def test_scorer(spark):
     d = spark.createDataFrame([(1, "t", "s", "c" * 5_000)], "id long, title string, source string, content string")
     assert [(r.document_id, r.topics) for r in read_off(judged(d, scorer)).collect()] == [(1, ["ai"])]
     assert len(model_input(d).first().content) == 3_000
+
+
+def test_requests_of_one_task_are_dealt_before_their_addresses_are_worked_out(spark):
+    docs = spark.createDataFrame([(i, f"https://a.example/{i}?x=1", f"https://a.example/{i}") for i in range(40)], "id long, url string, canonical_url string")
+    reqs = spark.createDataFrame([(f" https://A.example/{i}#top ", "thin", None, "me", datetime(2024, 1, 1), i) for i in range(40)], "key string, reason string, detail string, reporter string, request_ts timestamp, seq long").coalesce(1)
+    ok, bad = writes.apply_flags(reqs, docs)
+    assert sum("flag-requests" in f for f in set(ok.inputFiles())) > 1  # one task did all rows before
+    assert sorted(r.document_id for r in ok.collect()) == list(range(40)) and bad.count() == 0
