@@ -9,6 +9,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import once
+
 #: Fixed values.
 PAYWALL_PHRASES = ("subscribe to continue reading", "subscribe to read", "to continue reading this story", "this article is for subscribers", "subscriber-only content", "members-only content")
 FLAG_REASONS = ("thin", "js_shell", "paywall_challenge", "truncated", "wrong_body", "unrecoverable", "other")
@@ -66,9 +68,13 @@ def _entity(name: Column) -> Column:
 def unescape(c: Column) -> Column:
     """Entities as the characters they stand for; what isn't one stays."""
     pattern = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-    gaps, names = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    parts = F.zip_with(gaps, names, lambda g, n: F.concat(g, F.when(n.isNull(), "").otherwise(F.coalesce(_entity(n), F.concat(F.lit("&"), n, F.lit(";"))))))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+    def plain(c: Column) -> Column:
+        gaps, names = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+        parts = F.zip_with(gaps, names, lambda g, n: F.concat(g, F.when(n.isNull(), "").otherwise(F.coalesce(_entity(n), F.concat(F.lit("&"), n, F.lit(";"))))))
+        return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+    return once(c, plain)
 
 
 def strip_html(c: Column) -> Column:

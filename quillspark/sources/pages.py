@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as fn
 from quillspark.functions.markers import reject_cause
-from quillspark.functions.rows import fixed
+from quillspark.functions.rows import fixed, once
 from quillspark.functions.text import parse_time
 
 _TAG = "(?is)"
 
 
 def _choose(*values: Column) -> Column:
-    """The first value that is neither null nor empty; each is computed once."""
-    return F.get(F.filter(F.array(*values), lambda v: v != ""), F.lit(0))
+    """The first value that is neither null nor empty; each is computed once, and those behind it not at all."""
+    return F.coalesce(*[F.get(F.filter(F.array(v), lambda x: x != ""), F.lit(0)) for v in values])
 
 
 def _first(html: Column, *patterns: str) -> Column:
@@ -129,14 +129,14 @@ def extract_title(h: Head) -> Column:
 
 def extract_author(h: Head) -> Column:
     by_class = _first(h.html, r"""<a\b[^>]*\sclass\s*=\s*["']?[^"'>]*author[^>]*>(.*?)</a>""")
-    plain = F.when(~by_class.rlike("(?i)@|http") & by_class.rlike(r"\p{L}"), by_class)
+    plain = once(by_class, lambda x: F.when(~x.rlike("(?i)@|http") & x.rlike(r"\p{L}"), x))
     return _choose(h.meta("author"), h.meta("article:author"), fn.strip_html(h.ld_author()), plain, h.header("Author"))
 
 
 def extract_published(h: Head, lastmod: Column, retrieved: Column) -> Column:
     times = [F.regexp_extract(h.html, _TAG + p, 1) for p in (r"""<time[^>]+datetime=["']([^"']+)["']""", r'"datePublished"\s*:\s*"([^"]+)"')]
     raw = _choose(h.meta("article:published_time"), h.ld("datePublished"), *times, h.header("Published Time"))
-    return F.coalesce(parse_time(raw), lastmod, retrieved)
+    return F.coalesce(once(raw, parse_time), lastmod, retrieved)
 
 
 def extract_body(h: Head, extractor: Column | None = None) -> Column:
@@ -170,8 +170,8 @@ def id_reused(fetched: Column, declared: Column) -> Column:
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), F.lit(False))
 
 
-def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles, rejects) of (url, html, retrieved_at[, lastmod, is_md, extractor, id_guard]).
+def articles(landing: DataFrame) -> DataFrame:
+    """A row for each page of (url, html, retrieved_at[, lastmod, is_md, extractor, id_guard]): what extract_articles gives, with the cause of rejects, in one pass.
 
     is_md: the payload is a provider's Markdown; extractor and id_guard: settings of the source (generic
     and on where there is no such column).
@@ -185,9 +185,16 @@ def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
         d = fixed(d, name, value)
     empty = F.col("title").isNull() | (F.trim("content") == "")
     cause = F.when(empty, reject_cause(h.html, F.lit("no title or body"))).when(guard & id_reused(F.col("url"), F.col("declared")), "reused id")
-    d = d.withColumn("cause", cause)
-    good = d.filter("cause is null").withColumn("canonical_url", fn.canonicalize_url(F.coalesce("declared", "url"))).withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content"))).drop("cause", "declared", "_link", "_metas", "_nodes", "html")
-    return good, d.filter("cause is not null").select(*[c for c in ("source", "url") if c in landing.columns], "cause")
+    d = fixed(d, "cause", cause)
+    of_good = {"canonical_url": fn.canonicalize_url(F.coalesce("declared", "url")), "content_hash": fn.content_hash(F.col("title"), F.col("content"))} | {c: F.col(c) for c in ("title", "author", "published_at", "content")}
+    d = d.withColumns({c: F.when(F.col("cause").isNull(), v) for c, v in of_good.items()})
+    return d.select(*[c for c in landing.columns if c != "html"], "title", "author", "published_at", "content", "canonical_url", "content_hash", "cause")
+
+
+def extract_articles(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(articles, rejects) of pages as articles() takes them; whoever reads both reads the pages twice."""
+    d = articles(landing)
+    return d.filter("cause is null").drop("cause"), d.filter("cause is not null").select(*[c for c in ("source", "url") if c in landing.columns], "cause")
 
 
 def hub_links(landing: DataFrame, pattern: str = "") -> DataFrame:

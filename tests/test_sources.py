@@ -161,3 +161,10 @@ def test_family_hosts(spark):
     urls = [("https://www.NationalJeweler.com/a", True), ("https://nationaljeweler.com", True), ("https://notnationaljeweler.com/a", False), ("https://x.com/nationaljeweler.com", False), (None, False)]
     df = spark.createDataFrame([(u,) for u, _ in urls], "u string")
     assert [r[0] for r in df.select(markers.of_family(F.col("u"))).collect()] == [b for _, b in urls]
+
+
+def test_pages_are_read_once_for_articles_and_rejects(spark):
+    from quillspark.plans import registry
+
+    df = registry.QUERIES["pages_marked_up"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # two extractions of every page before
