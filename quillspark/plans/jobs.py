@@ -14,8 +14,8 @@ from quillspark.operators.effective import capped, resolve
 from quillspark.operators.judgments import REPORTER, annotation_totals, read_off
 from quillspark.operators.upsert import guard_sources, upsert_documents
 from quillspark.plans import queries as q
-from quillspark.sources.feeds import choose_feed, map_posts, parse_feeds, post_frames
-from quillspark.sources.pages import extract_articles
+from quillspark.sources.feeds import choose_feed, map_posts, parsed_feeds, parts, post_frames
+from quillspark.sources.pages import articles
 from quillspark.sources.tables import Tables
 
 
@@ -81,7 +81,7 @@ def chosen_feeds(landing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     entry or can't be parsed. failed: (source, error) of sources without any such feed, the last
     candidate's. A feed that was landed several times is one candidate.
     """
-    items, rejects = (written(d, "ingest-parsed") for d in parse_feeds(landing))
+    items, rejects = parts(written(parsed_feeds(landing), "ingest-parsed"))
     place = F.col("ordinal").cast("long") if "ordinal" in landing.columns else F.lit(0).cast("long")
     listed = landing.groupBy("source", "url").agg(F.min(place).alias("place"))
     full = items.select("source", F.col("feed").alias("url")).unionAll(rejects.filter("item is not null").select("source", "url")).distinct().withColumn("entries", F.lit(1))
@@ -122,7 +122,8 @@ def ingest(
     items, rejects, failed = chosen_feeds(landing)
     docs, unread = _lane(items, "feed"), rejects.select("source", "url", "cause").limit(0)
     if pages is not None:
-        good, bad = extract_articles(pages)
+        read = written(articles(pages), "ingest-pages")
+        good, bad = read.filter("cause is null").drop("cause"), read.filter("cause is not null")
         docs, unread = docs.unionByName(_lane(good, "page")), bad.select("source", "url", "cause")
     modes = policy.select(F.col("name").alias("source"), "mode", "threshold" if "threshold" in policy.columns else F.lit(fn.THIN).alias("threshold")) if policy is not None else sources.select(F.col("name").alias("source"), F.lit("auto").alias("mode"), F.lit(fn.THIN).alias("threshold"))
     docs = docs.join(modes.hint("merge"), "source", "left").withColumn("mode", F.coalesce("mode", F.lit("auto"))).withColumn("threshold", F.coalesce("threshold", F.lit(fn.THIN)))

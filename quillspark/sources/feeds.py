@@ -62,27 +62,35 @@ def _own_link(i: Column) -> Column:
     return F.coalesce(of(lambda x: rel(x) == "alternate"), of(lambda x: rel(x) != "self"), guid)
 
 
-def parse_feeds(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects) of (source, url, body, retrieved_at), RSS or Atom.
+def parsed_feeds(landing: DataFrame) -> DataFrame:
+    """All items of (source, url, body, retrieved_at), RSS or Atom, each feed read once: `cause` says why one is rejected.
 
-    Rejects are (source, url, item, hint, cause): items without title or link, with their link as hint;
-    feeds that can't be parsed or have no item, with what is wrong with them.
+    A feed without items is a row, too, with what is wrong with it.
     """
     d = _feeds(landing)
-    bad = d.filter(F.size("_items") == 0).select("source", "url", F.lit(None).cast("int").alias("item"), F.lit(None).cast("string").alias("hint"), F.when(_diagnosis(d) == "unparseable", "unparseable").otherwise(F.concat(F.lit("empty feed: "), _diagnosis(d))).alias("cause"))
-    items = d.select("source", "url", "retrieved_at", F.posexplode("_items").alias("item", "i"))
+    none = F.when(F.size("_items") == 0, F.when(_diagnosis(d) == "unparseable", "unparseable").otherwise(F.concat(F.lit("empty feed: "), _diagnosis(d))))
+    items = fixed(d, "_none", none).select("source", "url", "retrieved_at", "_none", F.posexplode_outer("_items").alias("item", "i"))
     i = F.col("i")
     full = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
     blocks = F.filter(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("i.content_encoded", "i.content")]), lambda x: F.coalesce(x, F.lit("")) != "")
     body = F.coalesce(F.nullif(F.array_join(blocks, "\n"), F.lit("")), full(F.col("i.summary")), full(F.col("i.description")), F.lit(""))
     author = F.coalesce(full(F.get("i.dc_creator", F.lit(0))), full(F.get("i.author", F.lit(0))["name"]), full(F.get("i.author", F.lit(0))["_VALUE"]))
     when = F.coalesce(parse_time(F.coalesce(full(F.col("i.pubDate")), full(F.col("i.published")), full(F.col("i.updated")), full(F.col("i.dc_date")))), "retrieved_at")
-    items = items.select("source", F.col("url").alias("feed"), "retrieved_at", "item", fn.strip_html(F.col("i.title")).alias("title"), _own_link(i).alias("url"), author.alias("author"), when.alias("published_at"), fn.strip_html(body).alias("content"))
+    items = items.select("source", F.col("url").alias("feed"), "retrieved_at", "item", "_none", fn.strip_html(F.col("i.title")).alias("title"), _own_link(i).alias("url"), author.alias("author"), when.alias("published_at"), fn.strip_html(body).alias("content"))
     items = items.withColumn("canonical_url", fn.canonicalize_url(F.col("url")))
-    cause = F.when(F.coalesce("title", F.lit("")) == "", "missing title").when(F.coalesce("url", F.lit("")) == "", "missing link")
-    items = items.withColumn("cause", cause)
-    good = items.filter("cause is null").drop("cause").withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content")))
-    return good, items.filter("cause is not null").select("source", F.col("feed").alias("url"), "item", F.col("url").alias("hint"), "cause").unionAll(bad)
+    cause = F.when(F.col("_none").isNotNull(), F.col("_none")).when(F.coalesce("title", F.lit("")) == "", "missing title").when(F.coalesce("url", F.lit("")) == "", "missing link")
+    return items.withColumn("cause", cause).drop("_none")
+
+
+def parts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of parsed feeds: items without title or link with their link as hint, and feeds without items."""
+    good = parsed.filter("cause is null").drop("cause").withColumn("content_hash", fn.content_hash(F.col("title"), F.col("content")))
+    return good, parsed.filter("cause is not null").select("source", F.col("feed").alias("url"), "item", F.col("url").alias("hint"), "cause")
+
+
+def parse_feeds(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of (source, url, body, retrieved_at); rejects are (source, url, item, hint, cause). Whoever reads both writes parsed_feeds first."""
+    return parts(parsed_feeds(landing))
 
 
 def diagnose_feeds(landing: DataFrame) -> DataFrame:

@@ -135,3 +135,20 @@ def test_source_position(spark):
     rows = [("a", 1, datetime(2024, 1, 1)), ("b", 2, datetime(2024, 1, 3)), ("a", 3, datetime(2024, 1, 2))]
     d = q.source_position(spark.createDataFrame(rows, "source string, id int, published_at timestamp")).orderBy("position", "id")
     assert [r.source for r in d.collect()] == ["b", "a", "a"]
+
+
+def test_feeds_are_parsed_once_for_items_and_rejects(spark, monkeypatch):
+    from quillspark.plans import jobs
+
+    labels, real = [], jobs.written
+    monkeypatch.setattr(jobs, "written", lambda d, label: labels.append((label, d)) or real(d, label))
+    body = "<rss><channel><item><title>t</title><link>https://a.example/1</link></item><item><title>t</title></item></channel></rss>"
+    rows = [("a", "https://a.example/feed", body), ("b", "https://b.example/feed", "<rss><channel><item>"), ("c", "https://c.example/feed", "<rss><channel></channel></rss>")]
+    landing = spark.createDataFrame(rows, "source string, url string, body string").selectExpr("*", "timestamp '2024-01-01' AS retrieved_at")
+    items, rejects, failed = jobs.chosen_feeds(landing)
+    parsing = [d for _, d in labels if "xml" in d._jdf.queryExecution().analyzed().toString().lower()]
+    assert len(parsing) == 1  # two before
+    assert [(r.source, r.item, r.url) for r in items.collect()] == [("a", 0, "https://a.example/1")]
+    assert sorted((r.source, r.item, r.cause) for r in rejects.collect() if r.item is not None) == [("a", 1, "missing link")]
+    assert sorted((r.source, r.cause) for r in rejects.collect() if r.item is None) == [("b", "unparseable"), ("c", "empty feed: dead")]
+    assert sorted((r.source, r.error) for r in failed.collect()) == [("b", "unparseable"), ("c", "empty feed: dead")]
