@@ -19,6 +19,9 @@ _ITEM = ", ".join([f"{c}: string" for c in _TEXTS] + ["link: array<struct<_href:
 _FEED = f"channel struct<item: array<struct<{_ITEM}>>>, item array<struct<{_ITEM}>>, entry array<struct<{_ITEM}>>, _bad string"
 _SITEMAP = "url array<struct<loc: string, lastmod: string, news: struct<publication_date: string>>>, sitemap array<struct<loc: string, lastmod: string>>, _bad string"
 _POST = "shortCode string, url string, caption string, ownerUsername string, timestamp string, displayUrl string, childPosts array<struct<displayUrl: string>>"
+_VALUE = r"""\s*=\s*(?:"[^"]*"|'[^']*')"""
+#: A name space that a start tag declares, behind the tag's name and other attributes, or behind the one before; in texts the same words stay.
+_NAMESPACE = rf"""(<[A-Za-z][^\s<>/]*|\G(?!^))((?:\s+(?!xmlns[:=\s])[^\s=<>"'/]+{_VALUE})*)\s+xmlns(?::[\w.-]+)?{_VALUE}"""
 #: Fixed values.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -38,7 +41,7 @@ def unprefixed_feed(xml: Column) -> Column:
     A & that begins no XML entity is text."""
     root = F.regexp_extract(xml, r"(?s)^\s*(?:<\?.*?\?>\s*|<!.*?>\s*)*<([A-Za-z][\w.-]*):feed\b", 1)
     own = F.when(root != "", F.regexp_replace(xml, F.concat(F.lit("(</?)"), root, F.lit(":")), F.lit("$1"))).otherwise(xml)
-    own = F.regexp_replace(F.regexp_replace(own, r'\sxmlns(:\w+)?="[^"]*"', ""), r"(</?[A-Za-z][\w.-]*):", "$1_")
+    own = F.regexp_replace(F.regexp_replace(own, _NAMESPACE, "$1$2"), r"(</?[A-Za-z][\w.-]*):", "$1_")
     return F.regexp_replace(own, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#[xX][0-9A-Fa-f]+);)", "&amp;")
 
 
