@@ -89,3 +89,48 @@ def test_entries_grow(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert brown.vocabulary(d).entries == 100
     held_against_plain(rows, sorted(brown.score_all(d, remainder("doc_id", 5) != 1).collect(), key=lambda r: r.doc_id))
+
+
+def two_kinds():
+    """Texts in which words of two kinds, of the same endings, take turns; most of them seldom."""
+    rng = np.random.default_rng(5)
+    name = lambda kind, i: f"{kind}{i}zz"
+    pick = lambda: int(rng.integers(0, 8)) if rng.random() < 0.6 else int(rng.integers(8, 300))
+    return [(i, " ".join(name("ab"[k % 2], pick()) for k in range(40))) for i in range(400)]
+
+
+def modelled(d, head):
+    v = brown.vocabulary(d, head=head, entries=16)
+    counted = brown.table(brown.count(d, v, remainder("doc_id", 5) != 1), "t")
+    m, sums = brown.fit(counted, v)
+    return v, m, {r.doc_id: r for r in brown.score(d, m, sums).collect()}
+
+
+def test_every_word_finds_its_class(spark):
+    """Words that aren't entries are grouped by their own neighbours (by their last two bytes only, before), whether tasks hold them or not."""
+    rows = two_kinds()
+    d = spark.createDataFrame([*rows, (1_000, rows[3][1]), (1_001, "a1zz never b9zz seen a9zz")], "doc_id long, text string")
+    v, m, got = modelled(d, 5_000)
+    words = sorted({w for _, t in rows for w in t.split()})
+    place = dict(zip(words, v.look_up(brown.at.hash_words(words)), strict=True))
+    free = [w for w in words if v.entry[place[w]] < 0]
+    kinds = [{int(v.group[place[w]]) for w in free if w[0] == k} for k in "ab"]
+    assert len(free) > 500 and not kinds[0] & kinds[1]
+    assert v.size == v.entries + brown.GROUPS + 1
+
+    def plain(t):
+        out, before = 0.0, v.end
+        for w in [*t.split(), None]:
+            k = -1 if w is None else int(v.look_up(brown.at.hash_words([w]))[0])
+            e = v.end if w is None else int(v.entry[k]) if v.entry[k] >= 0 else v.entries + int(v.group[k])
+            out += m.transition[m.cls[before], m.cls[e]] + m.emission[e]
+            if v.entries <= e < v.end:
+                out += math.log10(m.head[k] + 0.5) - m.group[e - v.entries]
+            before = e
+        return out
+
+    for i, t in rows[:60]:
+        assert abs(got[i].score - plain(t)) < 1e-6 * abs(plain(t))
+    # with only the entries held by tasks, side by side or not, the same
+    _, _, apart = modelled(d, 16)
+    assert all(abs(apart[i].score - r.score) < 1e-6 * abs(r.score) and abs(apart[i].base_score - r.base_score) < 1e-6 * abs(r.base_score) for i, r in got.items())
