@@ -100,8 +100,9 @@ def two_kinds():
 
 
 def modelled(d, head):
-    v = brown.vocabulary(d, head=head, entries=16)
-    counted = brown.table(brown.count(d, v, remainder("doc_id", 5) != 1), "t")
+    train = remainder("doc_id", 5) != 1
+    v = brown.learn(d.filter(train), brown.vocabulary(d, head=head, entries=16))
+    counted = brown.table(brown.count(d, v, train), "t")
     m, sums = brown.fit(counted, v)
     return v, m, {r.doc_id: r for r in brown.score(d, m, sums).collect()}
 
